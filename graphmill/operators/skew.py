@@ -50,3 +50,21 @@ def per_key(df: DataFrame, key: str, caller: str, value: str) -> DataFrame:
             F.max(v).alias("max_value"),
         )
     )
+
+
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], keep: tuple[str, ...] = (), total: int | None = None, hot: float = 0.002) -> DataFrame:
+    """Rows whose key is among keys, with the kept columns of keys.
+
+    keys has each key once with its number n of rows.  Keys with at least the
+    share ``hot`` of all rows, at most 1 / hot of them, meet their rows by
+    broadcast; all others meet them by a shuffle in which every key is small.
+    ``total`` is the number of rows, if known.  Null keys match nothing.
+    """
+    if total is None:
+        total = keys.agg(F.sum("n")).first()[0] or 0
+    limit = max(1.0, hot * total)
+    many = keys.where(F.col("n") >= limit).select(*on, *keep, F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(many), on, "left")
+    few = marked.where(F.col("__hot")).drop("__hot")
+    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *keep).join(keys.where(F.col("n") < limit).select(*on, *keep), on)
+    return few.unionByName(rest)
