@@ -15,7 +15,7 @@ from . import grammars
 from .peg import BRACE0, END, Grammar, Groups, add_list, fold, unbalanced
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
-ERR = "￾"
+ERR = "\ufffe"
 MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)")
 
 
@@ -201,7 +201,7 @@ class Go(Json):
 
     def check(self, text: str) -> Verdict:
         self.tidy()
-        if text[:1] == "﻿":
+        if text[:1] == "\ufeff":
             text = " " + text[1:]
         if "\0" in text:
             return Verdict(False, text.index("\0"), "bad token")
@@ -229,11 +229,11 @@ _TEMPLATE = r"""`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`'"/\\\n]*\})*`"""
 
 
 class JavaScript(Json):
-    _space = r"[ \t\v\f ﻿  -   　]"
-    _ident = r"(?:[^\W\d]|[$℘℮]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍·]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
+    _space = r"[ \t\v\f\u00a0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]"
+    _ident = r"(?:[^\W\d]|[$℘℮]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d\u00b7]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
     _regex = r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/\w*"
     _rest = (
-        r"""//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*+\*/|[\n\r  ]|#?(?:""" + _ident + r""")"""
+        r"""//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*+\*/|[\n\r\u2028\u2029]|#?(?:""" + _ident + r""")"""
         r"""|(?:0[xX][0-9a-fA-F_]*|0[bB][01_]*|0[oO][0-7_]*|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?)n?\w*"""
         r"""|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|""" + _TEMPLATE
         + r"""|>>>=|\.\.\.|===|!==|>>>|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|\?\.(?![0-9])|\?\?|==|!=|<=|>=|&&|\|\||<<|>>|\*\*|\+\+|--|[-+*/%&|^]=|/\*|[\s\S]"""
@@ -268,7 +268,7 @@ class JavaScript(Json):
         for c in "SMFAGH":
             for rule, name in ((f"Statement{c}", f"Statements{c}"), (f"Clause{c}", f"Clauses{c}"), (f"ClassItem{c}", f"ClassItems{c}")):
                 add_list(self.grammar, rule, name)
-        self.kinds = _Kinds({**words, "\n": "\n", "\r": "\n", " ": "\n", " ": "\n", "`": ERR, "@": ERR}, self._classify)
+        self.kinds = _Kinds({**words, "\n": "\n", "\r": "\n", "\u2028": "\n", "\u2029": "\n", "`": ERR, "@": ERR}, self._classify)
         self.inner: dict[str, bool] = {}
         ends = re.escape('a0"`r#)]}' + many("this null true false ++ -- async as from get set of let static await yield"))
         starts = re.escape('a0"`r#{!~@' + many("++ -- this null true false async as from get set of let static await yield break case class const continue debugger default delete do else export for function if import new return super switch throw try typeof var void while with finally"))
@@ -286,7 +286,7 @@ class JavaScript(Json):
             if t.startswith("//"):
                 return ""
             if t.startswith("/*"):
-                return ERR if len(t) < 4 else "\n" if re.search("[\n\r  ]", t) else ""
+                return ERR if len(t) < 4 else "\n" if re.search("[\n\r\u2028\u2029]", t) else ""
             return "r" if self._flags.fullmatch(t[t.rindex("/") + 1 :]) else ERR
         if c == "`":
             return "`" if all(map(self._expression, re.findall(r"(?<!\\)\$\{([^{}]*)\}", t))) else ERR
@@ -365,10 +365,10 @@ class JavaScript(Json):
         self.tidy()
         if len(self.inner) > 90_000:
             self.inner.clear()
-        if text[:1] == "﻿":
+        if text[:1] == "\ufeff":
             text = " " + text[1:]
         if text[:2] == "#!":
-            end = re.search("[\n\r  ]|$", text).start()
+            end = re.search("[\n\r\u2028\u2029]|$", text).start()
             text = " " * end + text[end:]
         text = text.rstrip(" \t\r\n")
         rules = {"js": ("Script", "Module"), "cjs": ("Script",), "mjs": ("Module",)}[kind]
@@ -416,7 +416,7 @@ class Python(Json):
         r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:0(?:_?0)*|[1-9](?:_?[0-9])*)|[0-9](?:_?[0-9])*[jJ]|(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?|[0-9](?:_?[0-9])*[eE][+-]?[0-9](?:_?[0-9])*[jJ]?"
     )
     _heads = (("if", "IfHead", "I"), ("elif", "ElifHead", "E"), ("else", "ElseHead", "L"), ("for", "ForHead", "F"), ("while", "WhileHead", "W"), ("try", "TryHead", "T"), ("except", "ExceptHead", "X"), ("finally", "FinallyHead", "Y"), ("with", "WithHead", "H"), ("def", "DefHead", "D"), ("class", "ClassHead", "K"))
-    _split = re.compile("[-]")
+    _split = re.compile("[\ue000-\uf8ff]")
 
     def __init__(self) -> None:
         Language.__init__(self)
@@ -670,7 +670,7 @@ class Python(Json):
 
     def check(self, text: str) -> Verdict:
         self.tidy()
-        if text[:1] == "﻿":
+        if text[:1] == "\ufeff":
             text = text[1:]
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -763,7 +763,7 @@ def kind_of(path: str | None, text: str) -> str | None:
     dot = base.rfind(".")
     if dot > 0:
         return EXTENSIONS.get(base[dot + 1 :].lower())
-    first = text.lstrip("﻿").split("\n", 1)[0]
+    first = text.lstrip("\ufeff").split("\n", 1)[0]
     if first.startswith("#!"):
         if re.search(r"\bpython[\d.]*\b", first):
             return "python"
