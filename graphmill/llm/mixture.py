@@ -28,8 +28,10 @@ from ..session import checkpointed
 from .encode import token_counts
 
 _EPS = 1e-9
-#: Documents a source that landing decides together; each task holds back half as many.
+#: Documents a source that landing tries all choices of.
 RESERVE = 14
+#: Documents a source that each task holds back for the second flight, which makes up for long ones.
+HELD = 32
 
 
 def _chance(seed: int, doc_id: int) -> float:
@@ -90,6 +92,27 @@ class Flight:
         return [(x[0], x[1], int(k)) for x, k in zip(items, best)]
 
 
+def settle_long(items: list[tuple[int, int, float]], seed: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """Decides documents, longest first, that the others together could hardly make up for.
+
+    The probabilities of the others change so that the expected tokens stay the
+    same.  Returns the decided ones and the others.
+    """
+    out: list[tuple[int, int, int]] = []
+    while len(items) > 2 and items[0][1] > 0.1 * sum(t * min(p, 1 - p) for _, t, p in items[1:]):
+        doc_id, tokens, p = items[0]
+        one = int(_chance(seed, doc_id) < p)
+        out.append((doc_id, tokens, one))
+        missing, rest = tokens * (p - one), items[1:]
+        if missing > 0:
+            a = min(1.0, missing / max(sum((1 - q) * t for _, t, q in rest), 1e-9))
+            items = [(d, t, q + (1 - q) * a) for d, t, q in rest]
+        else:
+            a = min(1.0, -missing / max(sum(q * t for _, t, q in rest), 1e-9))
+            items = [(d, t, q * (1 - a)) for d, t, q in rest]
+    return out, items
+
+
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: tokens, target_share, max_repeats, copies (f) and wanted tokens.
 
@@ -144,7 +167,7 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
                     continue
                 flight, wait = flights.setdefault(source, Flight(seed)), held.setdefault(source, deque())
                 wait.append((doc_id, n, p))
-                if len(wait) > RESERVE // 2:
+                if len(wait) > HELD:
                     out += [(d, source, t, whole + one, 0.0) for d, t, one in flight.add(*wait.popleft())]
             if out:
                 yield batch(out)
@@ -157,13 +180,15 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     def land(rest: pd.DataFrame) -> pd.DataFrame:
         flight, out = Flight(seed + 1), []
         source, whole = rest["source"].iloc[0], int(rest["copies"].iloc[0])
-        items = [(int(r.doc_id), int(r.n_tokens), float(r.p)) for r in rest.sort_values("doc_id").itertuples()]
+        items = [(int(r.doc_id), int(r.n_tokens), float(r.p)) for r in rest.sort_values(["n_tokens", "doc_id"], ascending=False).itertuples()]
+        decided, items = settle_long(items, seed)
+        out += decided
         cut = max(0, len(items) - RESERVE)
         for x in items[:cut]:
             out += flight.add(*x)
         return pd.DataFrame([(d, source, t, whole + one, 0.0) for d, t, one in [*out, *flight.land(items[cut:])]], columns=["doc_id", "source", "n_tokens", "copies", "p"])
 
-    # at most RESERVE / 2 + 2 rows for each task and source
+    # at most HELD + 2 rows for each task and source
     landed = flown.where("p > 0").groupBy("source").applyInPandas(land, _CHOSEN)
     return flown.where("p = 0").unionByName(landed).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
