@@ -45,7 +45,7 @@ STEPS_CTE = "steps AS ({})".format(STEPS_SQL.format(events="events"))
 CALLS_SQL = """
 SELECT event_id AS call_id, concat('u', user_id) AS session_id, event_type AS tool, CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE '' END AS complexity_tier,
 CAST(floor(value * 100) AS BIGINT) AS response_bytes, CAST(floor(value) AS BIGINT) AS tokens_used, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value * 3) AS BIGINT) END AS tokens_saved,
-CASE WHEN event_type = 'error' THEN NULL ELSE round(value / 2, 2) END AS tokens_saved_pct, ts, props FROM {events}
+CASE WHEN event_type = 'error' THEN NULL ELSE floor(value * 50) / 100 END AS tokens_saved_pct, ts, props FROM {events}
 """
 CALLS_CTE = "calls AS ({})".format(CALLS_SQL.format(events="events"))
 
