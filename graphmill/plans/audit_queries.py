@@ -330,7 +330,7 @@ def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     _RESOLVE
-    + """SELECT project_id, from_id, to_id, 'CALLS' AS kind, 0.4 AS confidence, 'binding_pass' AS source FROM (
+    + """SELECT project_id, from_id, to_id, 'CALLS' AS kind, CAST(0.4 AS DOUBLE) AS confidence, 'binding_pass' AS source FROM (
   SELECT DISTINCT r.project_id, r.kind, coalesce(l.id, w.id) AS from_id, b.id AS to_id
   FROM refs r LEFT JOIN local l USING (project_id, from_file, from_qn) LEFT JOIN wide w ON w.project_id = r.project_id AND w.from_qn = r.from_qn JOIN bare b ON b.project_id = r.project_id AND b.name = r.to_name WHERE r.kind IN ('READS', 'WRITES'))
 WHERE from_id IS NOT NULL AND from_id <> to_id"""
