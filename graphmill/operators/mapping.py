@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,12 +39,11 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | T.
     return df.mapInArrow(run, struct)
 
 
-def spread(spark: SparkSession, df: DataFrame, by: str = "file_id") -> DataFrame:
-    """df in at least as many tasks as the cluster has cores, for work that costs far more than its bytes.
+def spread(scan: DataFrame, by: str) -> DataFrame:
+    """A scan in as many tasks as the cluster has cores, for work that costs far more than its bytes.
 
-    Without a shuffle where the scan already gives two tasks a core.
+    Only a scan of fewer tasks than cores, a small table in one file, is
+    shuffled; larger ones stay as they are.  scan must be a plain scan.
     """
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(3 * cores, F.col(by))
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, F.col(by))
