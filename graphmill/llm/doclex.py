@@ -171,7 +171,7 @@ def _python(kind: str, text: str, masked: str, begins: list[int], lines: list[st
                     break
             else:
                 break
-        for first in {line, top}:
+        for first in {line, top} if m[2] else ():
             if block := _above(first, own):
                 docs.append(block)
                 comments.append(True)
@@ -239,6 +239,8 @@ def _braces(kind: str, text: str, masked: str, begins: list[int], lines: list[st
         top = line
         while top > 1 and _AT.match(lines[top - 2]):
             top -= 1
-        docs = [b for first in {line, top} if (b := _above(first, own))]
+        # a block above a line belongs to what begins the line
+        alone = not masked[begins[line - 1] : start].strip()
+        docs = [b for first in {line, top} if alone and (b := _above(first, own))]
         out.append(Found(name, line, start, end, params, tuple(docs), tuple(True for _ in docs)))
     return out

@@ -15,7 +15,7 @@ from .doclex import Found, functions
 
 #: Words of sentences that stand for documentation still to be written.
 PLACEHOLDER = frozenset(
-    "todo fixme xxx tbd tba wip hack doc docs docstring documentation documented undocumented description descriptions desc placeholder missing pending none na nil null empty blank stub stubs auto autogenerated generated automatically method function func summary comment comments text "
+    "todo fixme xxx tbd tba wip hack doc docs docstring documentation documented undocumented description descriptions desc placeholder missing pending none n na nil null empty blank stub stubs auto autogenerated generated automatically method function func summary comment comments text "
     "no not yet provided available given written done add write insert fill put go goes here in me this later soon to be see above below same as self explanatory obvious ditto etc and the a an is it please nothing something say needed required document describe explain lorem ipsum".split()
 )
 #: Words that add nothing to a name.

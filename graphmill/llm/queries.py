@@ -6,30 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.mapping import spread
 from ..session import table
 from . import encode, handwritten, invalid, mixture, pairs, percentiles, reading
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "source_files").select("file_id", "project_id", "file_path", "content"), "file_id")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.code_pairs(table(spark, d, "source_files"), table(spark, d, "symbols"), code=False)
+    return pairs.code_pairs(_files(spark, d), table(spark, d, "symbols"), code=False)
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.code_pairs(table(spark, d, "source_files"), table(spark, d, "symbols"))
+    return pairs.code_pairs(_files(spark, d), table(spark, d, "symbols"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return invalid.invalid_files(table(spark, d, "source_files"))
+    return invalid.invalid_files(_files(spark, d))
 
 
 def p3_files(spark: SparkSession, d: str) -> DataFrame:
-    return invalid.syntax_flags(table(spark, d, "source_files"))
+    return invalid.syntax_flags(_files(spark, d))
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    return invalid.invalid_rates(*(table(spark, d, t) for t in ("source_files", "python_responses", "audit_candidates")))
+    return invalid.invalid_rates(_files(spark, d), table(spark, d, "python_responses"), table(spark, d, "audit_candidates"))
 
 
 def _latency_state(spark: SparkSession, d: str) -> DataFrame:
@@ -57,24 +66,24 @@ def p4_savings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_id")
+    return handwritten.not_handwritten(_files(spark, d)).select("file_id")
 
 
 def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "source_files"))
+    return handwritten.not_handwritten(_files(spark, d))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode(table(spark, d, "documents"))
+    return encode.encode(_documents(spark, d))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mixture(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mixture.report(mixture.mixture(table(spark, d, "documents"), targets), targets)
+    return mixture.report(mixture.mixture(_documents(spark, d), targets), targets)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +91,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return reading.reading_levels(_documents(spark, d), table(spark, d, "reading_labels"))
 
 
 _USABLE = """

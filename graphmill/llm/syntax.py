@@ -19,6 +19,10 @@ ERR = "\ufffe"
 MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)")
 
 
+def _within(v: "Verdict", n: int) -> "Verdict":
+    return v if v[1] <= n else Verdict(v[0], n, v[2])
+
+
 class Verdict(tuple):
     """(valid, offset of the furthest failure in characters, cause)"""
 
@@ -748,9 +752,8 @@ def language(name: str) -> Language:
 
 def check(name: str, text: str) -> Verdict:
     """Verdict on a text; name is python, go, js, mjs, cjs or json."""
-    if name in ("js", "mjs", "cjs"):
-        return language("javascript").check(text, name)
-    return language(name).check(text)
+    v = language("javascript").check(text, name) if name in ("js", "mjs", "cjs") else language(name).check(text)
+    return _within(v, len(text))
 
 
 #: Extensions (small letters) of the languages.
