@@ -39,9 +39,10 @@ _STRING = r"""\"\"\"(?:[^\\"]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?
 _TOKENS = {
     "python": re.compile(r"(\#[^\n]*|" + _STRING + r"|\w+(?:\.\d+)?|[^\w\s])"),
     "c": re.compile(r"(//[^\n]*|/\*[\s\S]*?\*/|" + _STRING + r"|`[^`]*`|\w+(?:\.\d+)?|[^\w\s])"),
+    "js": re.compile(r"(//[^\n]*|/\*[\s\S]*?\*/|" + syntax.JavaScript._sure + "|" + _STRING + r"|`(?:[^`\\]|\\[\s\S])*`|\w+(?:\.\d+)?|[^\w\s])"),
 }
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_COMMENT = {"python": ("#",), "c": ("//", "/*")}
+_COMMENT = {"python": ("#",), "c": ("//", "/*"), "js": ("//", "/*")}
 
 
 class _Hashes(dict):
@@ -105,8 +106,10 @@ _HOLDER = re.compile(r"(?i)copyright (?:\(c\) |©|\d{4}[-, \d]*|the )*([\w.-]+(?
 _LEADING = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|'use strict';|\"use strict\";)*")
 _LEADING_PY = re.compile(r"(?:\s+|\#[^\n]*)*")
 _LOCK = re.compile(r'"(?:lockfileVersion|integrity|resolved|_resolved|checksum|dependencies-meta)"')
-_TABLES = re.compile(r"(?m)^_(?:tabversion|lr_method|lr_signature|lr_action_items|lr_goto_items)\b|^DESCRIPTOR\s*=|_descriptor_pool\.|serialized_pb\s*=|^(?:yy(?:table|check|defact|pgoto|translate)|static const yytype)")
+_TABLES = re.compile(r"(?m)^var yy[A-Z]\w* = |^_(?:tabversion|lr_method|lr_signature|lr_action_items|lr_goto_items)\b|^DESCRIPTOR\s*=|_descriptor_pool\.|serialized_pb\s*=|^(?:yy(?:table|check|defact|pgoto|translate)|static const yytype)")
 _WORDS = re.compile(r"[A-Za-z]+")
+#: words of which data has none
+_CODE_WORDS = frozenset(("def", "func", "function", "class", "lambda", "return"))
 
 
 def head(kind: str, text: str) -> str:
@@ -150,9 +153,11 @@ def shape(kind: str, text: str, toks: list[str]) -> str | None:
     names = code - literals - marks
     if _TABLES.search(text):
         return "tables"
-    if literals >= 20 and names <= 0.06 * code + 6 and literals + marks > 0.9 * code:
+    if not _CODE_WORDS.isdisjoint(toks):
+        pass
+    elif literals >= 20 and names <= 0.06 * code + 6 and literals + marks > 0.9 * code:
         return "data"
-    if literals >= 3 and max((len(t) for t in toks), default=0) > 0.6 * n and n > 2000:
+    elif n > 2000 and len(blob := max(toks, key=len)) > 0.6 * n and blob.count(" ") < 0.05 * len(blob):
         return "data"
     if n > 400 and n / lines > 120 and blanks < 0.12 * n and names > 0.2 * code:
         return "minified"
@@ -190,7 +195,7 @@ def examine(project: str, path: str | None, text: str | None) -> tuple[str | Non
     if not text or not text.strip():
         return None, False, np.zeros(0, np.int64)
     kind = syntax.kind_of(path, text) or ("python" if text.startswith("#") else "c")
-    family = "python" if kind == "python" else "c"
+    family = "python" if kind == "python" else "js" if kind in ("js", "mjs", "cjs") else "c"
     raw = _TOKENS[family].findall(text)
     hashes = np.fromiter(map(_HASHES[family].__getitem__, raw), np.int64, len(raw))
     comments = head(family, text)

@@ -109,6 +109,14 @@ def test_hand_written(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_shapes_that_only_look_generated():
+    rx = "const rx = /[)\\]}\"'`]+/g;\n" + "\n".join(f"function f{k}(a) {{\n  return a.filter((x) => x !== 'v{k}');\n}}" for k in range(40))
+    table = "T = (\n" + "\n".join(f'    ({k}, "a{k}", "b"),' for k in range(60)) + "\n)\n\ndef get(k):\n    return T[k]\n"
+    assert handwritten.examine("p", "a.js", rx)[0] is None
+    assert handwritten.examine("p", "a.py", table)[0] is None
+    assert handwritten.examine("p", "a.py", table.split("def")[0])[0] == "data"
+
+
 def test_winnowing_finds_every_long_common_run():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 40, 300)
