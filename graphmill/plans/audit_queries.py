@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import CALLS_CTE, GRAPH_CTE, entity_graph, tool_calls
 from ..functions import columns as C
-from ..operators import audit, resolve, search, store, telemetry
+from ..operators import audit, composite, resolve, search, store, telemetry
 from ..session import table
 
 _Q: dict = {}
@@ -154,6 +154,38 @@ def verify_files(spark: SparkSession, d: str) -> DataFrame:
     return audit.verify_files(f, found).select(F.substring_index("file_path", "|", -1).alias("file_path"), "state")
 
 
+@_query()
+def failure_suspects(spark: SparkSession, d: str) -> DataFrame:
+    """Suspects of error texts that name audited symbols and their places."""
+    a = table(spark, d, "audit_candidates")
+    failures = a.select(F.col("audit_id").alias("failure_id"), "project_id", F.concat(F.lit("panic: at "), "qualified_name", F.lit(" ("), "file_path", F.lit(":"), "start_line", F.lit(")")).alias("text"))
+    n = resolve.nodes_in_force(table(spark, d, "symbols"))
+    e = resolve.resolve_calls(table(spark, d, "pending_edges"), n)
+    changed = table(spark, d, "source_files").where("branch <> 'main'").select("project_id", "file_path")
+    return composite.suspects(failures, n, e, changed, 5)
+
+
+@_query()
+def context_for_task(spark: SparkSession, d: str) -> DataFrame:
+    g = entity_graph(spark, d)
+    return composite.context_for_task(g.nodes.withColumn("kind", F.lit("Function")), g.edges, "nation region 1")
+
+
+@_query("SELECT project_id, count(id) AS symbols, count(DISTINCT file_path) AS files FROM projects LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at IS NOT NULL DESC) AS k FROM symbols) WHERE k = 1 AND deleted_at IS NULL) USING (project_id) GROUP BY project_id")
+def project_overview(spark: SparkSession, d: str) -> DataFrame:
+    n = resolve.nodes_in_force(table(spark, d, "symbols"))
+    return composite.project_overview(table(spark, d, "projects"), n, n.select("project_id").limit(0)).select("project_id", "symbols", "files")
+
+
+@_query(
+    """WITH now AS (SELECT DISTINCT project_id, id, file_path, qualified_name, kind, start_line, end_line, start_byte, end_byte FROM symbols)
+    SELECT DISTINCT project_id, file_path, 'bad range' AS reason FROM now WHERE end_line < start_line OR end_byte < start_byte
+    UNION SELECT project_id, file_path, 'name collision' FROM now GROUP BY project_id, file_path, qualified_name, kind HAVING count(*) > 1"""
+)
+def extraction_faults(spark: SparkSession, d: str) -> DataFrame:
+    return composite.extraction_faults(table(spark, d, "symbols").select("project_id", "id", "file_path", "qualified_name", "kind", "start_line", "end_line", "start_byte", "end_byte").distinct())
+
+
 # ---------------------------------------------------------------- telemetry
 _TALLY = "count(*) AS calls, CAST(coalesce(sum(tokens_saved), 0) AS BIGINT) AS saved, round(avg(tokens_saved), 4) AS mean_saved, round(avg(tokens_saved_pct), 4) AS mean_pct, round(avg(response_bytes), 4) AS mean_bytes"
 _RECENT = "(SELECT * FROM calls WHERE ts >= (SELECT max(ts) FROM calls) - INTERVAL 7 DAYS)"

@@ -1,6 +1,6 @@
 """A read-only pattern query language compiled to DataFrames."""
 
-from .compile import QueryResult, run
+from .compile import QueryResult, empty_hints, run
 from .parser import QueryError, parse
 
-__all__ = ["QueryError", "QueryResult", "parse", "run"]
+__all__ = ["QueryError", "QueryResult", "empty_hints", "parse", "run"]

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...catalog import ALIASES, BOOLEANS, EDGE_KINDS, Graph
+from ...functions.columns import is_fixture
 from ...operators.predicates import condition
 from ...operators.traverse import walks
-from .parser import Cond, Item, Query, QueryError, Tree, parse
+from .parser import Cond, Item, Query, QueryError, Tree, _near, parse
 
 DEFAULT_LIMIT, MOST_ROWS, MOST_HOPS = 200, 10_000, 10
 EDGE_PROPS = ("kind", "confidence")
@@ -294,16 +295,47 @@ def _number(text: str) -> bool:
     return True
 
 
-def run(graph: Graph, text: str | Query, max_rows: int = DEFAULT_LIMIT, cross_project: bool = False, compat: bool = False) -> QueryResult:
+def run(graph: Graph, text: str | Query, max_rows: int = DEFAULT_LIMIT, cross_project: bool = False, compat: bool = False, include_fixtures: bool = True, min_confidence: float | None = None) -> QueryResult:
     """A query over a graph.
 
     Lazy but for paths, whose levels are computed one by one.  ``max_rows`` cuts
     results without aggregates.  With ``compat`` comparisons of two columns are
-    ignored with a warning, otherwise they are evaluated.  An empty graph gives
-    no rows, or one row of a global aggregate.
+    ignored with a warning, otherwise they are evaluated.  Fixture paths and
+    low confidences are filtered where the result has the column, else a
+    confidence floor gives a warning.  An empty graph gives no rows, or one row
+    of a global aggregate.
     """
     if graph.project is None and not cross_project:
         raise QueryError("name a project, or ask for all projects")
     q = parse(text) if isinstance(text, str) else text
     c = _Compiler(q, graph, max_rows, cross_project, compat)
-    return QueryResult(c.result(), c.warnings)
+    df = c.result()
+    plain = {ALIASES.get(i.prop, i.prop): i.name for i in q.items if i.prop and not i.function}
+    if not include_fixtures and "file_path" in plain:
+        df = df.where(~F.coalesce(is_fixture(F.col(f"`{plain['file_path']}`")), F.lit(False)))
+    if min_confidence is not None:
+        if "extraction_confidence" in plain:
+            df = df.where(F.col(f"`{plain['extraction_confidence']}`") >= min_confidence)
+        else:
+            c.warnings.append("a confidence floor needs extraction_confidence in RETURN; it is ignored")
+    return QueryResult(df, c.warnings)
+
+
+def empty_hints(graph: Graph, text: str | Query) -> list[str]:
+    """Why a query may have found nothing: kinds and languages that the graph doesn't have, with close spellings.
+
+    Reads the distinct kinds and languages of the graph, which are few.
+    """
+    q = parse(text) if isinstance(text, str) else text
+    out = []
+    kinds = {n.kind for n in (q.start, q.end) if n and n.kind} | {c.value for c in _conds(q.where) if ALIASES.get(c.prop, c.prop) == "kind" and c.op == "="}
+    languages = {c.value for c in _conds(q.where) if c.prop == "language" and c.op == "="}
+    for column, asked in (("kind", kinds), ("language", languages)):
+        if not asked:
+            continue
+        known = [r[0] for r in graph.nodes.select(column).distinct().limit(1000).collect() if r[0]]
+        for x in sorted(map(str, asked)):
+            if x not in known:
+                near = [k for k in known if k.lower() == x.lower() or _near(k.lower(), x.lower())]
+                out.append(f"no node has {column} {x!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
+    return out

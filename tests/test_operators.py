@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from graphmill.operators import audit, orphans, resolve, search, skew, store, telemetry, traverse
+from graphmill.operators import audit, composite, orphans, resolve, search, skew, store, telemetry, traverse
 
 E = "project_id string, from_id string, to_id string, kind string, confidence double"
 
@@ -241,3 +241,17 @@ def test_platform_siblings(spark):
     cols = "project_id string, id string, file_path string, name string, qualified_name string, kind string, language string, parent string"
     n = spark.createDataFrame([("p", "l", "os/foo_linux.go", "open", "x", "Function", "Go", None), ("p", "w", "os/foo_windows.go", "open", "y", "Function", "Go", None)], cols)
     assert got(resolve.platform_siblings(edges(spark, ("a", "l")), n), "from_id", "to_id") == [("a", "w")]
+
+
+# ---- composites
+def test_suspects(spark):
+    n = nodes(spark, ("pkg.load", "a.go", 1, 2, False, 1.0), ("save", "b.go", 1, 2, False, 1.0)).withColumn("name", F.substring_index("id", ".", -1))
+    f = spark.createDataFrame([(1, "p", "panic: pkg.load failed\n\tat /x (b.go:3)\n\tsave()"), (2, "p", None), (3, "p", "panic: nil")], "failure_id int, project_id string, text string")
+    changed = spark.createDataFrame([("p", "a.go")], "project_id string, file_path string")
+    rows = got(composite.suspects(f, n, edges(spark, ("x", "save")), changed), "failure_id", "id", "score")
+    assert rows == [(1, "pkg.load", 0.75), (1, "save", 0.6525)]
+
+
+def test_context(spark):
+    n = nodes(spark, ("loader", "f", 1, 2, False, 1.0), ("caller", "g", 1, 2, False, 1.0), ("mate", "f", 3, 4, False, 1.0), ("far", "h", 1, 2, False, 1.0)).withColumn("signature", F.lit(None).cast("string")).withColumn("docstring", F.lit(None).cast("string"))
+    assert got(composite.context_for_task(n, edges(spark, ("caller", "loader")), "loader"), "id", "role") == [("caller", "caller"), ("loader", "seed"), ("mate", "sibling")]
