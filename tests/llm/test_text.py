@@ -110,7 +110,7 @@ def test_hand_written(spark):
 
 
 def test_shapes_that_only_look_generated():
-    rx = "const rx = /[)\\]}\"'`]+/g;\n" + "\n".join(f"function f{k}(a) {{\n  return a.filter((x) => x !== 'v{k}');\n}}" for k in range(40))
+    rx = "const rx = /[)\\]}\"'`]+/g;\n" + "\n".join(f"function f{k}(a) {{\n  if (!a) {{\n    throw new Error('e{k}');\n  }}\n" + "  a.push(1);\n" * (k % 3) + f"  const n{k} = a.length + 1;\n  return a.filter((x) => x !== n{k});\n}}" for k in range(40))
     table = "T = (\n" + "\n".join(f'    ({k}, "a{k}", "b"),' for k in range(60)) + "\n)\n\ndef get(k):\n    return T[k]\n"
     assert handwritten.examine("p", "a.js", rx)[0] is None
     assert handwritten.examine("p", "a.py", table)[0] is None
