@@ -123,12 +123,13 @@ def language_coverage(nodes: DataFrame) -> DataFrame:
 def kind_percentiles(nodes: DataFrame) -> DataFrame:
     """Per kind: count and the 10th and 50th percentile of confidence, at index p * (n - 1) / 100 of the sorted values.
 
-    Works on counts of equal values, so no kind's values come together in one row.
+    Works on counts of values rounded to six digits, of which a kind has a million
+    at most, as confidence lies between 0 and 1.
     """
     from pyspark.sql import Window
 
     v = F.col("extraction_confidence")
-    counts = nodes.where(v.isNotNull()).groupBy("kind", v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = nodes.where(v.isNotNull()).groupBy("kind", F.round(v, 6).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("kind").orderBy("v")
     cum = counts.withColumn("up_to", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("kind")))
     at = lambda p: F.min(F.when(F.col("up_to") > F.expr(f"({p} * (n - 1)) div 100"), F.col("v")))

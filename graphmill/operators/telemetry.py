@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sum
+
 
 def recent(calls: DataFrame, days: int | None = 7, ts: str = "ts") -> DataFrame:
     """Calls of the last days of the data; all if days is None."""
@@ -80,14 +82,14 @@ def hook_rates(hooks: DataFrame) -> DataFrame:
 def next_calls(hooks: DataFrame, calls: DataFrame, k: int = 3) -> DataFrame:
     """For each hook row the next k calls of its session: id, position, call_id, tool.
 
-    Hooks and calls of a session are merged by time, and each call looks back at
-    the hooks before it, so a session costs its length once.
+    Hooks and calls are merged by session and time, and calls are numbered by a
+    running sum that splits long sessions over tasks; a hook then needs the
+    calls with the next k numbers.
     """
-    h = hooks.select("session_id", "ts", F.lit(0).alias("side"), F.col("id").alias("key"), F.lit(None).cast("string").alias("tool"))
-    c = calls.select("session_id", "ts", F.lit(-1).alias("side"), F.col("call_id").alias("key"), "tool")
+    h = hooks.select("session_id", "ts", F.lit(0).alias("side"), F.col("id").alias("key"), F.lit(None).cast("string").alias("tool"), F.lit(0).alias("one"))
+    c = calls.select("session_id", "ts", F.lit(-1).alias("side"), F.col("call_id").alias("key"), "tool", F.lit(1).alias("one"))
     # at equal times calls stand before hooks, as a call must be later than its hook
-    w = Window.partitionBy("session_id").orderBy("ts", "side", "key")
-    merged = h.unionByName(c).withColumn("seen", F.sum(F.when(F.col("side") == -1, 1).otherwise(0)).over(w))
+    merged = running_sum(h.unionByName(c), ["session_id"], ["ts", "side", "key"], "one", "seen")
     hook_rows = merged.where("side = 0").select("session_id", F.col("key").alias("id"), "seen")
     call_rows = merged.where("side = -1").select("session_id", F.col("seen").alias("at"), F.col("key").alias("call_id"), "tool")
     wanted = hook_rows.select("session_id", "id", F.posexplode(F.sequence(F.col("seen") + 1, F.col("seen") + k)).alias("position", "at"))

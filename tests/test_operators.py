@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from graphmill.operators import audit, composite, orphans, resolve, search, skew, store, telemetry, traverse
+from graphmill.operators import audit, composite, orphans, ranges, resolve, search, skew, store, telemetry, traverse
 
 E = "project_id string, from_id string, to_id string, kind string, confidence double"
 
@@ -255,3 +255,15 @@ def test_suspects(spark):
 def test_context(spark):
     n = nodes(spark, ("loader", "f", 1, 2, False, 1.0), ("caller", "g", 1, 2, False, 1.0), ("mate", "f", 3, 4, False, 1.0), ("far", "h", 1, 2, False, 1.0)).withColumn("signature", F.lit(None).cast("string")).withColumn("docstring", F.lit(None).cast("string"))
     assert got(composite.context_for_task(n, edges(spark, ("caller", "loader")), "loader"), "id", "role") == [("caller", "caller"), ("loader", "seed"), ("mate", "sibling")]
+
+
+def test_running_sum_over_many_ranges(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b").alias("g"), F.col("id").alias("k"), F.when(F.col("id") % 7 != 0, 2).alias("v"))
+    rows = ranges.running_sum(df, ["g"], ["k"], "v", "s", parts=9).collect()
+    want: dict = {}
+    for k in range(2000):
+        g = "hot" if k % 10 < 8 else "b" if k % 10 == 8 else None
+        want[g, k] = want.get(g, 0) + (2 if k % 7 else 0)
+        want[g] = want[g, k]
+    assert len(rows) == 2000 and all(r.s == want[r.g, r.k] for r in rows)
+    assert ranges.running_sum(df.limit(0), ["g"], ["k"], "v", "s").count() == 0
