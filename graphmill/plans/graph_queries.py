@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..adapters import GRAPH_CTE, STEPS_CTE, entity_graph, step_edges
 from ..operators import traverse
-from . import pinchql
+from . import pattern
 
 N = "project_id, id, file_path, name, qualified_name, kind, language, start_line, end_line, signature, docstring, complexity, is_exported, is_test, is_entry_point, extraction_confidence, branch"
 
@@ -56,7 +56,7 @@ _PATHS: dict[str, tuple[str, str, int]] = {
 
 def _pattern(text: str, rows: int):
     def fn(spark: SparkSession, d: str) -> DataFrame:
-        return pinchql.run(entity_graph(spark, d), text, max_rows=rows).df
+        return pattern.run(entity_graph(spark, d), text, max_rows=rows).df
 
     return fn
 
