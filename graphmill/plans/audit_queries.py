@@ -132,7 +132,7 @@ def _hunks(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_HUNKS, customer=table(spark, d, "customer"))
 
 
-@_query(_g(f", hunks AS ({_HUNKS.format(customer='customer')}) SELECT n.id, sum(least(end_line, last) - greatest(start_line, first) + 1) AS lines FROM (SELECT DISTINCT * FROM hunks) h JOIN g_nodes n ON n.file_path = h.file_path AND first <= end_line AND last >= start_line GROUP BY n.id"))
+@_query(_g(f", hunks AS ({_HUNKS.format(customer='customer')}) SELECT n.id, CAST(sum(least(end_line, last) - greatest(start_line, first) + 1) AS BIGINT) AS lines FROM (SELECT DISTINCT * FROM hunks) h JOIN g_nodes n ON n.file_path = h.file_path AND first <= end_line AND last >= start_line GROUP BY n.id"))
 def changed_nodes(spark: SparkSession, d: str) -> DataFrame:
     return audit.changed_nodes(entity_graph(spark, d).nodes, _hunks(spark, d)).select("id", "lines")
 
@@ -256,7 +256,7 @@ def size_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """SELECT tool, sum(actual_tokens_avg) // count(*) AS mean_actual, sum(baseline_tokens_avg) // count(*) AS mean_baseline, list_sort(list(p50_ms) FILTER (WHERE p50_ms IS NOT NULL))[1 + count(p50_ms) // 2] AS p50,
+    """SELECT tool, CAST(sum(actual_tokens_avg) // count(*) AS BIGINT) AS mean_actual, CAST(sum(baseline_tokens_avg) // count(*) AS BIGINT) AS mean_baseline, list_sort(list(p50_ms) FILTER (WHERE p50_ms IS NOT NULL))[1 + count(p50_ms) // 2] AS p50,
     list_sort(list(p50_ms) FILTER (WHERE p50_ms IS NOT NULL))[1 + count(p50_ms) * 95 // 100] AS p95, round((sum(baseline_tokens_avg) // count(*) - sum(actual_tokens_avg) // count(*)) * 100.0 / (sum(baseline_tokens_avg) // count(*)), 4) AS saved_pct FROM savings_baseline GROUP BY tool"""
 )
 def bench_summary(spark: SparkSession, d: str) -> DataFrame:
