@@ -174,12 +174,12 @@ def _repeats(kind: str, text: str) -> bool:
     rows = [r for r in rows if r and r not in "{}" and not r.startswith(("#", "//", "*", "/*"))]
     if len(rows) < 12:
         return False
-    if len({r[-5:] for r in rows}) > 8:  # one short form ends its lines in few ways
-        return False
     forms: dict[str, int] = {}
     for r in rows:
         f = _NUMBER.sub("0", _NAME.sub(lambda m: m[0] if m[0] in _KEYWORDS else "x", r))
         forms[f] = forms.get(f, 0) + 1
+        if len(rows) - (len(forms) - 2) < 0.8 * len(rows):  # each form but two has a row that isn't of the top two
+            return False
     top = sorted(forms.values(), reverse=True)[:2]
     if len(top) < 2 or min(top) < 5 or sum(top) < 0.8 * len(rows):
         return False

@@ -117,6 +117,20 @@ def test_shapes_that_only_look_generated():
     assert handwritten.examine("p", "a.py", table.split("def")[0])[0] == "data"
 
 
+def test_repeated_forms_with_many_endings():
+    getters = "class A:\n" + "\n".join(f"    def get_field_{k}(self):\n        return self._field_{k}\n" for k in range(39))
+    go = "package m\n\n" + "\n".join(f"func (m *M) GetField{k}() int {{\n\treturn m.field{k}\n}}" for k in range(39))
+    assert handwritten.examine("p", "a.py", getters)[0] == "repeated"
+    assert handwritten.examine("p", "a.go", go)[0] == "repeated"
+
+
+def test_repeated_forms_at_the_limit():
+    pairs = [f"f(a{k})\ng = a{k}" for k in range(40)]
+    for others, want in ((20, True), (21, False)):  # 80 of 100 rows, and of 101
+        text = "\n".join(pairs + [f"h{'(' * (k + 1)}b{k}" for k in range(others)])
+        assert handwritten._repeats("python", text) is want
+
+
 def test_winnowing_finds_every_long_common_run():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 40, 300)
