@@ -214,6 +214,10 @@ def level_of(levels: np.ndarray) -> int:
     return int(np.sort(levels)[(len(levels) - 1) // 2])
 
 
+class NoLabels(ValueError):
+    """No model can be fitted to the labels."""
+
+
 def fit_labelled(rows: list[tuple[str, list[int]]], rarity: dict) -> Ordinal:
     """A model from (text, levels given) of documents.
 
@@ -233,7 +237,7 @@ def fit_labelled(rows: list[tuple[str, list[int]]], rarity: dict) -> Ordinal:
                 ws.append(1.0 / len(parts) / len(levels))
                 of.append(k)
     if len(set(ys)) < 2:
-        raise ValueError("labels of two levels at least are needed")
+        raise NoLabels("labels of two levels at least are needed")
     x, y, w = np.array(xs), np.array(ys), np.array(ws)
     model = Ordinal().fit(x, y, w)
     for _ in range(2):
@@ -241,7 +245,7 @@ def fit_labelled(rows: list[tuple[str, list[int]]], rarity: dict) -> Ordinal:
         near = np.abs(got - y) <= 1
         # the document's own sentences decide between neighbouring labels
         doc = np.array(of)
-        middle = np.array([level_of(got[doc == k]) for k in range(doc.max() + 1)]) if len(doc) < 40_000 else _middles(got, doc)
+        middle = _middles(got, doc)
         sure = near & (np.abs(middle[doc] - y) <= 0)
         if sure.sum() < 50 or len(set(y[sure].tolist())) < 4:
             sure = near
@@ -250,6 +254,7 @@ def fit_labelled(rows: list[tuple[str, list[int]]], rarity: dict) -> Ordinal:
 
 
 def _middles(levels: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """level_of the sentences of each document by its number; 0 for one without sentences."""
     out = np.zeros(doc.max() + 1, int)
     order = np.argsort(doc, kind="stable")
     edges = np.searchsorted(doc[order], np.arange(doc.max() + 2))
@@ -328,7 +333,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rarity = word_rarities(docs)
     try:
         model = fit(docs, labels, rarity)
-    except (ValueError, IndexError):  # no usable label
+    except NoLabels:
         return docs.select("doc_id", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("hard_share"), F.lit(None).cast("int").alias("prose_words"))
     shared = docs.sparkSession.sparkContext.broadcast((model, rarity))
 

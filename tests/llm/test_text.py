@@ -177,6 +177,18 @@ def test_levels_on_held_out_documents(spark):
     assert got[903] == 1 and got[904] != 4
 
 
+def test_labelled_documents_without_sentences(spark):
+    rows = [(k + 10, t, v) for k, t, v in _corpus(random.Random(4), 160)]
+    empty = [(0, "", 1), (1, "  \n", 4), (2, "```\n" + HARD[0] + "\n```", 4)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in empty + rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, v) for k, _, v in empty + rows[:80]], "doc_id long, reading_level int")
+    got = {x.doc_id: x.level for x in reading.reading_levels(docs, labels).collect()}
+    assert all((got[k] == 4) == (v == 4) for k, _, v in rows[80:])
+    assert [got[k] for k in range(3)] == [None] * 3
+    model = reading.fit_labelled([(t, [v]) for _, t, v in empty + rows[:80]], {})
+    assert np.array_equal(model.weights, reading.fit_labelled([(t, [v]) for _, t, v in rows[:80]], {}).weights)
+
+
 def test_levels_without_labels(spark):
     docs = spark.createDataFrame([(1, "The user opens the file and the box.")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None)], "doc_id long, reading_level int")
