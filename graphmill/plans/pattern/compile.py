@@ -19,7 +19,7 @@ from ...operators.predicates import condition
 from ...operators.traverse import walks
 from .parser import Cond, Item, Query, QueryError, Tree, _near, parse
 
-DEFAULT_LIMIT, MOST_ROWS, MOST_HOPS = 200, 10_000, 10
+DEFAULT_LIMIT, MOST_HOPS = 200, 10
 EDGE_PROPS = ("kind", "confidence")
 
 
@@ -56,9 +56,9 @@ def _and_chain(tree) -> list | None:
 
 
 class _Compiler:
-    def __init__(self, q: Query, g: Graph, max_rows: int, cross: bool, compat: bool):
+    def __init__(self, q: Query, g: Graph, max_rows: int | None, cross: bool, compat: bool):
         self.q, self.g, self.compat = q, g, compat
-        self.max_rows = max(0, min(max_rows, MOST_ROWS))
+        self.max_rows = None if max_rows is None else max(0, max_rows)
         self.warnings = list(q.warnings)
         self.node_vars = [q.start.var] + ([q.end.var] if q.end and q.end.var != q.start.var else [])
         self.edge_var = q.edge.var if q.edge else None
@@ -251,7 +251,9 @@ class _Compiler:
         q = self.q
         self.analyse()
         rows = self.rows()
-        limit = DEFAULT_LIMIT if q.limit is None else q.limit
+        limit = q.limit if q.limit is not None or self.max_rows is None else DEFAULT_LIMIT
+        cut = limit if self.max_rows is None else min(limit, self.max_rows)
+        first = lambda df, n: df if n is None else df.limit(n)
         name = self.order_name()
         sort = lambda c: c.desc_nulls_last() if q.descending else c.asc_nulls_first()
         if any(i.function for i in q.items):
@@ -266,25 +268,24 @@ class _Compiler:
             if q.order is not None and not by:
                 self.warnings.append("ORDER BY has no such column; it is ignored")
             tie = [F.col(f"`{i.name}`").asc_nulls_first() for i in keys] + [F.col(f"`{i.name}`") for i in q.items if i.function]
-            return out.orderBy(*by, *tie).limit(limit).select(*(F.col(f"`{i.name}`") for i in q.items))
+            return first(out.orderBy(*by, *tie), limit).select(*(F.col(f"`{i.name}`") for i in q.items))
         before = self.order_column()
         if q.order is not None and name is None and before is None:
             self.warnings.append("ORDER BY has no such column; it is ignored")
         values = [self.value(i).alias(i.name) for i in q.items]
-        cut = min(limit, self.max_rows)
         if q.distinct:
             hidden = before if name is None and before is not None else F.lit(0)
             keyed = rows.select(*values, hidden.alias("__order"))
             out = keyed.groupBy(*(F.col(f"`{i.name}`") for i in q.items)).agg((F.max if q.descending else F.min)("__order").alias("__order"))
             by = [sort(F.col(f"`{name}`" if name else "__order"))]
             tie = [F.col(f"`{i.name}`").asc_nulls_first() for i in q.items]
-            return out.orderBy(*by, *tie).limit(cut).select(*(F.col(f"`{i.name}`") for i in q.items))
+            return first(out.orderBy(*by, *tie), cut).select(*(F.col(f"`{i.name}`") for i in q.items))
         ids = [F.col(f"{v}__{k}") for v in self.node_vars for k in ("project_id", "id")]
         if q.edge and not self.path:
             ids.append(F.col(f"{self.edge_var or '_edge'}__kind"))
         key = before if before is not None else self.value(next(i for i in q.items if i.name == name)) if name else F.lit(0)
         out = rows.select(*values, key.alias("__order"), *(c.alias(f"__tie{k}") for k, c in enumerate(ids)))
-        return out.orderBy(sort(F.col("__order")), *(F.col(f"__tie{k}") for k in range(len(ids)))).limit(cut).select(*(F.col(f"`{i.name}`") for i in q.items))
+        return first(out.orderBy(sort(F.col("__order")), *(F.col(f"__tie{k}") for k in range(len(ids)))), cut).select(*(F.col(f"`{i.name}`") for i in q.items))
 
 
 def _number(text: str) -> bool:
@@ -295,15 +296,15 @@ def _number(text: str) -> bool:
     return True
 
 
-def run(graph: Graph, text: str | Query, max_rows: int = DEFAULT_LIMIT, cross_project: bool = False, compat: bool = False, include_fixtures: bool = True, min_confidence: float | None = None) -> QueryResult:
+def run(graph: Graph, text: str | Query, max_rows: int | None = DEFAULT_LIMIT, cross_project: bool = False, compat: bool = False, include_fixtures: bool = True, min_confidence: float | None = None) -> QueryResult:
     """A query over a graph.
 
     Lazy but for paths, whose levels are computed one by one.  ``max_rows`` cuts
-    results without aggregates.  With ``compat`` comparisons of two columns are
-    ignored with a warning, otherwise they are evaluated.  Fixture paths and
-    low confidences are filtered where the result has the column, else a
-    confidence floor gives a warning.  An empty graph gives no rows, or one row
-    of a global aggregate.
+    results without aggregates; with None only the query's own LIMIT cuts.  With
+    ``compat`` comparisons of two columns are ignored with a warning, otherwise
+    they are evaluated.  Fixture paths and low confidences are filtered where
+    the result has the column, else a confidence floor gives a warning.  An
+    empty graph gives no rows, or one row of a global aggregate.
     """
     if graph.project is None and not cross_project:
         raise QueryError("name a project, or ask for all projects")

@@ -154,6 +154,17 @@ def test_projects_apart(spark):
         run(Graph(g.nodes, g.edges), "MATCH (n) RETURN n.id")
 
 
+def test_all_rows_unless_cut_on_request(spark):
+    n = spark.range(10_050).select(*(F.lit("t").alias(f.name) if f.name == "project_id" else F.col("id").cast("string").alias("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in NODES))
+    g = Graph(n, spark.createDataFrame([], EDGES), project="t")
+    assert run(g, "MATCH (n) RETURN n.id", max_rows=None).df.count() == 10_050
+    assert run(g, "MATCH (n) RETURN n.id LIMIT 10040", max_rows=20_000).df.count() == 10_040
+    assert run(g, "MATCH (n) RETURN DISTINCT n.id", max_rows=None).df.count() == 10_050
+    assert run(g, "MATCH (n) RETURN n.id, COUNT(*) AS k", max_rows=None).df.count() == 10_050
+    assert run(g, "MATCH (n) RETURN n.id LIMIT 7", max_rows=None).df.count() == 7
+    assert run(g, "MATCH (n) RETURN n.id").df.count() == 200
+
+
 def test_hints_and_filters(g):
     assert empty_hints(g, "MATCH (n:function) WHERE n.language = 'Gi' RETURN n.id") == ["no node has kind 'function'; did you mean 'Function'?", "no node has language 'Gi'; did you mean 'Go'?"]
     assert run(g, "MATCH (n) RETURN n.id, n.file_path", include_fixtures=False).df.count() == 12
