@@ -205,7 +205,7 @@ def examine(project: str, path: str | None, text: str | None) -> tuple[str | Non
     if reason is None:
         marks = _COMMENT[family]
         reason = shape(kind, text, [t for t in raw if not t.startswith(marks)]) or ("repeated" if kind != "json" and _repeats(kind, text) else None)
-    return reason, bool(path and MARKED.search(path)), fingerprints(hashes[hashes >= 0]) if kind != "json" else np.zeros(0, np.int64)
+    return reason, bool(path and MARKED.search(path)), fingerprints(hashes[hashes >= 0])
 
 
 def examined(files: DataFrame) -> DataFrame:

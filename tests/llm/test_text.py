@@ -131,6 +131,18 @@ def test_repeated_forms_at_the_limit():
         assert handwritten._repeats("python", text) is want
 
 
+def test_copied_json(spark):
+    def made(seed):
+        r = random.Random(seed)
+        return "{\n" + ",\n".join(f'  "{r.choice("abcdef")}{r.randrange(10**6)}": {{"type": "{r.choice(["string", "object"])}", "title": "T{r.randrange(10**6)}"}}' for _ in range(60)) + "\n}\n"
+
+    schema, vendored = made(1), made(2)
+    rows = [(k, f"p{k}", "schema.json", schema) for k in range(3)] + [(10 + k, f"p{k}", "vendor/x/package.json", vendored) for k in range(2)]
+    rows += [(20 + k, f"p{k}", "own.json", made(20 + k)) for k in range(3)] + [(30 + k, f"p{k}", "twice.json", made(3)) for k in range(2)]
+    df = spark.createDataFrame(rows, "file_id long, project_id string, file_path string, content string")
+    assert {r.file_id: r.reason for r in handwritten.not_handwritten(df).collect()} == dict.fromkeys([0, 1, 2, 10, 11], "vendored")
+
+
 def test_winnowing_finds_every_long_common_run():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 40, 300)
