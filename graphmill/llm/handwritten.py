@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from . import syntax
 SHINGLE, WINDOW = 30, 16
 #: Projects that must have a fingerprint, the share of a file's fingerprints that must be such, and the least number of them.
 PROJECTS, SHARE, LEAST = 3, 0.8, 8
+#: Projects that must have the whole token stream of a file with fewer fingerprints; more, as short files repeat by chance.
+SHORT_PROJECTS = 5
 #: In a directory for third-party code, one other project and one fingerprint are enough.
 MARKED_PROJECTS = 2
 MARKED = re.compile(r"(?:^|/)(?:_?vendor|third[_-]?party|node_modules|bower_components|externs?|externals?|deps)/")
@@ -189,13 +192,14 @@ def _repeats(kind: str, text: str) -> bool:
 _KEYWORDS = frozenset("return if else for while def func function class self this nil null None type struct switch case var let const import from try catch except".split())
 
 
-def examine(project: str, path: str | None, text: str | None) -> tuple[str | None, bool, np.ndarray]:
-    """(reason or None, whether the path is one for third-party code, fingerprints) of a file.
+def examine(project: str, path: str | None, text: str | None) -> tuple[str | None, bool, np.ndarray, int | None]:
+    """(reason or None, whether the path is one for third-party code, fingerprints, hash of the whole token stream) of a file.
 
-    Null and blank contents have no reason and no fingerprints.
+    Null and blank contents have no reason and no fingerprints.  Only files
+    with fingerprints, but fewer than LEAST, have a hash, and markup has none.
     """
     if not text or not text.strip():
-        return None, False, np.zeros(0, np.int64)
+        return None, False, np.zeros(0, np.int64), None
     kind = syntax.kind_of(path, text) or ("python" if text.startswith("#") else "c")
     family = "python" if kind == "python" else "js" if kind in ("js", "mjs", "cjs") else "c"
     raw = _TOKENS[family].findall(text)
@@ -205,11 +209,15 @@ def examine(project: str, path: str | None, text: str | None) -> tuple[str | Non
     if reason is None:
         marks = _COMMENT[family]
         reason = shape(kind, text, [t for t in raw if not t.startswith(marks)]) or ("repeated" if kind != "json" and _repeats(kind, text) else None)
-    return reason, bool(path and MARKED.search(path)), fingerprints(hashes[hashes >= 0])
+    code = hashes[hashes >= 0]
+    prints = fingerprints(code)
+    short = 0 < len(prints) < LEAST and raw[int((hashes >= 0).argmax())] != "<"  # a page saved under a name of code is no code
+    whole = int.from_bytes(blake2b(code.tobytes(), digest_size=8).digest(), "big", signed=True) if short else None
+    return reason, bool(path and MARKED.search(path)), prints, whole
 
 
 def examined(files: DataFrame) -> DataFrame:
-    """file_id, project_id, reason, marked, n_prints and prints of each row of files."""
+    """file_id, project_id, reason, marked, n_prints, prints and whole of each row of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,10 +227,10 @@ def examined(files: DataFrame) -> DataFrame:
             counts = np.fromiter(map(len, prints), np.int64, len(prints))
             flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
-            columns = [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array(counts, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "project_id", "reason", "marked", "n_prints", "prints"])
+            columns = [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array(counts, pa.int32()), lists, pa.array([g[3] for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "project_id", "reason", "marked", "n_prints", "prints", "whole"])
 
-    return files.select("file_id", "project_id", "file_path", "content").mapInArrow(run, "file_id long, project_id string, reason string, marked boolean, n_prints int, prints array<long>")
+    return files.select("file_id", "project_id", "file_path", "content").mapInArrow(run, "file_id long, project_id string, reason string, marked boolean, n_prints int, prints array<long>, whole long")
 
 
 def shared_prints(prints: DataFrame) -> DataFrame:
@@ -234,15 +242,21 @@ def shared_prints(prints: DataFrame) -> DataFrame:
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, reason) of each file that nobody wrote by hand for its project, once per file_id.
 
-    Copies within one project don't make a file a copy, nor do copies of files
-    too short to have LEAST fingerprints.  Repeated rows count once.
+    Copies within one project don't make a file a copy.  Files too short to
+    have LEAST fingerprints are copies if SHORT_PROJECTS have the same whole
+    token stream; those shorter than a shingle never are.  Repeated rows count
+    once.
     """
     seen = checkpointed(examined(files).dropDuplicates(["file_id"]))
     known = seen.where("reason is not null").select("file_id", "reason")
     open_ = seen.where("reason is null and n_prints > 0")
-    total = seen.agg(F.sum("n_prints")).first()[0] or 0
+    total, short = seen.agg(F.sum("n_prints"), F.count("whole")).first()
+    total = total or 0
     keys = shared_prints(seen.select("project_id", F.explode("prints").alias("print")))
     found = keyed_join(open_.select("file_id", "marked", "n_prints", F.explode("prints").alias("print")), keys, ["print"], ("many",), total=total)
     shared = found.groupBy("file_id", "marked", "n_prints").agg(F.count(F.lit(1)).alias("two"), F.count_if("many").alias("more"))
     copy = ((F.col("n_prints") >= LEAST) & (F.col("more") >= SHARE * F.col("n_prints"))) | (F.col("marked") & (F.col("two") >= SHARE * F.col("n_prints")))
-    return known.unionByName(shared.where(copy).select("file_id", F.lit("vendored").alias("reason")))
+    wholes = seen.where("whole is not null").groupBy("whole", "project_id").agg(F.count(F.lit(1)).alias("n")).groupBy("whole").agg(F.count(F.lit(1)).alias("projects"), F.sum("n").alias("n"))
+    again = keyed_join(open_.where("whole is not null and not marked").select("file_id", "whole"), wholes.where(F.col("projects") >= SHORT_PROJECTS).select("whole", "n"), ["whole"], total=short)
+    copies = shared.where(copy).select("file_id").unionByName(again.select("file_id"))
+    return known.unionByName(copies.select("file_id", F.lit("vendored").alias("reason")))

@@ -143,6 +143,23 @@ def test_copied_json(spark):
     assert {r.file_id: r.reason for r in handwritten.not_handwritten(df).collect()} == dict.fromkeys([0, 1, 2, 10, 11], "vendored")
 
 
+def test_short_copies(spark):
+    def made(name):
+        return f"def {name}(a, b):\n    c = a + b\n    for k in range(c):\n        a = a * k - b\n    if a > b:\n        return a\n    return {name}(b, c)\n"
+
+    many, few, tiny = made("many"), made("few"), "def f(a):\n    return a\n"
+    n = handwritten.SHORT_PROJECTS
+    rows = [(k, f"p{k}", f"a{k}.py", "# ours\n" * (k % 2) + many) for k in range(n)] + [(10, "p0", "again.py", many), (11, "p0", "vendor/x/a.py", many)]
+    rows += [(20 + k, f"p{k}", "few.py", few) for k in range(n - 1)] + [(30, "p0", "few2.py", few)]
+    rows += [(40 + k, f"p{k}", "tiny.py", tiny) for k in range(n)] + [(50 + k, f"p{k}", "own.py", made(f"own{k}")) for k in range(n)]
+    page = "<!DOCTYPE html>\n<html><head><title>404</title></head>\n<body><h1>Not Found</h1>\n<p>The page is gone.</p>\n</body></html>\n"
+    rows += [(60 + k, f"p{k}", "page.py", page) for k in range(n)]
+    df = spark.createDataFrame(rows, "file_id long, project_id string, file_path string, content string")
+    assert 0 < len(handwritten.examine("p", "a.py", many)[2]) < handwritten.LEAST
+    got = [r.file_id for r in handwritten.not_handwritten(df.unionByName(df.limit(3))).collect()]
+    assert sorted(got) == [*range(n), 10, 11]
+
+
 def test_winnowing_finds_every_long_common_run():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 40, 300)
