@@ -129,8 +129,23 @@ def functions(kind: str, text: str) -> list[Found]:
     return (_python if kind == "python" else _braces)(kind, text, masked, begins, lines, own)
 
 
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def _opened(masked: str) -> dict[int, int]:
+    """Where the bracket was opened, for each place where one is closed."""
+    out, stack = {}, []
+    for m in _BRACKET.finditer(masked):
+        if m[0] in "([{":
+            stack.append(m.start())
+        elif stack:
+            out[m.start()] = stack.pop()
+    return out
+
+
 def _python(kind: str, text: str, masked: str, begins: list[int], lines: list[str], own: dict) -> list[Found]:
     out = []
+    opened = None
     for m in _PY_DEF.finditer(masked):
         name = m[2] or m[3]
         line = line_at(begins, m.start(2) if m[2] else m.start(3))
@@ -159,13 +174,13 @@ def _python(kind: str, text: str, masked: str, begins: list[int], lines: list[st
             up = masked[begins[top - 2] : begins[top - 1]].rstrip("\n")
             if up.lstrip().startswith("@"):
                 top -= 1
-            elif up.strip() and up.strip()[-1] in ")]}" or up.rstrip().endswith(","):
+            elif up.strip() and up.strip()[-1] in ")]}":
                 # the end of a decorator of several lines
-                k = top - 1
-                while k > 0 and not masked[begins[k - 1] :].lstrip(" \t").startswith("@") and top - k < 40:
-                    k -= 1
-                at_sign = masked.find("@", begins[k - 1]) if k > 0 else -1
-                if k > 0 and at_sign >= 0 and (b := masked.find("(", at_sign)) >= 0 and line_at(begins, _close(masked, b) - 1) == top - 1:
+                if opened is None:
+                    opened = _opened(masked)
+                b = opened.get(begins[top - 2] + len(up.rstrip()) - 1, -1)
+                k = line_at(begins, b) if b >= 0 else 0
+                if k and masked[begins[k - 1] : b].lstrip().startswith("@"):
                     top = k
                 else:
                     break

@@ -242,3 +242,11 @@ def test_pairs(spark):
     row = pairs.code_pairs(f, s).first()
     assert row.code.startswith("def a(x)") and row.documentation == "Sorts by size first."
     assert pairs.code_pairs(f.limit(0), s).count() == 0
+
+
+@pytest.mark.parametrize("lines", [3, 39, 40, 200])
+def test_comment_above_a_long_decorator(lines):
+    rows = "".join(f"    ('@a{k}', [{k}]),\n" for k in range(lines))
+    text = f"import pytest\n\n# Says which rows are kept.\n@other\n@pytest.mark.parametrize('x,y', [\n{rows}])\ndef kept(x, y):\n    return x\n"
+    (found,) = functions("python", text)
+    assert found.docs and "Says which rows are kept" in found.docs[0]
