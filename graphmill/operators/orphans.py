@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import keyed_join
+
 #: Share of all references from which a key counts as hot; so at most 1 / HOT hot keys.
 HOT = 0.002
 FIELDS = ("from_qn", "to_name")
@@ -68,15 +70,7 @@ def orphan_edges(edges: DataFrame, symbols: DataFrame, externals: DataFrame) ->
     total = edges.count()  # from the files' footers
     counted = refs.groupBy("project_id", "key", "ref_field").agg(F.count(F.lit(1)).alias("n"))
     orphans = orphan_keys(counted, symbols, externals)
-    on = ["project_id", "key", "ref_field"]
-    # every hot key, orphan or not, is taken out of the shuffle
-    limit = max(1.0, HOT * total)
-    hot = counted.where(F.col("n") >= limit).select(*on, F.lit(True).alias("hot"))
-    hot_orphans = orphans.where(F.col("n") >= limit).select(*on)
-    marked = refs.join(F.broadcast(hot), on, "left")
-    few = marked.where(F.col("hot")).drop("hot").join(F.broadcast(hot_orphans), on, "left_semi")
-    rest = marked.where(F.col("hot").isNull()).drop("hot").join(orphans.where(F.col("n") < limit).select(*on), on, "left_semi")
-    return few.unionAll(rest).select("edge_id", "ref_field").dropDuplicates()
+    return keyed_join(refs, orphans, ["project_id", "key", "ref_field"], total=total, hot=HOT).select("edge_id", "ref_field").dropDuplicates()
 
 
 def orphan_counts(edges: DataFrame, symbols: DataFrame, externals: DataFrame) -> DataFrame:

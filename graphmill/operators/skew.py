@@ -52,19 +52,26 @@ def per_key(df: DataFrame, key: str, caller: str, value: str) -> DataFrame:
     )
 
 
+#: Parts that the rows of hot keys are spread over.
+SALTS = 1009
+
+
 def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], keep: tuple[str, ...] = (), total: int | None = None, hot: float = 0.002) -> DataFrame:
     """Rows whose key is among keys, with the kept columns of keys.
 
     keys has each key once with its number n of rows.  Keys with at least the
     share ``hot`` of all rows, at most 1 / hot of them, meet their rows by
     broadcast; all others meet them by a shuffle in which every key is small.
+    Both happen in one pass over the rows: those of hot keys are spread by a
+    hash of the whole row, so no task gets more than its share of them.
     ``total`` is the number of rows, if known.  Null keys match nothing.
     """
     if total is None:
         total = keys.agg(F.sum("n")).first()[0] or 0
     limit = max(1.0, hot * total)
-    many = keys.where(F.col("n") >= limit).select(*on, *keep, F.lit(True).alias("__hot"))
+    many = keys.where(F.col("n") >= limit).select(*on, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{k}") for k, c in enumerate(keep)))
+    few = keys.where(F.col("n") < limit).select(*on, F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__cold"), *keep)
     marked = rows.join(F.broadcast(many), on, "left")
-    few = marked.where(F.col("__hot")).drop("__hot")
-    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *keep).join(keys.where(F.col("n") < limit).select(*on, *keep), on)
-    return few.unionByName(rest)
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    both = marked.withColumn("__salt", salt).join(few, [*on, "__salt"], "left").where(F.col("__hot") | F.col("__cold"))
+    return both.select(*(F.col(c) for c in rows.columns), *(F.coalesce(F.col(f"__hot_{k}"), F.col(c)).alias(c) for k, c in enumerate(keep)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def session(app: str = "graphmill", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }.items():
         b = b.config(k, v)
@@ -51,14 +53,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors reach: spark.checkpoint.dir of the session.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset,
-    as in tests on one machine, a temporary folder is used.
+    Where it is unset a temporary folder serves on one machine; a cluster
+    without it is an error, as its executors share no local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "graphmill-checkpoint")
+    return folder
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder; partitions and their order stay."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphmill-checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: later scans read only the columns and rows they need.
+
+    Unlike a checkpoint it keeps no partitions and no order.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{_own(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"graphmill-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that this application wrote to the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{_own(spark)}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
