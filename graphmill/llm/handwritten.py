@@ -4,10 +4,11 @@ Three kinds of evidence, each from the whole content:
 
 * third-party code: token streams without comments are fingerprinted by
   winnowing, and a file whose fingerprints largely recur in several other
-  projects is a copy; so is one whose head names the package it came from;
-* output of a tool: a head that says so, a body of one repeated shape, or
-  generated tables;
-* minified or bundled code, data and lock contents, by the shape of the text.
+  projects is a copy, whatever its head says;
+* output of a tool: a mark that it must not be edited, or a body that repeats
+  one form, for which a head that speaks of a tool is one more sign;
+* minified or bundled code, data and lock contents, by measures of the text:
+  length of lines, blanks, names, literals and their entropy, lock keys.
 
 Directory names alone decide nothing.
 """
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from hashlib import blake2b
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import keyed_join
-from ..session import checkpointed
+from ..session import written
 from . import syntax
 
 #: Tokens of a fingerprint, and fingerprints of a window of which the least is kept.
 SHINGLE, WINDOW = 30, 16
-#: Projects that must have a fingerprint, the share of a file's fingerprints that must be such, and the least number of them.
-PROJECTS, SHARE, LEAST = 3, 0.8, 8
+#: Projects that must have a fingerprint, the share of a file's fingerprints that must be such (as a fraction), and the least number of them.
+PROJECTS, SHARE, LEAST = 3, (2, 3), 8
 #: Projects that must have the whole token stream of a file with fewer fingerprints; more, as short files repeat by chance.
 SHORT_PROJECTS = 5
 #: In a directory for third-party code, one other project and one fingerprint are enough.
@@ -93,24 +96,27 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.unique(acc).view(np.int64)
 
 
-#: What heads of generated files say, in several languages.
-GENERATED = re.compile(
-    r"(?i)\bcode generated by\b|(?:^|\W)@generated\b|\bauto-?generated\b(?! method)|<auto-generated|\bautomatically (?:generated|produced|created|written|built)\b|\b(?:generated|produced|created|written|built) automatically\b|\bmachine[- ](?:made|generated|written)\b"
-    r"|\b(?:this|the) (?:file|module|code|script|source) (?:was|is|has been) (?:auto-?)?(?:generated|produced|emitted)\b|\bgenerated (?:on \d|by (?:the )?\S+ (?:compiler|generator|tool|plugin|codegen)|from \S+\.\w+)|\bdo not (?:edit|modify|change)\b|\bdon'?t edit\b|\bedits? will be (?:lost|overwritten)\b|\bchanges (?:are|will be) lost\b|\bregenerate with\b"
-    r"|nicht von hand (?:bearbeiten|ändern)|automatisch (?:erzeugt|generiert|erstellt)|généré (?:automatiquement|par)|ne pas (?:modifier|éditer)|generado (?:automáticamente|por)|no (?:editar|modificar)\b|non modificare|gerado automaticamente|не редактировать|сгенерирован|自动生成|自動生成|请勿(?:修改|编辑)|編集しないで"
+#: Marks of generated files, and orders not to edit them, in several languages.
+MARK = re.compile(
+    r"(?i)\bcode generated\b.*\bdo not edit\b|(?:^|\W)@generated\b|<auto-generated|\bautogenerated file\b|\bdo not (?:edit|modify|change)\b|\bdon'?t edit\b|\bedits? will be (?:lost|overwritten)\b|\bchanges (?:are|will be) lost\b"
+    r"|nicht von hand (?:bearbeiten|ändern)|ne pas (?:modifier|éditer)|no (?:editar|modificar)\b|non modificare|не редактировать|请勿(?:修改|编辑)|編集しないで"
 )
-#: Heads that only mention it.
-KEPT = re.compile(r"(?i)\b(?:kept|maintained|edited|written|changed) by hand\b(?!.*bearbeiten)|\bedit (?:this file |it )?freely\b|\bnot kept here\b|\bis ours\b|\bno longer generated\b|\bsafe to edit\b|\bused to be generated\b|\bwhat we (?:look for|emit)\b")
-#: Heads of copied third-party code.
-COPIED = re.compile(
-    r"(?im)^\W*[\w@/.-]+ v?\d+\.\d+[\w.-]* *\|? *(?:\(c\)|copyright|licen[sc]ed|\||\*/|$)|\b(?:taken|copied|imported|vendored|borrowed|lifted)(?: unchanged| verbatim| as is)? from (?:the )?[\w@/.-]+(?: package| project| library)?,? *(?:v|version |release )?\d+\.\d+|\borigin: the [\w@/.-]+ (?:package|project|library)\b|\bupstream: *[\w@/.-]+|\breport bugs there, not here\b|\bimported as is\b"
+#: Words that say a file came from a tool, which hand-written files also use when they speak of it.
+SAYS = re.compile(
+    r"(?i)\bauto-?generated\b|\bautomatically (?:generated|produced|created|written|built)\b|\b(?:generated|produced|created|written|built) (?:automatically|by|from|on)\b|\bmachine[- ](?:made|generated|written)\b|\b(?:file|module|code|script|source) (?:was|is|has been) (?:generated|produced|emitted)\b|\bregenerate with\b"
+    r"|automatisch (?:erzeugt|generiert|erstellt)|\bwurde von \S+ erzeugt\b|généré (?:automatiquement|par)|generado (?:automáticamente|por)|gerado automaticamente|сгенерирован|自动生成|自動生成"
 )
-_HOLDER = re.compile(r"(?i)copyright (?:\(c\) |©|\d{4}[-, \d]*|the )*([\w.-]+(?: [\w.-]+){0,2}?) (?:project |team |core |software )*(?:authors|contributors|developers|foundation|maintainers)\b")
+#: Share of the rows of the two most frequent forms from which a body is one form again and again, alone and under a head that says so.
+REPEATED, REPEATED_SAID = 0.8, 0.6
+#: Share of a file in literals from which they are its content, and bits a character from which a literal is no text.
+CONTENT, BITS = 0.6, 4.8
+#: Least tokens of code that density and shares of tokens are measured on, and least literals of a table.
+LEAST_TOKENS, LEAST_LITERALS = 30, 20
 _LEADING = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|'use strict';|\"use strict\";)*")
 _LEADING_PY = re.compile(r"(?:\s+|\#[^\n]*)*")
+#: Keys of lock files.
 _LOCK = re.compile(r'"(?:lockfileVersion|integrity|resolved|_resolved|checksum|dependencies-meta)"')
-_TABLES = re.compile(r"(?m)^var yy[A-Z]\w* = |^_(?:tabversion|lr_method|lr_signature|lr_action_items|lr_goto_items)\b|^DESCRIPTOR\s*=|_descriptor_pool\.|serialized_pb\s*=|^(?:yy(?:table|check|defact|pgoto|translate)|static const yytype)")
-_WORDS = re.compile(r"[A-Za-z]+")
+_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 #: words of which data has none
 _CODE_WORDS = frozenset(("def", "func", "function", "class", "lambda", "return"))
 
@@ -122,47 +128,45 @@ def head(kind: str, text: str) -> str:
     return text[start : pattern.match(text, start).end()]
 
 
-def _says_generated(comments: str) -> bool:
-    return any(GENERATED.search(r) and not KEPT.search(r) for r in comments.split("\n"))
+def entropy(text: str) -> float:
+    """Bits a character."""
+    n = len(text)
+    return -sum(c / n * log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def _foreign(comments: str, project: str) -> bool:
-    """Does the head name another owner or package?"""
-    if COPIED.search(comments) and not KEPT.search(comments):
-        return True
-    own = {w.lower() for w in _WORDS.findall(project)}
-    for m in _HOLDER.finditer(comments):
-        words = [w.lower() for w in _WORDS.findall(m[1])]
-        if words and not all(w in own for w in words):
-            return True
-    return False
+def _encoded(toks: list[str], n: int) -> bool:
+    """Are literals that no one could read, such as encoded bytes, most of a text of n characters?"""
+    literals = [t.strip("\"'`") for t in toks if t[0] in "\"'`"]
+    if sum(map(len, literals)) <= CONTENT * n:
+        return False
+    whole = "".join(literals)
+    return whole.count(" ") < 0.02 * len(whole) and (entropy(whole) >= BITS or bool(_HEX.fullmatch(whole)))
 
 
 def shape(kind: str, text: str, toks: list[str]) -> str | None:
-    """minified, data or repeated, where a text's form alone shows that no hand wrote it."""
+    """lock, data or minified, where measures of a text show that no hand wrote it; toks are its tokens without comments.
+
+    Data are literals nobody could read, or hardly anything but literals.
+    Minified code has long lines with hardly a blank and many names.
+    """
     lines = text.count("\n") + 1
-    n = len(text)
-    blanks = n - len("".join(text.split()))
+    n, code = len(text), len(toks)
+    if kind == "json" and len(_LOCK.findall(text)) >= 5:
+        return "lock"
+    if _encoded(toks, n):
+        return "data"
     if kind == "json":
-        if len(_LOCK.findall(text)) >= 5:
-            return "lock"
         numbers = sum(1 for t in toks if t[0].isdigit())
-        return "data" if numbers >= 400 and numbers > 0.4 * len(toks) else None
-    code = len(toks)
-    if code < 30:
+        return "data" if numbers >= LEAST_LITERALS and numbers > 0.4 * code else None
+    if code < LEAST_TOKENS:
         return None
     literals = sum(1 for t in toks if t[0].isdigit() or t[0] in "\"'`")
-    marks = sum(1 for t in toks if t in ",[](){}-+.")
+    marks = sum(1 for t in toks if t in ",[](){}-+.:=")
     names = code - literals - marks
-    if _TABLES.search(text):
-        return "tables"
-    if not _CODE_WORDS.isdisjoint(toks):
-        pass
-    elif literals >= 20 and names <= 0.06 * code + 6 and literals + marks > 0.9 * code:
-        return "data"
-    elif n > 2000 and len(blob := max(toks, key=len)) > 0.6 * n and blob.count(" ") < 0.05 * len(blob):
+    if literals >= LEAST_LITERALS and names <= 0.06 * code + 6 and _CODE_WORDS.isdisjoint(toks):
         return "data"
-    if n > 400 and n / lines > 120 and blanks < 0.12 * n and names > 0.2 * code:
+    blanks = n - len("".join(text.split()))
+    if n / lines > 120 and blanks < 0.12 * n and names > 0.2 * code:
         return "minified"
     return None
 
@@ -171,24 +175,32 @@ _NUMBER = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
-def _repeats(kind: str, text: str) -> bool:
-    """Is the body one short form again and again, with other names and rising numbers?"""
+def _repeats(text: str, share: float = REPEATED) -> bool:
+    """Is at least a share of the body one or two forms of a row again and again, with other names and rising numbers?"""
     rows = [r.strip() for r in text.split("\n")]
     rows = [r for r in rows if r and r not in "{}" and not r.startswith(("#", "//", "*", "/*"))]
-    if len(rows) < 12:
-        return False
     forms: dict[str, int] = {}
     for r in rows:
         f = _NUMBER.sub("0", _NAME.sub(lambda m: m[0] if m[0] in _KEYWORDS else "x", r))
         forms[f] = forms.get(f, 0) + 1
-        if len(rows) - (len(forms) - 2) < 0.8 * len(rows):  # each form but two has a row that isn't of the top two
+        if len(rows) - (len(forms) - 2) < share * len(rows):  # each form but two has a row that isn't of the top two
             return False
     top = sorted(forms.values(), reverse=True)[:2]
-    if len(top) < 2 or min(top) < 5 or sum(top) < 0.8 * len(rows):
+    if len(top) < 2 or min(top) < 5 or sum(top) < share * len(rows):
         return False
     return any("(" in f for f, k in forms.items() if k >= min(top))
 
 
+def _generated(kind: str, comments: str, text: str) -> str | None:
+    """generated or repeated, by the body's repetition with the head as one more sign."""
+    if MARK.search(comments):
+        return "generated"
+    said = bool(SAYS.search(comments))
+    if kind != "json" and _repeats(text, REPEATED_SAID if said else REPEATED):
+        return "generated" if said else "repeated"
+    return None
+
+
 _KEYWORDS = frozenset("return if else for while def func function class self this nil null None type struct switch case var let const import from try catch except".split())
 
 
@@ -204,11 +216,8 @@ def examine(project: str, path: str | None, text: str | None) -> tuple[str | Non
     family = "python" if kind == "python" else "js" if kind in ("js", "mjs", "cjs") else "c"
     raw = _TOKENS[family].findall(text)
     hashes = np.fromiter(map(_HASHES[family].__getitem__, raw), np.int64, len(raw))
-    comments = head(family, text)
-    reason = "generated" if _says_generated(comments) else "third party" if _foreign(comments, project) else None
-    if reason is None:
-        marks = _COMMENT[family]
-        reason = shape(kind, text, [t for t in raw if not t.startswith(marks)]) or ("repeated" if kind != "json" and _repeats(kind, text) else None)
+    marks = _COMMENT[family]
+    reason = _generated(kind, head(family, text), text) or shape(kind, text, [t for t in raw if not t.startswith(marks)])
     code = hashes[hashes >= 0]
     prints = fingerprints(code)
     short = 0 < len(prints) < LEAST and raw[int((hashes >= 0).argmax())] != "<"  # a page saved under a name of code is no code
@@ -242,21 +251,23 @@ def shared_prints(prints: DataFrame) -> DataFrame:
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, reason) of each file that nobody wrote by hand for its project, once per file_id.
 
-    Copies within one project don't make a file a copy.  Files too short to
-    have LEAST fingerprints are copies if SHORT_PROJECTS have the same whole
-    token stream; those shorter than a shingle never are.  Repeated rows count
-    once.
+    A file is vendored if at least two thirds of its fingerprints, LEAST of
+    them at least, are those of PROJECTS projects; other reasons count where it
+    isn't.  Copies within one project don't make a file a copy.  Files too
+    short to have LEAST fingerprints are copies if SHORT_PROJECTS have the same
+    whole token stream; those shorter than a shingle never are.  Repeated rows
+    count once.
     """
-    seen = checkpointed(examined(files).dropDuplicates(["file_id"]))
-    known = seen.where("reason is not null").select("file_id", "reason")
-    open_ = seen.where("reason is null and n_prints > 0")
+    # a number for each row, as file_id may come repeatedly
+    seen = written(examined(files).withColumn("row", F.monotonically_increasing_id()))
     total, short = seen.agg(F.sum("n_prints"), F.count("whole")).first()
-    total = total or 0
     keys = shared_prints(seen.select("project_id", F.explode("prints").alias("print")))
-    found = keyed_join(open_.select("file_id", "marked", "n_prints", F.explode("prints").alias("print")), keys, ["print"], ("many",), total=total)
-    shared = found.groupBy("file_id", "marked", "n_prints").agg(F.count(F.lit(1)).alias("two"), F.count_if("many").alias("more"))
-    copy = ((F.col("n_prints") >= LEAST) & (F.col("more") >= SHARE * F.col("n_prints"))) | (F.col("marked") & (F.col("two") >= SHARE * F.col("n_prints")))
+    found = keyed_join(seen.where("n_prints > 0").select("row", F.explode("prints").alias("print")), keys, ["print"], ("many",), total=total or 0)
+    shared = found.groupBy("row").agg(F.count(F.lit(1)).alias("two"), F.count_if("many").alias("more"))
+    largely = lambda c: F.col(c) * SHARE[1] >= F.col("n_prints") * SHARE[0]
+    copy = ((F.col("more") >= LEAST) & largely("more")) | (F.col("marked") & largely("two"))
     wholes = seen.where("whole is not null").groupBy("whole", "project_id").agg(F.count(F.lit(1)).alias("n")).groupBy("whole").agg(F.count(F.lit(1)).alias("projects"), F.sum("n").alias("n"))
-    again = keyed_join(open_.where("whole is not null and not marked").select("file_id", "whole"), wholes.where(F.col("projects") >= SHORT_PROJECTS).select("whole", "n"), ["whole"], total=short)
-    copies = shared.where(copy).select("file_id").unionByName(again.select("file_id"))
-    return known.unionByName(copies.select("file_id", F.lit("vendored").alias("reason")))
+    again = keyed_join(seen.where("whole is not null and not marked").select("file_id", "whole"), wholes.where(F.col("projects") >= SHORT_PROJECTS).select("whole", "n"), ["whole"], total=short)
+    copies = seen.select("file_id", "row", "marked", "n_prints").join(shared, "row").where(copy).select("file_id").unionByName(again.select("file_id"))
+    reasons = copies.select("file_id", F.lit(True).alias("copy"), F.lit(None).cast("string").alias("reason")).unionByName(seen.where("reason is not null").select("file_id", F.lit(False).alias("copy"), "reason"))
+    return reasons.groupBy("file_id").agg(F.when(F.max("copy"), F.lit("vendored")).otherwise(F.max("reason")).alias("reason"))

@@ -128,7 +128,7 @@ def test_repeated_forms_at_the_limit():
     pairs = [f"f(a{k})\ng = a{k}" for k in range(40)]
     for others, want in ((20, True), (21, False)):  # 80 of 100 rows, and of 101
         text = "\n".join(pairs + [f"h{'(' * (k + 1)}b{k}" for k in range(others)])
-        assert handwritten._repeats("python", text) is want
+        assert handwritten._repeats(text) is want
 
 
 def test_copied_json(spark):
@@ -168,9 +168,23 @@ def test_winnowing_finds_every_long_common_run():
     assert len(handwritten.fingerprints(a[: handwritten.SHINGLE - 1])) == 0
 
 
-@pytest.mark.parametrize("head,own,want", [("// Taken unchanged from foo 1.2.3.", "p_a", True), ("/*! foo v1.2.3 */", "p_a", True), ("// Copyright The Foo Bar Authors", "prj_foo_bar_1", False), ("// Copyright The Foo Bar Authors", "prj_baz_1", True), ("// it once lived under vendor/, it is ours now", "p", False)])
-def test_foreign_heads(head, own, want):
-    assert handwritten._foreign(head, own) is want
+def test_heads_alone_do_not_make_third_party_or_generated():
+    for h in ("// Taken unchanged from foo 1.2.3.", "// Copyright The Foo Bar Authors", "// it once lived under vendor/, it is ours now", "// This file was generated once and is now kept by hand."):
+        assert handwritten.examine("p", "a.js", h + "\n" + OWN)[0] is None
+    said = "# Generated on 2024-1-1 by the report compiler v1.2\n" + "\n".join(f"def get_{k}(self):\n    return self.field({k})" for k in range(30)) + "\n" + "\n".join(f"h{'(' * k}" for k in range(25))
+    assert handwritten.examine("p", "a.py", said)[0] == "generated"
+    assert handwritten.examine("p", "a.py", said.split("\n", 1)[1])[0] is None
+
+
+def test_blobs_of_any_number_of_tokens():
+    r = random.Random(5)
+    blob = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=900))
+    words = "|".join(f"{a}_{b}" for a in ("open", "read", "close", "merge") for b in ("file", "index", "route", "symbol", "folder", "ledger"))
+    assert handwritten.examine("p", "a.py", f'DATA = "{blob}"')[0] == "data"
+    assert handwritten.examine("p", "a.js", f"module.exports = '{blob[:120]}';")[0] == "data"
+    assert handwritten.examine("p", "a.py", f'HASH = "{"0f3a" * 30}"')[0] == "data"
+    assert handwritten.examine("p", "a.py", f'PATTERN = "{words}"')[0] is None
+    assert handwritten.examine("p", "a.py", 'TITLE = "A sentence that someone wrote for people to read, and nothing else."')[0] is None
 
 
 # ---- reading levels
