@@ -228,8 +228,27 @@ def test_labelled_documents_without_sentences(spark):
     got = {x.doc_id: x.level for x in reading.reading_levels(docs, labels).collect()}
     assert all((got[k] == 4) == (v == 4) for k, _, v in rows[80:])
     assert [got[k] for k in range(3)] == [None] * 3
-    model = reading.fit_labelled([(t, [v]) for _, t, v in empty + rows[:80]], {})
-    assert np.array_equal(model.weights, reading.fit_labelled([(t, [v]) for _, t, v in rows[:80]], {}).weights)
+
+
+def test_parsing_and_medians():
+    p = reading.parse(["The user opens the file.\nA box holds the test.", None, "", "# The user opens the file"])
+    assert p.sentences.tolist() == [2, 0, 0, 0] and p.words.tolist() == [10, 0, 0, 0] and p.sizes.tolist() == [5, 5]
+    assert reading.sentences("Call `f()` with fooBar, then the next one stops; x_y.") == [["call", "with", "then", "the", "next", "one", "stops"]]
+    r = np.random.default_rng(3)
+    x, counts = r.normal(size=(40, 3)), np.array([0, 1, 2, 7, 0, 30])
+    ends = np.cumsum(counts)
+    assert np.allclose(reading.medians(x, counts), [np.median(x[e - c : e], axis=0) if c else np.zeros(3) for c, e in zip(counts, ends)])
+    rare = reading.rarities([(0, 100), (8, 50), (12, 2)])
+    assert rare.of(np.array([8, 12, 16])).round(3).tolist() == [0.151, 0.849, 0.849]
+
+
+def test_ordinal_finds_its_weights():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(6000, 3))
+    score = x @ [2.0, -1.0, 0.0] + r.logistic(size=6000)
+    y = 1 + (score[:, None] > [-2.0, 0.0, 1.5]).sum(1)
+    m = reading.Ordinal(1e-6).fit(x, y, np.ones(6000))
+    assert np.allclose(m.weights / m.scale, [2.0, -1.0, 0.0], atol=0.12) and np.allclose(m.cuts - (m.mean / m.scale) @ m.weights, [-2.0, 0.0, 1.5], atol=0.15)
 
 
 def test_levels_without_labels(spark):
