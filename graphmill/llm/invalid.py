@@ -36,15 +36,17 @@ def _verdict(file_id: int, project_id: str, path: str | None, text: str | None)
     try:
         valid, at, cause = syntax.check(kind, text)
     except RecursionError:
-        valid, at, cause = False, 0, "nested too deeply"
+        yield file_id, project_id, _NAMES[kind], None, None, None, "not decided"
+        return
     yield file_id, project_id, _NAMES[kind], valid, None if valid else at, None if valid else syntax.line_of(text, at), cause or None
 
 
 def syntax_flags(files: DataFrame) -> DataFrame:
     """One row per row of files (file_id, project_id, file_path, content): VERDICTS.
 
-    ``valid`` is null where no language is known or the content is null; an
-    empty Python or JavaScript file is valid, an empty Go or JSON file isn't.
+    ``valid`` is null where no language is known, the content is null or the
+    check couldn't decide (an expression of tens of thousands of nested
+    operators; brackets may nest to any depth); an empty Python or JavaScript file is valid, an empty Go or JSON file isn't.
     Repeated rows give repeated verdicts; other columns are ignored.
     ``failed_at`` counts characters.
     """

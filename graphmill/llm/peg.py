@@ -31,6 +31,8 @@ PAREN0, BRACK0, BRACE0, TOP = 0x10000, 0x50000, 0x90000, 0xF0000
 BASES = {"PAREN": PAREN0, "BRACK": BRACK0, "BRACE": BRACE0}
 LIMITS = {"PAREN": BRACK0, "BRACK": BRACE0, "BRACE": TOP}
 WINDOWS = (8, 20, 48)
+#: Levels of brackets that are folded by regular expression, a pass each.
+DEEP = 64
 _TOKEN = re.compile(r"\s*(?:(<-)|'([^']+)'|([A-Z][A-Z0-9_]*)(?:\[(\w+)\])?(?![a-z\w])|([A-Z]\w*)|([/*+?&!()]))")
 
 
@@ -71,6 +73,7 @@ class Grammar:
         self.memo = set(memo.split())
         self.rules: dict[str, tuple] = {}
         self._n = 0
+        self._inside: dict[str, set[str]] = {k: set() for k in BASES}
         self._sets: dict[frozenset, str] = {}
         self.env: dict = {"F": -1, "M": {}, "C": groups.content, "G": {}, "W": {}}
         self._read(text)
@@ -156,6 +159,8 @@ class Grammar:
         kind = e[0]
         if kind == "cls":
             lo, hi = chr(BASES[e[1]]), chr(LIMITS[e[1]])
+            if e[2] is not None:
+                self._inside[e[1]].add(e[2])
             if e[2] is None:
                 return [f"{pad}if {lo!r} <= s[i] < {hi!r}: i += 1", f"{pad}else:", f"{pad}    if i > F: F = i", f"{pad}    i = -1"]
             return [f"{pad}if {lo!r} <= s[i] < {hi!r} and (G[{e[2]!r}, s[i]] if ({e[2]!r}, s[i]) in G else group({e[2]!r}, s[i])): i += 1", f"{pad}else:", f"{pad}    if i > F: F = i", f"{pad}    i = -1"]
@@ -207,10 +212,33 @@ class Grammar:
     # ---- use
     def whole(self, rule: str, s: str) -> bool:
         """Does the rule consume all of s, a string ending in END?"""
-        return self.env["run"](rule, s)[0]
+        return self._run(rule, s)[0]
 
     def furthest(self, rule: str, s: str) -> int:
-        return self.env["run"](rule, s)[1]
+        return self._run(rule, s)[1]
+
+    def _run(self, rule: str, s: str) -> tuple[bool, int]:
+        try:
+            return self.env["run"](rule, s)
+        except RecursionError:
+            self.env["F"], self.env["M"] = -1, {}
+            self._settle(s)
+            return self.env["run"](rule, s)
+
+    def _settle(self, s: str) -> None:
+        """Results of all groups below s, innermost first, so that none recurs into another: for texts nested deeply."""
+        content, known = self.groups.content, self.env["G"]
+        seen, todo = set(), [c for c in s if c in content]
+        while todo:
+            c = todo.pop()
+            if c not in seen:
+                seen.add(c)
+                todo += [d for d in content[c] if d in content and d not in seen]
+        for c in [c for c in content if c in seen]:  # a group is interned after those inside it
+            kind = next(k for k in BASES if BASES[k] <= ord(c) < LIMITS[k])
+            for rule in self._inside[kind]:
+                if (rule, c) not in known:
+                    self.env["group"](rule, c)
 
     def failing(self, char: str) -> list[str]:
         """Rules that the content of a group was tried with, and that failed."""
@@ -295,10 +323,24 @@ def fold(kinds: str, groups: Groups, strip: re.Pattern | None = None) -> str:
         c = m[k]
         return intern(_KINDS[k], strip.sub("", c) if strip else c)
 
-    while True:
+    for _ in range(DEEP):
         kinds, n = _FOLD.subn(one, kinds)
         if not n:
             return kinds
+    # nested more deeply: one pass with a stack
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    for c in kinds:
+        if c in _INNER:
+            stack.append((c, []))
+        elif c in ")]}":
+            opened, inside = stack.pop()
+            if not stack or _INNER[opened][1] != c:
+                return kinds
+            whole = "".join(inside)
+            stack[-1][1].append(intern(_INNER[opened][0], strip.sub("", whole) if strip else whole))
+        else:
+            stack[-1][1].append(c)
+    return "".join(stack[0][1]) if len(stack) == 1 else kinds
 
 
 def unbalanced(kinds: str) -> tuple[int, str] | None:

@@ -14,7 +14,8 @@ from bisect import bisect_right
 from . import grammars
 from .peg import BRACE0, END, Grammar, Groups, add_list, fold, unbalanced
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+#: Python frames that a check may use.
+FRAMES = 60_000
 ERR = "\ufffe"
 MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)")
 
@@ -688,6 +689,8 @@ class Python(Json):
         if ERR in kinds:
             chars = self._chars(body)
             kinds = "".join(c for c, _ in chars)
+        if (deep := _too_deep(kinds)) is not None:
+            return Verdict(False, self._chars(body)[deep][1], "too many nested brackets")
         s = fold(kinds, self.groups, self._split)
         if s:
             parts = self._split.split(s)[1:]
@@ -740,6 +743,22 @@ class Python(Json):
         return rows[-1][0][1] - 1 if rows[-1] else 0
 
 
+#: Fixed value: brackets that Python nests at most.
+PYTHON_LEVELS = 200
+
+
+def _too_deep(kinds: str) -> int | None:
+    """Position of the first bracket beyond PYTHON_LEVELS."""
+    if sum(map(kinds.count, "([{")) <= PYTHON_LEVELS:
+        return None
+    depth = 0
+    for k, c in enumerate(kinds):
+        depth += (c in "([{") - (c in ")]}")
+        if depth > PYTHON_LEVELS:
+            return k
+    return None
+
+
 _LANGUAGES: dict[str, Language] = {}
 
 
@@ -752,7 +771,12 @@ def language(name: str) -> Language:
 
 def check(name: str, text: str) -> Verdict:
     """Verdict on a text; name is python, go, js, mjs, cjs or json."""
-    v = language("javascript").check(text, name) if name in ("js", "mjs", "cjs") else language(name).check(text)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, FRAMES))
+    try:
+        v = language("javascript").check(text, name) if name in ("js", "mjs", "cjs") else language(name).check(text)
+    finally:
+        sys.setrecursionlimit(limit)
     return _within(v, len(text))
 
 
