@@ -130,16 +130,21 @@ def symbols_in_force(symbols: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def code_pairs(files: DataFrame, symbols: DataFrame, code: bool = True) -> DataFrame:
-    """Code and documentation of each documented function: file_id, qualified_name, kind, signature, documentation, code.
-
-    With code=False only file_id and qualified_name.  A function is joined to the
-    symbol in force with the same name at the same line; one without gives no
-    row, nor do null contents, files that don't parse and files without
-    functions.  Repeated rows of files give one result.
+    """Code and documentation of each documented function: file_id, qualified_name, start_line, kind, signature, documentation, code.
+
+    With code=False only file_id and qualified_name, each once.  A function is
+    joined to the symbol in force with the same name at the same line; one
+    without gives no row, nor do null contents, files that don't parse and files
+    without functions.  Functions of equal qualified name at different lines
+    are different pairs.  Repeated rows of files give one result; if their
+    contents differ, the least of its columns in order.
     """
     cols = "file_id long, project_id string, file_path string, name string, start_line int"
     rows = map_rows(files.select("file_id", "project_id", "file_path", "content"), _rows(code), cols + (", documentation string, code string" if code else ""))
     keys = ["project_id", "file_path", "name", "start_line"]
     there = symbols_in_force(symbols.where(F.col("kind").isin("Function", "Method")), ["file_path", "name", "start_line", "qualified_name", *(["kind", "signature"] if code else [])])
-    out = ["file_id", "qualified_name", *(["kind", "signature", "documentation", "code"] if code else [])]
-    return rows.join(there, keys).select(*out).dropDuplicates(["file_id", "qualified_name"])
+    joined = rows.join(there, keys)
+    if not code:
+        return joined.select("file_id", "qualified_name").distinct()
+    rest = ["kind", "signature", "documentation", "code"]
+    return joined.groupBy("file_id", "qualified_name", "start_line").agg(F.min(F.struct(*rest)).alias("v")).select("file_id", "qualified_name", "start_line", *(f"v.{c}" for c in rest))

@@ -153,6 +153,15 @@ def test_json_mutations_agree():
         assert ok("json", t) == want, t
 
 
+def test_brackets_of_any_depth(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    assert ok("json", deep) and not ok("json", deep[:-1]) and not ok("json", "[" * 50_000 + "x" + "]" * 50_000)
+    assert ok("go", "package p\nvar x = " + "(" * 5000 + "1" + ")" * 5000 + "\n") and ok("js", "x = " + "[{a:(" * 500 + "1" + ")}]" * 500)
+    assert ok("python", "x = " + "(" * 200 + "1" + ")" * 200) and not ok("python", "x = " + "(" * 201 + "1" + ")" * 201)
+    df = spark.createDataFrame([(1, "p", "deep.json", deep)], "file_id long, project_id string, file_path string, content string")
+    assert invalid.syntax_flags(df).first().valid is True
+
+
 def test_very_deep_and_long_texts():
     assert ok("json", "[" * 3000 + "]" * 3000)
     assert not ok("json", "[" * 3000 + "]" * 2999)
@@ -244,6 +253,13 @@ def test_pairs(spark):
     assert pairs.code_pairs(f.limit(0), s).count() == 0
 
 
+def test_pairs_of_equal_names(spark):
+    f = spark.createDataFrame([(1, "p", "a.py", "# Reads the file whole.\ndef a(): pass\n# Writes the rows back.\ndef a(): pass\n", None, 1)] * 2, FILES)
+    s = spark.createDataFrame([("p", str(n), "a.py", "a", "m.a", "Function", "def a()", n, 1, None) for n in (2, 4)], "project_id string, id string, file_path string, name string, qualified_name string, kind string, signature string, start_line int, indexed_at int, deleted_at int")
+    assert sorted((r.start_line, r.documentation) for r in pairs.code_pairs(f, s).collect()) == [(2, "Reads the file whole."), (4, "Writes the rows back.")]
+    assert pairs.code_pairs(f, s, code=False).count() == 1
+
+
 @pytest.mark.parametrize("lines", [3, 39, 40, 200])
 def test_comment_above_a_long_decorator(lines):
     rows = "".join(f"    ('@a{k}', [{k}]),\n" for k in range(lines))
