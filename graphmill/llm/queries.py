@@ -117,5 +117,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_latency": "WITH " + _USABLE + _PICK.format(groups="tool, server_id, day", source="usable", columns=_COLUMNS),
         "p4_latency_merged": "WITH " + _USABLE + _PICK.format(groups="tool", source="usable", columns=_COLUMNS),
+        "p4_states": "WITH " + _USABLE + """SELECT tool, server_id, day, CASE WHEN v = 0 THEN 0.0 ELSE round(v * pow(10.0, 2 - floor(log10(abs(v))))) / pow(10.0, 2 - floor(log10(abs(v)))) END AS value, count(*) AS n FROM usable GROUP BY ALL""",
         "p4_savings": savings + _PICK.format(groups="tool", source="usable", columns=_COLUMNS),
     }

@@ -36,7 +36,7 @@ def test_encoding_round_trip_and_cases(spark):
 
 
 # ---- percentiles
-@pytest.mark.parametrize("name", ["p4_latency", "p4_latency_merged", "p4_savings"])
+@pytest.mark.parametrize("name", ["p4_latency", "p4_latency_merged", "p4_savings", "p4_states"])
 def test_percentiles_match_sql(spark, data, name):
     c = compare.connect(data)
     got, want = compare.spark_rows(queries.queries()[name](spark, data)), compare.sql_rows(c, queries.oracle_sql()[name])
@@ -54,6 +54,26 @@ def test_percentiles_of_one_hot_group_over_many_ranges(spark):
     assert "e" not in rows
 
 
+def test_percentiles_with_groups_over_many_batches(spark):
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        r = random.Random(6)
+        rows = [(r.choice(["a", "a", "a", "b", None, "d", "e"]), r.choice([1, 2, None]), float(r.randrange(90))) for _ in range(3000)]
+        df = spark.createDataFrame(rows, "g string, h int, v double")
+        for parts in (1, 4, 13):
+            got = {(x.g, x.h): x for x in percentiles.percentiles(percentiles.value_counts(df, ["g", "h"], "v"), ["g", "h"], parts=parts).collect()}
+            want: dict = {}
+            for g, h, v in rows:
+                want.setdefault((g, h), []).append(v)
+            assert len(got) == len(want)
+            for key, v in want.items():
+                v.sort()
+                assert got[key].n == len(v) and all(got[key][c] == v[max(1, -(-p * len(v) // 1000)) - 1] for c, p in percentiles.TARGETS.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+
+
 def test_states_merge_and_stay_within_the_error(spark):
     a, b = spark.range(0, 700), spark.range(700, 1000)
     v = lambda d: d.select(F.lit("g").alias("g"), (F.exp(F.col("id") / 100.0)).alias("v"))
@@ -94,6 +114,31 @@ def test_mixture(spark):
     assert mixture.mixture(docs.limit(0), targets).count() == 0
 
 
+@needs_vocabulary
+def test_mixture_lands_in_rounds(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(k, "word " * r.randrange(1, 80), "big" if k < 900 else "small") for k in range(1000)], "doc_id long, text string, source string").repartition(12, "doc_id")
+    targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.3, 2)], "source string, target_share double, max_repeats int")
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 11)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixture.mixture(docs, targets, fan=2).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tokens = {s: sum(x.n_tokens * x.copies for x in got if x.source == s) for s in ("big", "small")}
+    assert len({x.doc_id for x in got}) == len(got) and abs(tokens["big"] / sum(tokens.values()) - 0.7) < 0.003
+    assert max(x.copies for x in got if x.source == "big") == 1 and max(x.copies for x in got if x.source == "small") <= 2
+
+
+def test_settle_long_keeps_the_expected_tokens():
+    items = [(1, 50_000, 0.5), (2, 20_000, 0.4), *((k, 100, 0.5) for k in range(3, 2003))]
+    out, rest = mixture.settle_long(items, 3)
+    assert [x[0] for x in out] == [1, 2]
+    assert abs(sum(t * k for _, t, k in out) + sum(t * p for _, t, p in rest) - sum(t * p for _, t, p in items)) < 1e-3
+
+
 # ---- hand-written files
 LIB = "\n".join(f"def part_{k}(values, limit_{k}):\n    kept_{k} = [v for v in values if v > {k}]\n    return kept_{k}[:limit_{k}]\n" for k in range(20))
 OWN = "\n".join(f"def step_{k}(rows, size):\n    while rows and len(rows) > size + {k * 3}:\n        rows = rows[{k}:]\n    return sum(rows) * {k}\n" for k in range(20))
