@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: Baseline confidence by kind of node.
 KIND_BASELINE = {"Function": 1.0, "Method": 1.0, "Class": 1.0, "Interface": 1.0, "Module": 0.95, "Variable": 0.9, "Constant": 0.9, "Setting": 0.95, "Section": 0.95, "Document": 0.9}
 #: Paths that tests, fixtures and copies live under.
-TEST_PATH = r"(?:^|/)(?:tests?|__tests__|spec|specs|testing)/|(?:^|/)(?:test_[^/]*|[^/]*_test|[^/]*_spec|conftest)\.\w+$|\.(?:test|spec)\.[cm]?[jt]sx?$|(?:^|/)[^/]*Tests?\.(?:java|kt|cs|scala|swift)$"
-FIXTURE_PATH = r"(?:^|/)(?:testdata|fixtures?|__fixtures__|golden|snapshots|__snapshots__|mocks?|__mocks__|examples?|samples?|corpus)/"
+TEST_PATH = r"(?i:(?:^|/)(?:tests?|__tests__|specs?|e2e|it)/)|(?i:_test\.(?:go|py|rs|rb)$|_spec\.rb$|\.(?:test|spec)\.[cm]?[jt]sx?$|(?:^|/)(?:test_[^/]*|conftest)\.py$)|(?:Tests?|Spec|IT)\.(?:java|kt|swift|cs|php|scala)$"
+#: The same in SQL, of a column's name.
+TEST_SQL = "regexp_matches({0}, '" + TEST_PATH + "')"
+FIXTURE_PATH = r"(?i)(?:^|/)(?:testdata|test-fixtures|test_fixtures|__fixtures__|fixtures)/"
 PENALTY_PATH = r"(?:^|/)(?:vendor|third_party|node_modules|dist|build|generated)/"
 COMPLEXITY_WORDS = ("if ", "for ", "while ", "case ", "catch ", "&&", "||", "elif ", "except ")
 
@@ -48,6 +50,11 @@ def package_of(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit(""))
 
 
+def directory_of(path: Column) -> Column:
+    """The directories of a path; a dot for a file at the root."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
+
+
 def slug(text: Column) -> Column:
     """A heading as an anchor: small letters, digits and single dashes."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}\s_-]", ""), r"[\s-]+", "-"), F.lit("-"))

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_fixture
+from ..sources.languages import EXTENSIONS
 from . import search, traverse
 
-#: Words of error texts that name nothing.
-NOISE = ("panic runtime goroutine Error error Exception exception Traceback traceback at in line File file main init go true false null nil None undefined TypeError ValueError KeyError IndexError NameError RuntimeError").split()
+#: Words that error texts are made of and that name no function of a project, in small letters.
+NOISE = frozenset(
+    "aborted argument assert assertion at call called caused cause column crash critical debug during error errors exception exit failed failure false fatal file frame from goroutine in index info init invalid key line list main memory message "
+    "missing module most name native new nil none null object of on panic raise recent root runtime signal source stack state status string system thread throw thrown traceback true type undefined unexpected unknown value warning with".split()
+)
 #: Shares of a suspect's score: named, named often, its file named, changed lately, and callers (full from 20).
 WEIGHTS = {"named": 0.45, "often": 0.10, "file": 0.20, "changed": 0.20, "callers": 0.05}
 FULL_CALLERS = 20
-_FILE = r"([\w./\\-]*\.(?:go|py|js|mjs|cjs|ts|jsx|tsx|rb|rs|java|cs|kt|swift|php|cpp|c|h|hpp|cc|lua|scala|ex|exs|zig|dart|r)):\d+"
-_QUOTED = r"File\s+\"([^\"]+\.py)\""
+#: A path with the extension of a known language before a line number, and one in quotes after the word File.
+_PLACE = r"([\w./\\-]*\.(?:" + "|".join(sorted(EXTENSIONS, key=len, reverse=True)) + r")):\d+"
+_NAMED = r"\bFile\s+[\"']([^\"'\n]+)[\"']"
 
 
 def frames(failures: DataFrame) -> DataFrame:
@@ -22,12 +27,12 @@ def frames(failures: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\b"), 1)
     one = failures.select("failure_id", "project_id", F.explode(words).alias("w"))
     both = one.select("failure_id", "project_id", F.explode(F.array_distinct(F.array("w", F.substring_index("w", ".", -1)))).alias("name"))
-    return both.where(~F.col("name").isin(*NOISE) & (F.length("name") >= 3)).groupBy("failure_id", "project_id", "name").agg(F.count(F.lit(1)).alias("times"))
+    return both.where(~F.lower("name").isin(*sorted(NOISE)) & (F.length("name") >= 3)).groupBy("failure_id", "project_id", "name").agg(F.count(F.lit(1)).alias("times"))
 
 
 def trace_files(failures: DataFrame) -> DataFrame:
     """(failure_id, project_id, file_path): files that error texts name, with forward slashes."""
-    found = F.array_union(F.regexp_extract_all("text", F.lit(_FILE), 1), F.regexp_extract_all("text", F.lit(_QUOTED), 1))
+    found = F.array_union(F.regexp_extract_all("text", F.lit(_PLACE), 1), F.regexp_extract_all("text", F.lit(_NAMED), 1))
     return failures.select("failure_id", "project_id", F.explode(found).alias("f")).select("failure_id", "project_id", F.replace("f", F.lit("\\"), F.lit("/")).alias("file_path")).distinct()
 
 

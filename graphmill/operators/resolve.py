@@ -1,9 +1,11 @@
 """Binding name-shaped references to nodes.
 
-Each way to find a target is a join on a table with one row per name, made
-beforehand; a reference takes the first way that finds one.  Distinct names are
-resolved, not references, so a name that millions of references use is looked up
-once, and its references meet the answer by broadcast if they are many.
+Nodes become one table of targets, with a row for each way of naming a node;
+references become probes of that table, each with the rank of its way.  One join
+and one aggregate then give every name its best target, however many ways there
+are.  Distinct names are resolved, not references, so a name that millions of
+references use is looked up once, and the rows of hot names are spread when they
+meet the answer.
 """
 
 from __future__ import annotations
@@ -11,121 +13,266 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_fixture, is_test_file
+from ..functions.columns import directory_of, is_fixture, is_test_file
+from ..session import written
 from .orphans import bare_name
 from .skew import keyed_join
 
-NOT_CODE = ("Module", "Setting", "Section", "Document", "Variable")
+#: Kinds that no call or name of code refers to.
+NOT_CODE = ("Setting", "Section", "Document", "Resource", "Output", "Local", "Provider", "Block", "DataSource")
 EDGE = ["project_id", "from_id", "to_id", "kind"]
-
-
-def nodes_in_force(symbols: DataFrame) -> DataFrame:
-    """The last version of each symbol that isn't deleted, with the columns that resolving needs."""
-    cols = ["file_path", "name", "qualified_name", "kind", "language", "parent"]
+#: Packages of Go's standard library by the name they are used under; a call on them is no call of a method of the project.
+STANDARD = (
+    "ast atomic base64 big binary bits bufio build bytes cgo cmplx color constant container context crypto csv doc draw driver ecdsa ed25519 elliptic encoding errors exec expvar filepath flate fmt format gif gzip hash heap hex html http image "
+    "importer io ioutil ip jpeg jsonrpc list log mail math md5 mime multipart net os parser path pem plugin png pprof printer rand reflect regexp ring rpc rsa runtime scanner sha1 sha256 signal slog smtp sort sql strconv strings subtle sync syscall "
+    "tabwriter tar tcp template text time tls token trace types udp unicode unsafe url user utf16 utf8 x509 xml zip"
+).split()
+#: Methods of Go's standard interfaces and types, which tell nothing about their receiver.
+COMMON_METHODS = (
+    "String Error GoString Read Write Close Seek ReadAt WriteAt ReadFrom WriteTo ReadByte WriteByte ReadString WriteString ReadRune WriteRune UnreadByte UnreadRune Lock Unlock RLock RUnlock TryLock Len Less Swap ServeHTTP "
+    "MarshalJSON UnmarshalJSON MarshalText UnmarshalText MarshalBinary UnmarshalBinary MarshalYAML UnmarshalYAML Format Scan Now Add Sub Before After Equal Deadline Done Err Value Is As Unwrap Run"
+).split()
+#: Directories that Python packages may lie in without being part of their names.
+ROOTS = ("src",)
+#: Files that declare variables of playbooks.
+VARIABLE_FILES = r"(?:(?:^|/)(?:group_vars|host_vars|vars)/|/defaults/).*\.ya?ml$"
+_SEP = "\u0001"
+_COLUMNS = ["file_path", "name", "qualified_name", "kind", "language", "parent"]
+
+
+def nodes_in_force(symbols: DataFrame, *more: str) -> DataFrame:
+    """The last version of each symbol that isn't deleted, with the columns that resolving needs and more.
+
+    Of versions with equal indexed_at a deletion wins, then the largest values.
+    """
+    cols = [*_COLUMNS, *more]
     last = F.max(F.struct("indexed_at", F.col("deleted_at").isNotNull().alias("gone"), *cols)).alias("v")
     return symbols.groupBy("project_id", "id").agg(last).where(~F.col("v.gone")).select("project_id", "id", *(f"v.{c}" for c in cols))
 
 
 def pending(edges: DataFrame, *kinds: str) -> DataFrame:
-    """References of some kinds, once per (project, file, kind, from_qn, to_name), names without decoration, surest confidence."""
+    """References of some kinds, once per (project, file, kind, from_qn, to_name), names without decoration.
+
+    Of equal ones the surest confidence and the largest types count.
+    """
     e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    e = e.select("project_id", "from_file", "kind", bare_name(F.col("from_qn")).alias("from_qn"), bare_name(F.col("to_name")).alias("to_name"), "confidence")
-    return e.where("to_name is not null").groupBy("project_id", "from_file", "kind", "from_qn", "to_name").agg(F.max("confidence").alias("confidence"))
+    types = [F.col(c) if c in edges.columns else F.lit(None).cast("string").alias(c) for c in ("receiver_type", "base_type")]
+    e = e.select("project_id", "from_file", "kind", bare_name(F.col("from_qn")).alias("from_qn"), bare_name(F.col("to_name")).alias("to_name"), "confidence", *types)
+    return e.where("to_name is not null").groupBy("project_id", "from_file", "kind", "from_qn", "to_name").agg(*(F.max(c).alias(c) for c in ("confidence", "receiver_type", "base_type")))
+
+
+def _ways() -> dict[str, tuple[Column, Column, Column]]:
+    """By way of naming: which nodes have the name, the name, and what is best besides the least id."""
+    code, method = ~F.col("kind").isin(*NOT_CODE), F.col("kind") == "Method"
+    value = F.when(F.col("kind") == "Variable", 0).when(F.col("kind") == "Function", 1).when(method, 2)
+    zero = F.lit(0)
+    return {
+        "qn": (code, F.col("qualified_name"), zero),
+        "any": (F.lit(True), F.col("qualified_name"), zero),
+        "file": (F.lit(True), F.concat_ws(_SEP, "file_path", "qualified_name"), zero),
+        "name": (code & ~method, F.col("name"), zero),
+        "method": (method, F.col("name"), zero),
+        "value": (value.isNotNull(), F.concat_ws(_SEP, "language", directory_of(F.col("file_path")), "name"), value),
+        "value anywhere": (value.isNotNull(), F.col("name"), value),
+        "setting": ((F.col("kind") == "Setting") & F.col("file_path").rlike(VARIABLE_FILES), F.col("name"), zero),
+        "module": (F.col("kind") == "Module", F.col("qualified_name"), zero),
+        "in file": (F.lit(True), F.col("file_path"), zero),
+    }
+
+
+def targets(nodes: DataFrame, *ways: str) -> DataFrame:
+    """(project_id, way, name, v, alone): the best node of each name by each way, and whether it is the only one.
+
+    Nodes outside fixtures come first, then the way's order, then the least id.
+    A way "member" names the members of classes as class.member.
+    """
+    table = _ways()
+    fixture = F.coalesce(is_fixture(F.col("file_path")), F.lit(False)).cast("int")
+    outside = lambda w: fixture if w in ("name", "method", "value", "value anywhere") else F.lit(0)
+    rows = F.array(*(F.when(table[w][0], F.struct(F.lit(w).alias("way"), table[w][1].alias("name"), outside(w).alias("f"), table[w][2].cast("int").alias("r"))) for w in ways if w != "member"))
+    every = nodes.select("project_id", "id", "language", "kind", "file_path", F.explode(rows).alias("t")).where("t is not null and t.name is not null").select("project_id", "t.*", "id", "language", "kind")
+    if "member" in ways:
+        classes = nodes.where(F.col("kind").isin("Class", "Interface")).groupBy("project_id", "name").agg(F.min(F.struct("id", "qualified_name")).alias("c")).select("project_id", F.col("c.qualified_name").alias("owner"), F.col("name").alias("class"))
+        own = nodes.where(~F.col("kind").isin(*NOT_CODE)).select("project_id", F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("owner"), F.substring_index("qualified_name", ".", -1).alias("last"), "id", "language", "kind")
+        members = own.join(classes, ["project_id", "owner"]).select("project_id", F.lit("member").alias("way"), F.concat_ws(".", "class", "last").alias("name"), F.lit(0).alias("f"), F.lit(0).alias("r"), "id", "language", "kind")
+        every = every.unionByName(members)
+    best = F.min(F.struct("f", "r", "id", "language", "kind")).alias("v")
+    outside_n = F.count_if(F.col("f") == 0)
+    return every.groupBy("project_id", "way", "name").agg(best, F.when(outside_n > 0, outside_n == 1).otherwise(F.count(F.lit(1)) == 1).alias("alone"))
 
 
-def by_qualified_name(nodes: DataFrame, code_only: bool) -> DataFrame:
-    """(project_id, name, id): the least id of each qualified name."""
-    n = nodes.where(~F.col("kind").isin(*NOT_CODE)) if code_only else nodes
-    return n.groupBy("project_id", F.col("qualified_name").alias("name")).agg(F.min("id").alias("id"))
+def resolve(keys: DataFrame, on: list[str], probes: list[tuple[str, str, Column]], table: DataFrame) -> DataFrame:
+    """keys and their number n with to_id, to_language, to_kind and label of the first probe (label, way, name) that finds a target."""
+    tries = F.array(*(F.struct(F.lit(k).alias("__rank"), F.lit(label).alias("__label"), F.lit(way).alias("__way"), name.alias("__name")) for k, (label, way, name) in enumerate(probes)))
+    asked = keys.select(*on, "n", F.explode(tries).alias("__t")).where("__t.__name is not null").select(*on, "n", "__t.*")
+    named = table.select("project_id", F.col("way").alias("__way"), F.col("name").alias("__name"), "v", "alone")
+    hit = asked.join(named, ["project_id", "__way", "__name"]).where((F.col("__way") != "method") | F.col("alone"))
+    best = hit.groupBy(*on).agg(F.max("n").alias("n"), F.min(F.struct("__rank", "__label", "v")).alias("b"))
+    return best.select(*on, "n", F.col("b.v.id").alias("to_id"), F.col("b.v.language").alias("to_language"), F.col("b.v.kind").alias("to_kind"), F.col("b.__label").alias("label"))
 
 
-def by_name(nodes: DataFrame) -> DataFrame:
-    """(project_id, name, id): of each bare name the function or class outside fixtures first, then the least id."""
-    n = nodes.where(~F.col("kind").isin(*NOT_CODE, "Method"))
-    return n.groupBy("project_id", "name").agg(F.min(F.struct(F.coalesce(is_fixture(F.col("file_path")), F.lit(False)).alias("f"), "id")).alias("b")).select("project_id", "name", "b.id")
+def _undotted(c: Column) -> Column:
+    return F.when(~F.contains(c, F.lit(".")), c)
 
 
-def only_method(nodes: DataFrame) -> DataFrame:
-    """(project_id, name, id): methods whose name no other method outside fixtures has."""
-    n = nodes.where((F.col("kind") == "Method") & ~F.coalesce(is_fixture(F.col("file_path")), F.lit(False)))
-    return n.groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").select("project_id", "name", "id")
+def with_sources(refs: DataFrame, table: DataFrame, probes: list[tuple[str, str, Column]], total: int) -> DataFrame:
+    """refs with from_id and from_language: the node that each comes from; others are left out."""
+    on = ["project_id", "from_file", "from_qn"]
+    keys = refs.where("from_qn is not null").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    found = resolve(keys, on, probes, table).select(*on, "n", F.col("to_id").alias("from_id"), F.col("to_language").alias("from_language"))
+    return keyed_join(refs, written(found), on, ("from_id", "from_language"), total=total)
 
 
-def first_of(names: DataFrame, ways: list[tuple[str, DataFrame, Column]]) -> DataFrame:
-    """names (project_id, name, n) with to_id and way: the first way whose table has the key made from the name."""
-    out = names
-    choices, labels = [], []
-    for k, (label, tab, key) in enumerate(ways):
-        t = tab.select(F.col("project_id"), F.col("name").alias(f"__k{k}"), F.col("id").alias(f"__id{k}"))
-        out = out.withColumn(f"__k{k}", key).join(t, ["project_id", f"__k{k}"], "left")
-        choices.append(F.col(f"__id{k}"))
-        labels.append(F.when(F.col(f"__id{k}").isNotNull(), label))
-    return out.select("project_id", "name", "n", F.coalesce(*choices).alias("to_id"), F.coalesce(*labels).alias("way")).where("to_id is not null")
+def _from(last: str) -> list[tuple[str, str, Column]]:
+    """Ways to find a source: its name in the same file, in the project, and its bare name."""
+    qn = F.col("from_qn")
+    return [("1", "file", F.concat_ws(_SEP, "from_file", "from_qn")), ("2", "any", qn), ("3", last, _undotted(qn))]
 
 
-def _sources(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """refs with from_id: the node of that qualified name in the same file, else the least one of the project."""
-    local = nodes.groupBy("project_id", F.col("file_path").alias("from_file"), F.col("qualified_name").alias("from_qn")).agg(F.min("id").alias("__local"))
-    wide = by_qualified_name(nodes, False).select("project_id", F.col("name").alias("from_qn"), F.col("id").alias("__wide"))
-    return refs.join(local, ["project_id", "from_file", "from_qn"], "left").join(wide, ["project_id", "from_qn"], "left").withColumn("from_id", F.coalesce("__local", "__wide")).drop("__local", "__wide").where("from_id is not null")
+def absolute_name(name: Column, file: Column) -> Column:
+    """A Python name with leading dots as seen from its file; null where it leaves the project."""
+    level = F.length(F.regexp_extract(name, r"^\.+", 0))
+    folders = F.slice(F.split(file, "/"), 1, F.greatest(F.size(F.split(file, "/")) - 1, F.lit(0)))
+    keep = F.size(folders) - level + 1
+    whole = F.concat_ws(".", F.nullif(F.array_join(F.slice(folders, 1, F.greatest(keep, F.lit(0))), "."), F.lit("")), F.nullif(F.substring(name, level + 1, F.length(name)), F.lit("")))
+    return F.when(level == 0, name).when(keep >= 0, F.nullif(whole, F.lit("")))
 
 
-def _bind(refs: DataFrame, nodes: DataFrame, ways: list[tuple[str, DataFrame, Column]], source: str) -> DataFrame:
-    names = refs.groupBy("project_id", F.col("to_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    targets = first_of(names, ways)
-    bound = keyed_join(refs.withColumnRenamed("to_name", "name"), targets, ["project_id", "name"], ("to_id", "way"), total=None)
-    edges = _sources(bound, nodes).where("from_id <> to_id")
-    return edges.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.min("way").alias("way")).withColumn("source", F.lit(source))
+def _python(file: Column) -> Column:
+    return F.coalesce(file.rlike(r"(?i)\.pyw?i?$"), F.lit(False))
 
 
-def resolve_calls(pending_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """CALLS edges: by qualified name, by bare name, by the last part of a dotted name, by a method's unique name.
+def _rooted(name: Column, python: Column) -> list[tuple[str, str, Column]]:
+    return [("1 qualified name", "qn", F.when(python & ~F.startswith(name, F.lit(f"{r}.")), F.concat(F.lit(f"{r}."), name))) for r in ROOTS]
 
+
+def finish(edges: DataFrame, source: str = "resolve_pass") -> DataFrame:
+    """Edges once per ends and kind, without those to themselves; of equal ones the surest and first way."""
+    return edges.where("from_id <> to_id").groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.min("label").alias("way")).withColumn("source", F.lit(source))
+
+
+def resolve_calls(pending_edges: DataFrame, nodes: DataFrame, struct_fields: DataFrame | None = None) -> DataFrame:
+    """CALLS edges: by qualified name, bare name, the receiver's type, a class's member, or a method's name that is the only one.
+
+    A receiver's type is looked for in the module of the calling file and in the
+    first part of the caller's name; ``struct_fields`` (project_id, struct_qn,
+    field_name, field_type) leads from a field to its type.  Members of classes
+    count in JavaScript and TypeScript.  Methods by name alone aren't taken where
+    the receiver is a standard package or the method one of every type.
     References to oneself are dropped; of equal edges the surest is kept.
     """
-    tail = F.substring_index(F.col("name"), ".", -1)
-    dotted = F.contains(F.col("name"), F.lit("."))
-    ways = [
-        ("1 qualified name", by_qualified_name(nodes, True), F.col("name")),
-        ("2 bare name", by_name(nodes), F.col("name")),
-        ("3 only method", only_method(nodes), F.when(dotted, tail).otherwise(F.col("name"))),
+    total = pending_edges.count()  # from the files' footers
+    refs = pending(pending_edges, "CALLS")
+    typed = F.col("receiver_type").isNotNull() & F.contains(F.col("to_name"), F.lit("."))
+    module = F.regexp_replace(F.replace("from_file", F.lit("/"), F.lit(".")), r"\.\w+$", "")
+    script = F.coalesce(F.col("from_file").rlike(r"(?i)\.(?:[mc]?[jt]s|[jt]sx)$"), F.lit(False))
+    python = _python(F.col("from_file"))
+    # what a target depends on besides its name: nothing, but for typed receivers and Python
+    context = F.concat_ws(_SEP, F.when(python, "py").otherwise(""), *(F.when(typed, c).otherwise("") for c in (F.ltrim(F.col("receiver_type"), F.lit("*")), module, F.coalesce(F.substring_index("from_qn", ".", 1), F.lit("")), F.when(script, "script").otherwise(""))))
+    name = F.when(python, absolute_name(F.col("to_name"), F.col("from_file"))).otherwise(F.col("to_name"))
+    refs = written(refs.select("project_id", "from_file", "from_qn", "kind", "confidence", name.alias("name"), context.alias("context")).where("name is not null"))
+    table = written(targets(nodes, "file", "any", "qn", "name", "method", "member"))
+    on = ["project_id", "name", "context"]
+    keys = refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    part = lambda k: F.element_at(F.split("context", _SEP), k)
+    name, last, parts = F.col("name"), F.substring_index("name", ".", -1), F.size(F.split("name", r"\."))
+    receiver, before = part(2), F.substring(name, 1, F.length(name) - F.length(last) - 1)
+    plain = (receiver != "") & ~F.contains(receiver, F.lit(".")) & ~F.substring_index("name", ".", 1).isin(*STANDARD)
+    probes = [
+        ("1 qualified name", "qn", name),
+        *_rooted(name, part(1) == "py"),
+        ("2 bare name", "name", _undotted(name)),
+        *(("3 receiver type", "qn", F.when(plain & (parts == 2) & (part(k) != ""), F.concat_ws(".", part(k), receiver, last))) for k in (3, 4)),
+        ("4 class member", "member", F.when((receiver != "") & (parts == 2) & (part(5) == "script"), F.concat_ws(".", receiver, last))),
+        ("5 only method", "method", F.when((parts > 1) & (last != "") & ~before.isin(*STANDARD) & ~last.isin(*COMMON_METHODS), last)),
     ]
-    return _bind(pending(pending_edges, "CALLS"), nodes, ways, "resolve_pass")
+    if struct_fields is not None:
+        types = struct_fields.groupBy("project_id", "struct_qn", "field_name").agg(F.min(F.ltrim(F.col("field_type"), F.lit("*"))).alias("field_type"))
+        through = keys.where(plain & (parts == 3)).select(*on, F.explode(F.array(part(3), part(4))).alias("__p"), receiver.alias("__r")).select(*on, "__p", F.concat_ws(".", "__p", "__r").alias("struct_qn"), F.element_at(F.split("name", r"\."), 2).alias("field_name"))
+        field = through.join(types, ["project_id", "struct_qn", "field_name"]).where("field_type not like '%.%'").groupBy(*on).agg(F.min(F.concat_ws(".", "__p", "field_type", F.substring_index("name", ".", -1))).alias("__field"))
+        keys = keys.join(field, on, "left")
+        probes.insert(-2, ("3 receiver type", "qn", F.col("__field")))
+    found = written(resolve(keys, on, probes, table))
+    bound = keyed_join(refs, found, on, ("to_id", "label"), total=total)
+    return finish(with_sources(bound, table, _from("name"), total))
 
 
 def resolve_imports(pending_edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """IMPORTS edges and the external modules made for targets that no project node has."""
-    refs = pending(pending_edges, "IMPORTS")
-    found = by_qualified_name(nodes, False)
-    modules = nodes.where("kind = 'Module'").groupBy("project_id", "name").agg(F.min("id").alias("id"))
-    inside = _bind(refs, nodes, [("1 qualified name", found, F.col("name")), ("2 module name", modules, F.col("name"))], "resolve_pass")
-    names = refs.select("project_id", F.col("to_name").alias("name")).distinct()
-    known = found.select("project_id", "name").unionByName(modules.select("project_id", "name")).distinct()
-    outside = names.join(known, ["project_id", "name"], "left_anti")
-    ext_id = F.concat(F.lit("@external/"), F.col("name"), F.lit("::"), F.col("name"), F.lit("#Module"))
-    made = outside.select("project_id", ext_id.alias("id"), F.concat(F.lit("@external/"), F.col("name")).alias("file_path"), "name", F.col("name").alias("qualified_name"), F.lit("Module").alias("kind"), F.lit("External").alias("language"))
-    to_out = refs.join(outside.withColumnRenamed("name", "to_name"), ["project_id", "to_name"]).withColumn("to_id", F.concat(F.lit("@external/"), F.col("to_name"), F.lit("::"), F.col("to_name"), F.lit("#Module")))
-    ext = _sources(to_out, nodes).groupBy(*EDGE).agg(F.max("confidence").alias("confidence")).select(*EDGE, "confidence", F.lit("3 external").alias("way"), F.lit("resolve_pass").alias("source"))
-    return inside.unionByName(ext), made
-
-
-def resolve_reads(pending_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """READS and WRITES edges to variables; a target that is a function becomes a call of confidence 0.4."""
-    variables = nodes.where(F.col("kind").isin("Variable", "Constant"))
-    ways = [
-        ("1 qualified name", by_qualified_name(variables, False), F.col("name")),
-        ("2 variable", variables.groupBy("project_id", "name").agg(F.min("id").alias("id")), F.col("name")),
-        ("3 function", by_name(nodes), F.col("name")),
-    ]
-    e = _bind(pending(pending_edges, "READS", "WRITES"), nodes, ways, "resolve_pass")
-    call = F.col("way") == "3 function"
-    return e.select("project_id", "from_id", "to_id", F.when(call, "CALLS").otherwise(F.col("kind")).alias("kind"), F.when(call, F.lit(0.4)).otherwise(F.col("confidence")).alias("confidence"), "way", F.when(call, "binding_pass").otherwise(F.col("source")).alias("source"))
-
+    """IMPORTS edges and the external modules made for targets that no project node has.
 
-def resolve_settings(pending_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """USES_VAR edges to settings by name."""
-    settings = nodes.where("kind = 'Setting'").groupBy("project_id", "name").agg(F.min("id").alias("id"))
-    return _bind(pending(pending_edges, "USES_VAR"), nodes, [("1 setting", settings, F.col("name"))], "resolve_pass")
+    Names of Python files are tried as written, resolved if they are relative,
+    and below each of ROOTS.
+    """
+    total, python = pending_edges.count(), _python(F.col("from_file"))
+    refs = pending(pending_edges, "IMPORTS").withColumn("python", python).withColumn("name", F.when(python, absolute_name(F.col("to_name"), F.col("from_file"))).otherwise(F.col("to_name"))).where("name is not null")
+    refs, table = written(refs), written(targets(nodes, "file", "any", "name"))
+    on = ["project_id", "name", "python"]
+    keys = refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    rooted = [(label, "any", c) for label, _, c in _rooted(F.col("name"), F.col("python"))]
+    hit = resolve(keys, on, [("1 qualified name", "any", F.col("name")), *rooted], table).drop("n")
+    known = written(keys.join(hit, on, "left"))
+    path = F.concat(F.lit("@external/"), F.col("name"))
+    outside = F.concat(path, F.lit("::"), F.col("name"), F.lit("#Module"))
+    made = known.where("to_id is null").select("project_id", "name").distinct().select("project_id", outside.alias("id"), path.alias("file_path"), "name", F.col("name").alias("qualified_name"), F.lit("Module").alias("kind"), F.lit("External").alias("language"))
+    all_keys = known.select(*on, "n", F.coalesce("to_id", outside).alias("to_id"), F.coalesce("label", F.lit("2 external")).alias("label"))
+    return finish(with_sources(keyed_join(refs, all_keys, on, ("to_id", "label"), total=total), table, _from("name"), total)), made
+
+
+def resolve_reads(pending_edges: DataFrame, nodes: DataFrame, struct_fields: DataFrame | None = None) -> DataFrame:
+    """READS and WRITES edges to variables of the reader's language.
+
+    A name is looked up as a qualified name, then as a variable, function or
+    method of the same language and directory.  A target that is a function
+    becomes a call of confidence 0.4, unless its name is one of every type's
+    methods or the read is that of a struct's field; other targets are dropped.
+    """
+    total = pending_edges.count()
+    refs, table = pending(pending_edges, "READS", "WRITES"), written(targets(nodes, "file", "any", "value", "value anywhere"))
+    refs = with_sources(refs, table, _from("value anywhere"), total).withColumn("folder", F.coalesce(directory_of(F.col("from_file")), F.lit("")))
+    refs = written(refs)
+    on = ["project_id", "to_name", "from_language", "folder"]
+    keys = refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("to_language") == F.col("from_language")
+    # both ways of naming, each with the number of references
+    by_qn = resolve(keys, on, [("1 qualified name", "any", F.col("to_name"))], table).where(same)
+    by_name = resolve(keys, on, [("2 same package", "value", _undotted(F.concat_ws(_SEP, "from_language", "folder", "to_name")))], table)
+    # a name in dots can't be bare; the qualified name wins where its language is the reader's
+    found = written(by_qn.unionByName(by_name).groupBy(*on).agg(F.max("n").alias("n"), F.min(F.struct("label", "to_id", "to_kind")).alias("b")).select(*on, "n", "b.*"))
+    bound = keyed_join(refs, found, on, ("to_id", "to_kind", "label"), total=total)
+    call = F.col("to_kind").isin("Function", "Method")
+    field = F.lit(False)
+    if struct_fields is not None:
+        own = struct_fields.select("project_id", F.col("struct_qn").alias("base"), F.col("field_name").alias("to_name"), F.lit(True).alias("__field")).distinct()
+        forms = F.array("base_type", F.concat_ws(".", F.substring_index("from_qn", ".", 1), "base_type"))
+        reads = bound.where("base_type is not null").select("project_id", "from_qn", "base_type", "to_name", F.explode(forms).alias("base")).join(own, ["project_id", "base", "to_name"]).select("project_id", "from_qn", "base_type", "to_name", "__field").distinct()
+        bound = bound.join(reads, ["project_id", "from_qn", "base_type", "to_name"], "left")
+        field = F.coalesce("__field", F.lit(False))
+    last = F.substring_index("to_name", ".", -1)
+    kept = bound.where((F.col("to_kind") == "Variable") | (call & ~last.isin(*COMMON_METHODS) & ~field))
+    e = kept.select("project_id", "from_id", "to_id", F.when(call, "CALLS").otherwise(F.col("kind")).alias("kind"), F.when(call, F.lit(0.4)).otherwise(F.col("confidence")).alias("confidence"), "label")
+    return finish(e).withColumn("source", F.when(F.col("kind") == "CALLS", "binding_pass").otherwise(F.col("source")))
+
+
+def resolve_settings(pending_edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """USES_VAR edges to settings of variable files by name, and the modules made for files without a node.
+
+    The source is the file's module by name, else the least node of the file,
+    else a module made for it.
+    """
+    total = pending_edges.count()
+    refs, table = written(pending(pending_edges, "USES_VAR")), written(targets(nodes, "setting", "module", "in file"))
+    to = ["project_id", "to_name"]
+    keys = refs.groupBy(*to).agg(F.count(F.lit(1)).alias("n"))
+    bound = keyed_join(refs, written(resolve(keys, to, [("1 setting", "setting", F.col("to_name"))], table)), to, ("to_id", "label"), total=total)
+    on = ["project_id", "from_file", "source"]
+    bound = bound.withColumn("source", F.coalesce("from_qn", F.lit("")))
+    here = bound.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    base = F.regexp_replace(F.substring_index("from_file", "/", -1), r"\.[^.]*$", "")
+    stem = F.coalesce(F.nullif("source", F.lit("")), base)
+    own = F.concat(F.col("from_file"), F.lit("::"), stem, F.lit("#Module"))
+    found = here.join(resolve(here, on, [("1", "module", F.nullif("source", F.lit(""))), ("2", "in file", F.col("from_file"))], table), on, "left").select(*on, F.coalesce("to_id", own).alias("from_id"), F.col("to_id").isNull().alias("made"))
+    made = found.where("made").select("project_id", F.col("from_id").alias("id"), F.col("from_file").alias("file_path"), stem.alias("name"), stem.alias("qualified_name"), F.lit("Module").alias("kind"), F.lit(0.5).alias("extraction_confidence")).distinct()
+    return finish(bound.join(found.drop("made"), on)), made
 
 
 #: Ends of file names that choose a platform.
@@ -133,7 +280,10 @@ PLATFORMS = r"_(?:linux|windows|darwin|freebsd|netbsd|openbsd|android|ios|js|was
 
 
 def platform_siblings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges to the same function in the files of other platforms: one more edge for each sibling of a target."""
+    """Edges to the same function in the files of other platforms: one more edge for each sibling of a target.
+
+    A function has as many siblings as there are platforms, so pairs of them are few.
+    """
     plain = F.regexp_replace(F.col("file_path"), PLATFORMS, "")
     n = nodes.where(F.col("language") == "Go").select("project_id", "id", "name", "kind", "file_path", plain.alias("stem"))
     families = n.join(n.where("stem <> file_path").select("project_id", "stem").distinct(), ["project_id", "stem"], "left_semi")
@@ -150,7 +300,29 @@ def scope(pending_edges: DataFrame, changed: DataFrame, referrers: DataFrame, th
     return pending_edges.join(F.broadcast(files.withColumnRenamed("file_path", "from_file")), ["project_id", "from_file"], "left_semi")
 
 
+def replace_scoped(edges: DataFrame, fresh: DataFrame, nodes: DataFrame, kinds: list[str], files: DataFrame | None = None) -> DataFrame:
+    """Edges with those that an earlier pass resolved replaced: of all files, or of the files (project_id, file_path) only."""
+    old = F.col("kind").isin(kinds) & F.col("source").isin("resolve_pass", "binding_pass")
+    if files is None:
+        return edges.where(~old).unionByName(fresh, allowMissingColumns=True)
+    inside = nodes.join(files.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi").select("project_id", F.col("id").alias("from_id"), F.lit(True).alias("__gone"))
+    kept = edges.join(inside, ["project_id", "from_id"], "left").where(~(old & F.coalesce("__gone", F.lit(False)))).drop("__gone")
+    return kept.select(*edges.columns).unionByName(fresh, allowMissingColumns=True)
+
+
 def trace_start(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(project_id, name, id): the node that a name stands for: production functions first, tests and fixtures last."""
     order = F.struct(F.coalesce(is_fixture(F.col("file_path")), F.lit(False)).alias("a"), F.coalesce(is_test_file(F.col("file_path")), F.lit(False)).alias("b"), F.when(F.col("kind") == "Function", 0).when(F.col("kind") == "Method", 1).when(F.col("kind") == "Class", 2).when(F.col("kind") == "Module", 9).otherwise(5).alias("c"), "id")
     return nodes.join(names.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi").groupBy("project_id", "name").agg(F.min(order).alias("o")).select("project_id", "name", "o.id")
+
+
+def current_ids(ids: DataFrame, moves: DataFrame) -> DataFrame:
+    """(project_id, old_id, id): ids led to where their nodes have moved (project_id, old_id, new_id), one step."""
+    return ids.select("project_id", F.col("id").alias("old_id")).join(moves, ["project_id", "old_id"], "left").select("project_id", "old_id", F.coalesce("new_id", "old_id").alias("id"))
+
+
+def resolve_all(pending_edges: DataFrame, symbols: DataFrame, struct_fields: DataFrame | None = None) -> DataFrame:
+    """All resolved edges of an append log of symbols; the nodes in force are made once and written to the shared folder."""
+    nodes = written(nodes_in_force(symbols))
+    parts = [resolve_calls(pending_edges, nodes, struct_fields), resolve_imports(pending_edges, nodes)[0], resolve_reads(pending_edges, nodes, struct_fields)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

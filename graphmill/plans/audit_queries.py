@@ -9,19 +9,9 @@ from ..adapters import CALLS_CTE, GRAPH_CTE, entity_graph, tool_calls
 from ..functions import columns as C
 from ..operators import audit, composite, resolve, search, store, telemetry
 from ..session import table
+from .register import Register
 
-_Q: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(fn):
-        _Q[fn.__name__] = fn
-        if sql:
-            _SQL[fn.__name__] = sql
-        return fn
-
-    return add
+_R = Register()
 
 
 def _g(sql: str) -> str:
@@ -33,13 +23,13 @@ def _c(sql: str) -> str:
 
 
 # ---------------------------------------------------------------- audits
-@_query(_g("SELECT id, kind FROM g_nodes n WHERE kind IN ('Customer', 'Supplier', 'Part') AND NOT is_exported AND NOT is_entry_point AND NOT is_test AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.to_id = n.id)"))
+@_R(_g("SELECT id, kind FROM g_nodes n WHERE kind IN ('Customer', 'Supplier', 'Part') AND NOT is_exported AND NOT is_entry_point AND NOT is_test AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.to_id = n.id)"))
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return audit.dead_code(g.nodes, g.edges, ("Customer", "Supplier", "Part")).select("id", "kind")
 
 
-@_query(
+@_R(
     _g(
         """, near AS (SELECT to_id AS id, from_id FROM g_edges WHERE kind = 'CALLS'), far AS (SELECT id, from_id, 1 AS depth FROM near UNION SELECT a.id, b.from_id, 2 FROM near a JOIN near b ON b.id = a.from_id),
     best AS (SELECT id, from_id, min(depth) AS depth FROM far WHERE id <> from_id GROUP BY ALL)
@@ -52,18 +42,18 @@ def audit_unused(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_unused(g.nodes, g.edges, cand).select("id", "callers", "confidence")
 
 
-@_query(_g("SELECT id, name, in_degree FROM (SELECT to_id AS id, count(*) AS in_degree FROM g_edges GROUP BY 1) JOIN g_nodes USING (id) WHERE NOT is_test ORDER BY in_degree DESC, id LIMIT 25"))
+@_R(_g("SELECT id, name, in_degree FROM (SELECT to_id AS id, count(*) AS in_degree FROM g_edges GROUP BY 1) JOIN g_nodes USING (id) WHERE NOT is_test ORDER BY in_degree DESC, id LIMIT 25"))
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return audit.hotspots(g.nodes, g.edges, 25).select("id", "name", "in_degree")
 
 
-@_query(_g("SELECT count(DISTINCT file_path) AS files, count(*) AS symbols, count(*) FILTER (WHERE is_exported) AS exported, count(*) FILTER (WHERE is_entry_point) AS entry_points, round(count(*) FILTER (WHERE is_test) / CAST(count(*) FILTER (WHERE NOT is_test) AS DOUBLE), 6) AS test_ratio FROM g_nodes WHERE starts_with(file_path, 'customer/')"))
+@_R(_g("SELECT count(DISTINCT file_path) AS files, count(*) AS symbols, count(*) FILTER (WHERE is_exported) AS exported, count(*) FILTER (WHERE is_entry_point) AS entry_points, round(count(*) FILTER (WHERE is_test) / CAST(count(*) FILTER (WHERE NOT is_test) AS DOUBLE), 6) AS test_ratio FROM g_nodes WHERE starts_with(file_path, 'customer/')"))
 def module_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.module_summary(entity_graph(spark, d).nodes, "customer/")
 
 
-@_query(
+@_R(
     _g(
         """SELECT CASE WHEN starts_with(b.file_path, 'customer/') THEN 'in' ELSE 'out' END AS direction, e.from_id, a.name AS from_name, e.to_id, b.name AS to_name FROM g_edges e
     LEFT JOIN g_nodes a ON a.id = e.from_id LEFT JOIN g_nodes b ON b.id = e.to_id WHERE e.kind = 'CALLS' AND starts_with(coalesce(a.file_path, ''), 'customer/') <> starts_with(coalesce(b.file_path, ''), 'customer/')"""
@@ -74,7 +64,7 @@ def module_boundary(spark: SparkSession, d: str) -> DataFrame:
     return audit.module_boundary(g.nodes, g.edges, "customer/").select("direction", "from_id", "from_name", "to_id", "to_name")
 
 
-@_query(
+@_R(
     f"""WITH RECURSIVE {GRAPH_CTE}, links AS (SELECT DISTINCT to_id AS a, from_id AS b FROM g_edges WHERE kind = 'CALLS'),
     walk(start, id, depth) AS (SELECT a, b, 1 FROM links WHERE a IN ('r:1', 'n:5') UNION SELECT start, l.b, depth + 1 FROM walk w JOIN links l ON l.a = w.id WHERE depth < 3),
     pkg AS (SELECT *, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', -2) ELSE '' END AS p FROM g_nodes)
@@ -85,42 +75,42 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return audit.blast_radius(g.nodes, g.edges, g.nodes.where("id in ('r:1', 'n:5')").select("project_id", "id"), 3).select("id", "depth", "cross_package")
 
 
-@_query(_g("SELECT id, name FROM g_nodes WHERE file_path IN (SELECT file_path FROM g_nodes WHERE id IN ('c:7', 's:3')) AND id NOT IN ('c:7', 's:3') ORDER BY file_path, start_line, id LIMIT 100 OFFSET 10"))
+@_R(_g("SELECT id, name FROM g_nodes WHERE file_path IN (SELECT file_path FROM g_nodes WHERE id IN ('c:7', 's:3')) AND id NOT IN ('c:7', 's:3') ORDER BY file_path, start_line, id LIMIT 100 OFFSET 10"))
 def neighborhood(spark: SparkSession, d: str) -> DataFrame:
     n = entity_graph(spark, d).nodes
     return audit.neighborhood(n, n.where("id in ('c:7', 's:3')"), 100, 10).select("id", "name")
 
 
-@_query(_g("SELECT DISTINCT b.file_path, a.file_path AS referrer FROM g_edges e JOIN g_nodes a ON a.id = e.from_id JOIN g_nodes b ON b.id = e.to_id WHERE starts_with(b.file_path, 'customer/') AND a.file_path <> b.file_path"))
+@_R(_g("SELECT DISTINCT b.file_path, a.file_path AS referrer FROM g_edges e JOIN g_nodes a ON a.id = e.from_id JOIN g_nodes b ON b.id = e.to_id WHERE starts_with(b.file_path, 'customer/') AND a.file_path <> b.file_path"))
 def referrer_files(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return audit.referrer_files(g.nodes, g.edges, g.nodes.where("file_path like 'customer/%'")).select("file_path", "referrer")
 
 
-@_query(_g("SELECT id AS old_id, concat('new/', id) AS new_id FROM g_nodes WHERE kind = 'Supplier'"))
+@_R(_g("SELECT id AS old_id, concat('new/', id) AS new_id FROM g_nodes WHERE kind = 'Supplier'"))
 def symbol_moves(spark: SparkSession, d: str) -> DataFrame:
     n = entity_graph(spark, d).nodes
     moved = n.withColumn("id", F.when(F.col("kind") == "Supplier", F.concat(F.lit("new/"), "id")).otherwise(F.col("id")))
     return audit.symbol_moves(n, moved).select("old_id", "new_id")
 
 
-@_query(_g("SELECT 'node' AS what, kind, count(*) AS n FROM g_nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM g_edges GROUP BY kind"))
+@_R(_g("SELECT 'node' AS what, kind, count(*) AS n FROM g_nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM g_edges GROUP BY kind"))
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return audit.graph_stats(g.nodes, g.edges)
 
 
-@_query(_g("SELECT language, round(avg(extraction_confidence), 6) AS mean_confidence, count(*) AS n, CASE WHEN avg(extraction_confidence) >= 0.99 THEN 'AST' ELSE 'Regex' END AS parser FROM g_nodes WHERE kind <> 'Customer' GROUP BY language"))
+@_R(_g("SELECT language, round(avg(extraction_confidence), 6) AS mean_confidence, count(*) AS n, CASE WHEN avg(extraction_confidence) >= 0.99 THEN 'AST' ELSE 'Regex' END AS parser FROM g_nodes WHERE kind <> 'Customer' GROUP BY language"))
 def language_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.language_coverage(entity_graph(spark, d).nodes.where("kind <> 'Customer'"))
 
 
-@_query(_g("SELECT kind, count(*) AS n, round(list_sort(list(extraction_confidence))[1 + 10 * (count(*) - 1) // 100], 6) AS p10, round(list_sort(list(extraction_confidence))[1 + 50 * (count(*) - 1) // 100], 6) AS p50 FROM g_nodes GROUP BY kind"))
+@_R(_g("SELECT kind, count(*) AS n, round(list_sort(list(extraction_confidence))[1 + 10 * (count(*) - 1) // 100], 6) AS p10, round(list_sort(list(extraction_confidence))[1 + 50 * (count(*) - 1) // 100], 6) AS p50 FROM g_nodes GROUP BY kind"))
 def kind_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return audit.kind_percentiles(entity_graph(spark, d).nodes)
 
 
-@_query(_g("SELECT b.bucket, count(n.id) AS n FROM (VALUES ('[0,.5)', 0.0, 0.5), ('[.5,.7)', 0.5, 0.7), ('[.7,.9)', 0.7, 0.9), ('[.9,1]', 0.9, 9.0)) b(bucket, lo, hi) LEFT JOIN g_nodes n ON extraction_confidence >= CAST(lo AS DOUBLE) AND extraction_confidence < CAST(hi AS DOUBLE) GROUP BY b.bucket"))
+@_R(_g("SELECT b.bucket, count(n.id) AS n FROM (VALUES ('[0,.5)', 0.0, 0.5), ('[.5,.7)', 0.5, 0.7), ('[.7,.9)', 0.7, 0.9), ('[.9,1]', 0.9, 9.0)) b(bucket, lo, hi) LEFT JOIN g_nodes n ON extraction_confidence >= CAST(lo AS DOUBLE) AND extraction_confidence < CAST(hi AS DOUBLE) GROUP BY b.bucket"))
 def confidence_hist(spark: SparkSession, d: str) -> DataFrame:
     return audit.confidence_histogram(entity_graph(spark, d).nodes)
 
@@ -132,12 +122,12 @@ def _hunks(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_HUNKS, customer=table(spark, d, "customer"))
 
 
-@_query(_g(f", hunks AS ({_HUNKS.format(customer='customer')}) SELECT n.id, CAST(sum(least(end_line, last) - greatest(start_line, first) + 1) AS BIGINT) AS lines FROM (SELECT DISTINCT * FROM hunks) h JOIN g_nodes n ON n.file_path = h.file_path AND first <= end_line AND last >= start_line GROUP BY n.id"))
+@_R(_g(f", hunks AS ({_HUNKS.format(customer='customer')}) SELECT n.id, CAST(sum(least(end_line, last) - greatest(start_line, first) + 1) AS BIGINT) AS lines FROM (SELECT DISTINCT * FROM hunks) h JOIN g_nodes n ON n.file_path = h.file_path AND first <= end_line AND last >= start_line GROUP BY n.id"))
 def changed_nodes(spark: SparkSession, d: str) -> DataFrame:
     return audit.changed_nodes(entity_graph(spark, d).nodes, _hunks(spark, d)).select("id", "lines")
 
 
-@_query(
+@_R(
     f"""WITH RECURSIVE {GRAPH_CTE}, links AS (SELECT DISTINCT to_id AS a, from_id AS b FROM g_edges WHERE kind = 'CALLS'),
     walk(start, id, depth) AS (SELECT a, b, 1 FROM links WHERE a IN (SELECT id FROM g_nodes WHERE kind IN ('Nation', 'Region')) UNION SELECT start, l.b, depth + 1 FROM walk w JOIN links l ON l.a = w.id WHERE depth < 3)
     SELECT id, count(DISTINCT start) AS overlap FROM walk JOIN g_nodes USING (id) WHERE is_test AND id <> start GROUP BY id"""
@@ -147,37 +137,26 @@ def tests_to_run(spark: SparkSession, d: str) -> DataFrame:
     return audit.tests_to_run(g.nodes, g.edges, g.nodes.where("kind in ('Nation', 'Region')")).select("id", "overlap")
 
 
-@_query("SELECT file_path, CASE WHEN file_id % 7 = 0 THEN 'missing' WHEN file_id % 11 = 0 THEN 'drifted' WHEN file_id % 13 = 0 THEN 'unreadable' ELSE 'in-sync' END AS state FROM source_files")
+@_R("SELECT file_path, CASE WHEN file_id % 7 = 0 THEN 'missing' WHEN file_id % 11 = 0 THEN 'drifted' WHEN file_id % 13 = 0 THEN 'unreadable' ELSE 'in-sync' END AS state FROM source_files")
 def verify_files(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "source_files").select("file_id", F.concat("project_id", F.lit("|"), "file_path").alias("file_path"), F.col("file_hash").alias("hash"))
     found = f.where("file_id % 7 <> 0").withColumn("hash", F.when(F.col("file_id") % 11 == 0, "other").when(F.col("file_id") % 13 == 0, F.lit(None)).otherwise(F.col("hash")))
     return audit.verify_files(f, found).select(F.substring_index("file_path", "|", -1).alias("file_path"), "state")
 
 
-@_query()
-def failure_suspects(spark: SparkSession, d: str) -> DataFrame:
-    """Suspects of error texts that name audited symbols and their places."""
-    a = table(spark, d, "audit_candidates")
-    failures = a.select(F.col("audit_id").alias("failure_id"), "project_id", F.concat(F.lit("panic: at "), "qualified_name", F.lit(" ("), "file_path", F.lit(":"), "start_line", F.lit(")")).alias("text"))
-    n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    e = resolve.resolve_calls(table(spark, d, "pending_edges"), n)
-    changed = table(spark, d, "source_files").where("branch <> 'main'").select("project_id", "file_path")
-    return composite.suspects(failures, n, e, changed, 5)
-
-
-@_query()
+@_R()
 def context_for_task(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return composite.context_for_task(g.nodes.withColumn("kind", F.lit("Function")), g.edges, "nation region 1")
 
 
-@_query("SELECT project_id, count(id) AS symbols, count(DISTINCT file_path) AS files FROM projects LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at IS NOT NULL DESC) AS k FROM symbols) WHERE k = 1 AND deleted_at IS NULL) USING (project_id) GROUP BY project_id")
+@_R("SELECT project_id, count(id) AS symbols, count(DISTINCT file_path) AS files FROM projects LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at IS NOT NULL DESC) AS k FROM symbols) WHERE k = 1 AND deleted_at IS NULL) USING (project_id) GROUP BY project_id")
 def project_overview(spark: SparkSession, d: str) -> DataFrame:
     n = resolve.nodes_in_force(table(spark, d, "symbols"))
     return composite.project_overview(table(spark, d, "projects"), n, n.select("project_id").limit(0)).select("project_id", "symbols", "files")
 
 
-@_query(
+@_R(
     """WITH now AS (SELECT DISTINCT project_id, id, file_path, qualified_name, kind, start_line, end_line, start_byte, end_byte FROM symbols)
     SELECT DISTINCT project_id, file_path, 'bad range' AS reason FROM now WHERE end_line < start_line OR end_byte < start_byte
     UNION SELECT project_id, file_path, 'name collision' FROM now GROUP BY project_id, file_path, qualified_name, kind HAVING count(*) > 1"""
@@ -191,37 +170,37 @@ _TALLY = "count(*) AS calls, CAST(coalesce(sum(tokens_saved), 0) AS BIGINT) AS s
 _RECENT = "(SELECT * FROM calls WHERE ts >= (SELECT max(ts) FROM calls) - INTERVAL 7 DAYS)"
 
 
-@_query(_c(f"SELECT tool, {_TALLY} FROM {_RECENT} GROUP BY tool ORDER BY calls DESC, tool LIMIT 20"))
+@_R(_c(f"SELECT tool, {_TALLY} FROM {_RECENT} GROUP BY tool ORDER BY calls DESC, tool LIMIT 20"))
 def tool_tally(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.tool_tally(tool_calls(spark, d))
 
 
-@_query(_c(f"SELECT complexity_tier, {_TALLY} FROM {_RECENT} WHERE complexity_tier <> '' GROUP BY complexity_tier"))
+@_R(_c(f"SELECT complexity_tier, {_TALLY} FROM {_RECENT} WHERE complexity_tier <> '' GROUP BY complexity_tier"))
 def tier_tally(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.tier_tally(tool_calls(spark, d))
 
 
-@_query(_c("SELECT tool, min(response_bytes) AS least, round(avg(response_bytes), 4) AS mean, max(response_bytes) AS most, CAST(sum(response_bytes) AS BIGINT) AS total, count(*) AS calls FROM calls GROUP BY tool"))
+@_R(_c("SELECT tool, min(response_bytes) AS least, round(avg(response_bytes), 4) AS mean, max(response_bytes) AS most, CAST(sum(response_bytes) AS BIGINT) AS total, count(*) AS calls FROM calls GROUP BY tool"))
 def payload_dist(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.payload_distribution(tool_calls(spark, d))
 
 
-@_query(_c("SELECT tool, round(max(response_bytes) / round(avg(response_bytes), 4), 4) AS ratio FROM calls GROUP BY tool HAVING max(response_bytes) >= 10000 AND round(max(response_bytes) / round(avg(response_bytes), 4), 4) >= 2 ORDER BY ratio DESC, tool LIMIT 3"))
+@_R(_c("SELECT tool, round(max(response_bytes) / round(avg(response_bytes), 4), 4) AS ratio FROM calls GROUP BY tool HAVING max(response_bytes) >= 10000 AND round(max(response_bytes) / round(avg(response_bytes), 4), 4) >= 2 ORDER BY ratio DESC, tool LIMIT 3"))
 def payload_outliers(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.payload_outliers(tool_calls(spark, d), 10000, 2.0).select("tool", "ratio")
 
 
-@_query(_c("SELECT CAST(max(total) AS BIGINT) AS calls, round(-sum(n / total * log2(n / total)), 6) AS entropy, round(max(n / total), 6) AS top_share, max(total) >= 100 AND -sum(n / total * log2(n / total)) < 1 AND max(n / total) >= 0.8 AS one_sided FROM (SELECT tool, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS total FROM calls GROUP BY tool)"))
+@_R(_c("SELECT CAST(max(total) AS BIGINT) AS calls, round(-sum(n / total * log2(n / total)), 6) AS entropy, round(max(n / total), 6) AS top_share, max(total) >= 100 AND -sum(n / total * log2(n / total)) < 1 AND max(n / total) >= 0.8 AS one_sided FROM (SELECT tool, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS total FROM calls GROUP BY tool)"))
 def tool_mix_entropy(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.tool_mix(tool_calls(spark, d))
 
 
-@_query(_c("SELECT count(DISTINCT session_id) AS sessions, count(*) AS calls, CAST(sum(tokens_used) AS BIGINT) AS tokens_used, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, CAST(sum(response_bytes) AS BIGINT) AS response_bytes FROM calls"))
+@_R(_c("SELECT count(DISTINCT session_id) AS sessions, count(*) AS calls, CAST(sum(tokens_used) AS BIGINT) AS tokens_used, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, CAST(sum(response_bytes) AS BIGINT) AS response_bytes FROM calls"))
 def session_sums(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.session_sums(tool_calls(spark, d))
 
 
-@_query("SELECT 'k' AS key, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events")
+@_R("SELECT 'k' AS key, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events")
 def map_merge_sum(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.map_sums(table(spark, d, "events"), "props")
 
@@ -229,12 +208,12 @@ def map_merge_sum(spark: SparkSession, d: str) -> DataFrame:
 _HOOKS = "SELECT event_id AS id, concat('u', user_id) AS session_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'redirect' ELSE 'allow' END AS decision, CASE WHEN value > 50 THEN 1 WHEN value > 20 THEN 0 END AS took_recommendation FROM {events}"
 
 
-@_query(f"WITH hooks AS ({_HOOKS.format(events='events')}) SELECT count(*) AS \"rows\", r AS redirected, t AS taken, r - t AS overridden, round(r * 100.0 / count(*), 4) AS redirect_pct, round(t * 100.0 / r, 4) AS taken_pct FROM hooks, (SELECT count(*) FILTER (WHERE decision = 'redirect') AS r, count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) AS t FROM hooks) GROUP BY r, t")
+@_R(f"WITH hooks AS ({_HOOKS.format(events='events')}) SELECT count(*) AS \"rows\", r AS redirected, t AS taken, r - t AS overridden, round(r * 100.0 / count(*), 4) AS redirect_pct, round(t * 100.0 / r, 4) AS taken_pct FROM hooks, (SELECT count(*) FILTER (WHERE decision = 'redirect') AS r, count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) AS t FROM hooks) GROUP BY r, t")
 def hook_conversion(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.hook_rates(spark.sql(_HOOKS, events=table(spark, d, "events")))
 
 
-@_query(
+@_R(
     _c(
         f""", hooks AS ({_HOOKS.format(events='events')} WHERE event_type = 'error')
     SELECT id, position, call_id, tool FROM (SELECT h.id, c.call_id, c.tool, row_number() OVER (PARTITION BY h.id ORDER BY c.ts, c.call_id) AS position FROM hooks h JOIN calls c ON c.session_id = h.session_id AND c.ts > h.ts) WHERE position <= 3"""
@@ -245,7 +224,7 @@ def hook_next_calls(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.next_calls(hooks, tool_calls(spark, d))
 
 
-@_query(
+@_R(
     _g(
         """SELECT project_id, CAST(floor((SELECT sum(length(id) + length(name) + length(qualified_name) + length(coalesce(signature, '')) + length(coalesce(docstring, ''))) + count(*) * 64 FROM g_nodes) * 1.5 + (SELECT sum(length(from_id) + length(to_id)) + count(*) * 32 FROM g_edges)) AS BIGINT) AS bytes FROM g_nodes GROUP BY project_id"""
     )
@@ -255,7 +234,7 @@ def size_estimate(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.size_estimate(g.nodes, g.edges)
 
 
-@_query(
+@_R(
     """SELECT tool, CAST(sum(actual_tokens_avg) // count(*) AS BIGINT) AS mean_actual, CAST(sum(baseline_tokens_avg) // count(*) AS BIGINT) AS mean_baseline, list_sort(list(p50_ms) FILTER (WHERE p50_ms IS NOT NULL))[1 + count(p50_ms) // 2] AS p50,
     list_sort(list(p50_ms) FILTER (WHERE p50_ms IS NOT NULL))[1 + count(p50_ms) * 95 // 100] AS p95, round((sum(baseline_tokens_avg) // count(*) - sum(actual_tokens_avg) // count(*)) * 100.0 / (sum(baseline_tokens_avg) // count(*)), 4) AS saved_pct FROM savings_baseline GROUP BY tool"""
 )
@@ -264,14 +243,14 @@ def bench_summary(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.bench_summary(b.select("tool", F.col("p50_ms").alias("latency_ms"), F.col("actual_tokens_avg").alias("actual"), F.col("baseline_tokens_avg").alias("baseline")))
 
 
-@_query(_c("SELECT key, threshold FROM (SELECT tool AS key, CASE WHEN sum(tokens_saved) >= 1000000 THEN 1000000 WHEN sum(tokens_saved) >= 100000 THEN 100000 WHEN sum(tokens_saved) >= 1000 THEN 1000 END AS threshold FROM calls GROUP BY tool) WHERE threshold IS NOT NULL AND NOT (key = 'view' AND threshold IN (1000, 100000))"))
+@_R(_c("SELECT key, threshold FROM (SELECT tool AS key, CASE WHEN sum(tokens_saved) >= 1000000 THEN 1000000 WHEN sum(tokens_saved) >= 100000 THEN 100000 WHEN sum(tokens_saved) >= 1000 THEN 1000 END AS threshold FROM calls GROUP BY tool) WHERE threshold IS NOT NULL AND NOT (key = 'view' AND threshold IN (1000, 100000))"))
 def milestones(spark: SparkSession, d: str) -> DataFrame:
     totals = tool_calls(spark, d).groupBy(F.col("tool").alias("key")).agg(F.sum("tokens_saved").alias("total"))
     fired = spark.createDataFrame([("view", 1000), ("view", 100_000)], "key string, threshold bigint")
     return telemetry.milestones(totals, [1000, 100_000, 1_000_000], fired)
 
 
-@_query("SELECT concat('tool_latency_', v, '{tool=\"', tool, '\"} ', x) AS line FROM (SELECT tool, unnest(['count', 'sum', 'max']) AS v, unnest([count(*), CAST(sum(total_ms) AS BIGINT), max(total_ms)]) AS x FROM tool_latency_stats GROUP BY tool)")
+@_R("SELECT concat('tool_latency_', v, '{tool=\"', tool, '\"} ', x) AS line FROM (SELECT tool, unnest(['count', 'sum', 'max']) AS v, unnest([count(*), CAST(sum(total_ms) AS BIGINT), max(total_ms)]) AS x FROM tool_latency_stats GROUP BY tool)")
 def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     c = telemetry.counters(table(spark, d, "tool_latency_stats"), ["tool"], "total_ms")
     return telemetry.prometheus(c, "tool_latency", ["tool"], ["count", "sum", "max"])
@@ -296,159 +275,93 @@ def _search(spark: SparkSession, d: str, q: str) -> DataFrame:
     return search.search(docs, q)
 
 
-@_query(_bm25(["x = 'graph'", "x = 'commit'"], "f0 > 0 AND f1 > 0"))
+@_R(_bm25(["x = 'graph'", "x = 'commit'"], "f0 > 0 AND f1 > 0"))
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "graph commit")
 
 
-@_query(_bm25(["x = 'schema'", "starts_with(x, 'reconc')"], "f0 > 0 OR f1 > 0"))
+@_R(_bm25(["x = 'schema'", "starts_with(x, 'reconc')"], "f0 > 0 OR f1 > 0"))
 def bm25_or_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "schema OR reconc*")
 
 
-@_query(_bm25(["x = 'symbol'", "x = 'module'"], "f0 > 0 AND NOT f1 > 0", 1))
+@_R(_bm25(["x = 'symbol'", "x = 'module'"], "f0 > 0 AND NOT f1 > 0", 1))
 def bm25_not(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "symbol NOT module")
 
 
-# ---------------------------------------------------------------- resolution over the indexed tables
-_BARE = "nullif(regexp_replace(regexp_replace({0}, '^[\\s\"''`]+', ''), '([\\s\"''`]|\\([^()]*\\))+$', ''), '')"
-_FIXTURE = "regexp_matches(file_path, '" + C.FIXTURE_PATH.replace("'", "''") + "')"
-_RESOLVE = f"""WITH nodes AS (SELECT project_id, id, file_path, name, qualified_name, kind, language FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at IS NOT NULL DESC) AS k FROM symbols) WHERE k = 1 AND deleted_at IS NULL),
-refs AS (SELECT project_id, from_file, kind, {_BARE.format('from_qn')} AS from_qn, {_BARE.format('to_name')} AS to_name, max(confidence) AS confidence FROM pending_edges GROUP BY ALL),
-local AS (SELECT project_id, file_path AS from_file, qualified_name AS from_qn, min(id) AS id FROM nodes GROUP BY ALL), wide AS (SELECT project_id, qualified_name AS from_qn, min(id) AS id FROM nodes GROUP BY ALL),
-code_qn AS (SELECT project_id, qualified_name AS name, min(id) AS id FROM nodes WHERE kind NOT IN ('Module', 'Setting', 'Section', 'Document', 'Variable') GROUP BY ALL),
-bare AS (SELECT project_id, name, arg_min(id, (CASE WHEN {_FIXTURE} THEN 1 ELSE 0 END, id)) AS id FROM nodes WHERE kind NOT IN ('Module', 'Setting', 'Section', 'Document', 'Variable', 'Method') GROUP BY ALL),
-only_m AS (SELECT project_id, name, min(id) AS id FROM nodes WHERE kind = 'Method' AND NOT {_FIXTURE} GROUP BY ALL HAVING count(*) = 1)
-"""
-
-
-@_query(
-    _RESOLVE
-    + """SELECT project_id, from_id, to_id, max(confidence) AS confidence, min(way) AS way FROM (
-  SELECT r.project_id, coalesce(l.id, w.id) AS from_id, coalesce(q.id, b.id, o.id) AS to_id, confidence, CASE WHEN q.id IS NOT NULL THEN '1 qualified name' WHEN b.id IS NOT NULL THEN '2 bare name' ELSE '3 only method' END AS way
-  FROM refs r LEFT JOIN local l USING (project_id, from_file, from_qn) LEFT JOIN wide w ON w.project_id = r.project_id AND w.from_qn = r.from_qn LEFT JOIN code_qn q ON q.project_id = r.project_id AND q.name = r.to_name
-  LEFT JOIN bare b ON b.project_id = r.project_id AND b.name = r.to_name LEFT JOIN only_m o ON o.project_id = r.project_id AND o.name = regexp_extract(r.to_name, '[^.]*$') WHERE r.kind = 'CALLS')
-WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id GROUP BY ALL"""
-)
-def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
-    n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    return resolve.resolve_calls(table(spark, d, "pending_edges"), n).select("project_id", "from_id", "to_id", "confidence", "way")
-
-
-@_query(
-    _RESOLVE
-    + """, known AS (SELECT project_id, qualified_name AS name FROM nodes UNION SELECT project_id, name FROM nodes WHERE kind = 'Module')
-SELECT DISTINCT r.project_id, concat('@external/', to_name, '::', to_name, '#Module') AS id FROM refs r LEFT JOIN known k ON k.project_id = r.project_id AND k.name = r.to_name WHERE r.kind = 'IMPORTS' AND to_name IS NOT NULL AND k.name IS NULL"""
-)
-def external_modules(spark: SparkSession, d: str) -> DataFrame:
-    n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    return resolve.resolve_imports(table(spark, d, "pending_edges"), n)[1].select("project_id", "id")
-
-
-@_query(
-    _RESOLVE
-    + """, mods AS (SELECT project_id, name, min(id) AS id FROM nodes WHERE kind = 'Module' GROUP BY ALL)
-SELECT project_id, from_id, to_id, max(confidence) AS confidence FROM (
-  SELECT r.project_id, coalesce(l.id, w.id) AS from_id, coalesce(q.id, m.id, concat('@external/', to_name, '::', to_name, '#Module')) AS to_id, confidence
-  FROM refs r LEFT JOIN local l USING (project_id, from_file, from_qn) LEFT JOIN wide w ON w.project_id = r.project_id AND w.from_qn = r.from_qn LEFT JOIN wide q ON q.project_id = r.project_id AND q.from_qn = r.to_name
-  LEFT JOIN mods m ON m.project_id = r.project_id AND m.name = r.to_name WHERE r.kind = 'IMPORTS' AND to_name IS NOT NULL)
-WHERE from_id IS NOT NULL AND from_id <> to_id GROUP BY ALL"""
-)
-def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
-    n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    return resolve.resolve_imports(table(spark, d, "pending_edges"), n)[0].select("project_id", "from_id", "to_id", "confidence")
-
-
-@_query(
-    _RESOLVE
-    + """SELECT project_id, from_id, to_id, 'CALLS' AS kind, CAST(0.4 AS DOUBLE) AS confidence, 'binding_pass' AS source FROM (
-  SELECT DISTINCT r.project_id, r.kind, coalesce(l.id, w.id) AS from_id, b.id AS to_id
-  FROM refs r LEFT JOIN local l USING (project_id, from_file, from_qn) LEFT JOIN wide w ON w.project_id = r.project_id AND w.from_qn = r.from_qn JOIN bare b ON b.project_id = r.project_id AND b.name = r.to_name WHERE r.kind IN ('READS', 'WRITES'))
-WHERE from_id IS NOT NULL AND from_id <> to_id"""
-)
-def resolve_reads(spark: SparkSession, d: str) -> DataFrame:
-    n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    return resolve.resolve_reads(table(spark, d, "pending_edges"), n).select("project_id", "from_id", "to_id", "kind", "confidence", "source")
-
-
 # ---------------------------------------------------------------- upkeep
-@_query("SELECT project_id, id, max(indexed_at) AS indexed_at FROM symbols GROUP BY ALL")
+@_R("SELECT project_id, id, max(indexed_at) AS indexed_at FROM symbols GROUP BY ALL")
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return store.last_wins(table(spark, d, "symbols"), ["project_id", "id"], ["indexed_at"]).select("project_id", "id", "indexed_at")
 
 
-@_query(_g("SELECT id FROM g_nodes WHERE NOT starts_with(file_path, 'customer/B')"))
+@_R(_g("SELECT id FROM g_nodes WHERE NOT starts_with(file_path, 'customer/B')"))
 def delete_files(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return store.delete_files(g.nodes, g.edges, g.nodes.where("file_path like 'customer/B%'"))[0].select("id")
 
 
-@_query(_g("SELECT from_id, to_id, kind FROM g_edges WHERE from_id NOT IN (SELECT id FROM g_nodes WHERE starts_with(file_path, 'customer/B')) AND to_id NOT IN (SELECT id FROM g_nodes WHERE starts_with(file_path, 'customer/B'))"))
+@_R(_g("SELECT from_id, to_id, kind FROM g_edges WHERE from_id NOT IN (SELECT id FROM g_nodes WHERE starts_with(file_path, 'customer/B')) AND to_id NOT IN (SELECT id FROM g_nodes WHERE starts_with(file_path, 'customer/B'))"))
 def delete_files_edges(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
     return store.delete_files(g.nodes, g.edges, g.nodes.where("file_path like 'customer/B%'"))[1].select("from_id", "to_id", "kind")
 
 
-@_query("SELECT file_id FROM source_files WHERE file_id % 5 = 0")
+@_R("SELECT file_id FROM source_files WHERE file_id % 5 = 0")
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "source_files").select("file_id", "project_id", "file_path", "file_hash")
     return store.changed_files(f.withColumn("file_hash", F.when(F.col("file_id") % 5 == 0, "old").otherwise(F.col("file_hash"))), f).select("file_id")
 
 
-@_query("SELECT project_id, file_path, count(*) AS symbols FROM symbols GROUP BY ALL")
+@_R("SELECT project_id, file_path, count(*) AS symbols FROM symbols GROUP BY ALL")
 def symbols_per_file(spark: SparkSession, d: str) -> DataFrame:
     return store.files_with_counts(table(spark, d, "symbols")).select("project_id", "file_path", "symbols")
 
 
-@_query("SELECT p.project_id, count(DISTINCT s.id) AS symbol_count FROM projects p LEFT JOIN (SELECT DISTINCT project_id, id FROM symbols) s USING (project_id) GROUP BY 1")
+@_R("SELECT p.project_id, count(DISTINCT s.id) AS symbol_count FROM projects p LEFT JOIN (SELECT DISTINCT project_id, id FROM symbols) s USING (project_id) GROUP BY 1")
 def recount_projects(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "symbols").select("project_id", "id").distinct()
     return store.recount(table(spark, d, "projects"), n, n.limit(0)).select("project_id", "symbol_count")
 
 
-@_query("SELECT project_id, reason, file_path, min(extracted_at) AS first_seen, max(extracted_at) AS last_seen, count(*) AS times FROM (SELECT *, error AS reason FROM python_responses) WHERE reason <> '' GROUP BY ALL")
+@_R("SELECT project_id, reason, file_path, min(extracted_at) AS first_seen, max(extracted_at) AS last_seen, count(*) AS times FROM (SELECT *, error AS reason FROM python_responses) WHERE reason <> '' GROUP BY ALL")
 def failure_upsert(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "python_responses").where("error <> ''").select("project_id", "file_path", F.col("error").alias("reason"), F.col("extracted_at").alias("first_seen"), F.col("extracted_at").alias("last_seen"), F.lit(1).cast("bigint").alias("times"))
     return store.upsert_failures(r.where("length(reason) % 2 = 0"), r.where("length(reason) % 2 = 1"))
 
 
 # ---------------------------------------------------------------- scalar helpers
-@_query("SELECT doc_id, CAST((octet_length(encode(text)) + 3) // 4 AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
+@_R("SELECT doc_id, CAST((octet_length(encode(text)) + 3) // 4 AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", C.token_estimate(F.col("text")).alias("tokens"))
 
 
-@_query("SELECT file_id, CAST(1 + " + " + ".join(f"(length(content) - length(replace(content, '{w}', ''))) // {len(w)}" for w in C.COMPLEXITY_WORDS) + " AS INT) AS complexity FROM source_files")
+@_R("SELECT file_id, CAST(1 + " + " + ".join(f"(length(content) - length(replace(content, '{w}', ''))) // {len(w)}" for w in C.COMPLEXITY_WORDS) + " AS INT) AS complexity FROM source_files")
 def complexity_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("file_id", C.complexity(F.col("content")).alias("complexity"))
 
 
-@_query("SELECT project_id, symbol_id, round(greatest(0, least(1, (base_extractor + kind_baseline) / 2 + coalesce(path_penalty, 0) + coalesce(ident_bonus, 0) + coalesce(generated_pen, 0))), 6) AS confidence FROM signals")
+@_R("SELECT project_id, symbol_id, round(greatest(0, least(1, (base_extractor + kind_baseline) / 2 + coalesce(path_penalty, 0) + coalesce(ident_bonus, 0) + coalesce(generated_pen, 0))), 6) AS confidence FROM signals")
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "signals")
     return s.select("project_id", "symbol_id", F.round(C.confidence(*(F.col(c) for c in ("base_extractor", "kind_baseline", "path_penalty", "ident_bonus", "generated_pen"))), 6).alias("confidence"))
 
 
-@_query("SELECT s.project_id, s.id, substr(s.signature, 1, 4) AS head FROM symbols s WHERE signature IS NOT NULL")
+@_R("SELECT s.project_id, s.id, substr(s.signature, 1, 4) AS head FROM symbols s WHERE signature IS NOT NULL")
 def signature_heads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").where("signature is not null").select("project_id", "id", F.substring("signature", 1, 4).alias("head"))
 
 
-@_query("SELECT file_path, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', -2) ELSE '' END AS package FROM source_files")
+@_R("SELECT file_path, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', -2) ELSE '' END AS package FROM source_files")
 def package_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("file_path", C.package_of(F.col("file_path")).alias("package"))
 
 
-@_query("SELECT captured_at_tag AS tag, count(*) AS n FROM savings_baseline GROUP BY 1 ORDER BY list_transform(string_split(ltrim(captured_at_tag, 'v'), '.'), lambda x: CAST(x AS INT)) DESC LIMIT 10")
+@_R("SELECT captured_at_tag AS tag, count(*) AS n FROM savings_baseline GROUP BY 1 ORDER BY list_transform(string_split(ltrim(captured_at_tag, 'v'), '.'), lambda x: CAST(x AS INT)) DESC LIMIT 10")
 def newest_versions(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "savings_baseline").groupBy(F.col("captured_at_tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     return b.orderBy(C.version_key(F.col("tag")).desc()).limit(10)
 
 
-def queries() -> dict:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+queries, oracle_sql = _R.queries, _R.oracle_sql

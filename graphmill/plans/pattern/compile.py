@@ -29,11 +29,25 @@ class QueryResult:
 
     df: DataFrame
     warnings: list[str] = field(default_factory=list)
+    #: rows before the cut by max_rows, and how many it keeps; None where it can't cut
+    uncut: tuple[DataFrame, int] | None = None
 
     @property
     def columns(self) -> list[str]:
         return self.df.columns
 
+    def probe(self) -> list[str]:
+        """The warnings, with one if max_rows has cut the result; this counts one row more than it keeps."""
+        if self.uncut is not None and self.uncut[0].limit(self.uncut[1] + 1).count() > self.uncut[1]:
+            self.warnings.append(f"only {self.uncut[1]} rows are returned; raise max_rows or add a LIMIT")
+            self.uncut = None
+        return self.warnings
+
+    def to_json(self) -> dict:
+        """Columns, rows, total and warnings of a result that has been limited."""
+        rows = [list(r) for r in self.df.collect()]
+        return {"columns": self.columns, "rows": rows, "total": len(rows), "warnings": self.probe()}
+
 
 def _conds(tree) -> list[Cond]:
     if tree is None:
@@ -60,6 +74,7 @@ class _Compiler:
         self.q, self.g, self.compat = q, g, compat
         self.max_rows = None if max_rows is None else max(0, max_rows)
         self.warnings = list(q.warnings)
+        self.uncut: tuple[DataFrame, int] | None = None
         self.node_vars = [q.start.var] + ([q.end.var] if q.end and q.end.var != q.start.var else [])
         self.edge_var = q.edge.var if q.edge else None
         self.path = bool(q.edge and q.edge.path)
@@ -166,21 +181,32 @@ class _Compiler:
             memory = True
         return out.where(self.where(q.where, memory)) if q.where is not None else out
 
+    def narrowed(self, var: str) -> tuple[DataFrame, bool]:
+        """The nodes of a variable with its own conditions of an AND chain, which hold again later, and whether any narrow them."""
+        nodes = self.bound(self.nodes, var)
+        mine = [c for c in _and_chain(self.q.where) or [] if c.var == var and c.op != "COLUMN"]
+        for c in mine:
+            nodes = nodes.where(self.where(c, False))
+        return nodes, bool(mine) or any(n is not None and n.var == var and (n.kind or n.props) for n in (self.q.start, self.q.end))
+
     def hop(self) -> DataFrame:
         q, a, b = self.q, self.q.start.var, self.q.end.var
-        e = self.edges
+        e = self.edges.select("project_id", "from_id", "to_id", "kind", "confidence")
         if q.edge.kinds:
             e = e.where(F.col("kind").isin(q.edge.kinds))
+        ends = {"from_id": self.narrowed(a), "to_id": self.narrowed(b)} if a != b else {"from_id": self.narrowed(a)}
+        if a == b:
+            e = e.where("from_id = to_id")
+        for (end, (nodes, narrow)), var in zip(ends.items(), (a, b)):
+            if narrow:  # edges of other nodes don't take part
+                e = e.join(nodes.select(F.col(f"{var}__project_id").alias("project_id"), F.col(f"{var}__id").alias(end)), ["project_id", end], "left_semi")
         # of several edges with the same ends and kind the surest one counts
         e = e.groupBy("project_id", "from_id", "to_id", "kind").agg(F.max("confidence").alias("confidence"))
         ev = self.edge_var or "_edge"
-        e = e.select("project_id", "from_id", "to_id", F.col("kind").alias(f"{ev}__kind"), F.col("confidence").alias(f"{ev}__confidence"))
-        left = self.bound(self.nodes, a)
-        out = e.join(left, (e.project_id == left[f"{a}__project_id"]) & (e.from_id == left[f"{a}__id"]))
-        if a == b:
-            return out.where(F.col("from_id") == F.col("to_id"))
-        right = self.bound(self.nodes, b)
-        return out.join(right, (out.project_id == right[f"{b}__project_id"]) & (out.to_id == right[f"{b}__id"]))
+        out = e.select("project_id", "from_id", "to_id", F.col("kind").alias(f"{ev}__kind"), F.col("confidence").alias(f"{ev}__confidence"))
+        for (end, (nodes, _)), var in zip(ends.items(), (a, b)):
+            out = out.join(nodes, (out.project_id == nodes[f"{var}__project_id"]) & (out[end] == nodes[f"{var}__id"]))
+        return out
 
     def reach(self) -> DataFrame:
         q, a, b = self.q, self.q.start.var, self.q.end.var
@@ -279,13 +305,19 @@ class _Compiler:
             out = keyed.groupBy(*(F.col(f"`{i.name}`") for i in q.items)).agg((F.max if q.descending else F.min)("__order").alias("__order"))
             by = [sort(F.col(f"`{name}`" if name else "__order"))]
             tie = [F.col(f"`{i.name}`").asc_nulls_first() for i in q.items]
-            return first(out.orderBy(*by, *tie), cut).select(*(F.col(f"`{i.name}`") for i in q.items))
+            return self.cut(out.orderBy(*by, *tie), limit, cut).select(*(F.col(f"`{i.name}`") for i in q.items))
         ids = [F.col(f"{v}__{k}") for v in self.node_vars for k in ("project_id", "id")]
         if q.edge and not self.path:
             ids.append(F.col(f"{self.edge_var or '_edge'}__kind"))
         key = before if before is not None else self.value(next(i for i in q.items if i.name == name)) if name else F.lit(0)
         out = rows.select(*values, key.alias("__order"), *(c.alias(f"__tie{k}") for k, c in enumerate(ids)))
-        return first(out.orderBy(sort(F.col("__order")), *(F.col(f"__tie{k}") for k in range(len(ids)))), cut).select(*(F.col(f"`{i.name}`") for i in q.items))
+        return self.cut(out.orderBy(sort(F.col("__order")), *(F.col(f"__tie{k}") for k in range(len(ids)))), limit, cut).select(*(F.col(f"`{i.name}`") for i in q.items))
+
+    def cut(self, rows: DataFrame, limit: int | None, most: int | None) -> DataFrame:
+        """Rows up to the limit; where max_rows is less than it, the rows are kept for a warning."""
+        if most is not None and (limit is None or most < limit or self.q.limit is None):
+            self.uncut = (rows if self.q.limit is None else rows.limit(self.q.limit), most)
+        return rows if most is None else rows.limit(most)
 
 
 def _number(text: str) -> bool:
@@ -319,13 +351,13 @@ def run(graph: Graph, text: str | Query, max_rows: int | None = DEFAULT_LIMIT, c
             df = df.where(F.col(f"`{plain['extraction_confidence']}`") >= min_confidence)
         else:
             c.warnings.append("a confidence floor needs extraction_confidence in RETURN; it is ignored")
-    return QueryResult(df, c.warnings)
+    return QueryResult(df, c.warnings, c.uncut)
 
 
 def empty_hints(graph: Graph, text: str | Query) -> list[str]:
     """Why a query may have found nothing: kinds and languages that the graph doesn't have, with close spellings.
 
-    Reads the distinct kinds and languages of the graph, which are few.
+    Spellings with one letter's difference are counted where the nodes are, and the most frequent come to the driver.
     """
     q = parse(text) if isinstance(text, str) else text
     out = []
@@ -334,8 +366,10 @@ def empty_hints(graph: Graph, text: str | Query) -> list[str]:
     for column, asked in (("kind", kinds), ("language", languages)):
         if not asked:
             continue
-        known = [r[0] for r in graph.nodes.select(column).distinct().limit(1000).collect() if r[0]]
         for x in sorted(map(str, asked)):
+            # only spellings close to the one asked for reach the driver
+            close = F.levenshtein(F.lower(column), F.lit(x.lower())) <= 1
+            known = [r[0] for r in graph.nodes.where((F.col(column) == x) | close).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(20).collect()]
             if x not in known:
                 near = [k for k in known if k.lower() == x.lower() or _near(k.lower(), x.lower())]
                 out.append(f"no node has {column} {x!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
