@@ -106,7 +106,8 @@ def symbol_moves(old: DataFrame, new: DataFrame) -> DataFrame:
     """(project_id, old_id, new_id): nodes with the same qualified name and kind whose id changed, the least new id each."""
     gone = old.select("project_id", "qualified_name", "kind", F.col("id").alias("old_id")).join(new.select("project_id", F.col("id").alias("old_id")), ["project_id", "old_id"], "left_anti")
     fresh = new.select("project_id", "qualified_name", "kind", F.col("id").alias("new_id"))
-    return gone.join(fresh, ["project_id", "qualified_name", "kind"]).where("old_id <> new_id").groupBy("project_id", "old_id").agg(F.min("new_id").alias("new_id"))
+    least = fresh.groupBy("project_id", "qualified_name", "kind").agg(F.min("new_id").alias("new_id"))  # an id that is gone isn't among the new ones
+    return gone.join(least, ["project_id", "qualified_name", "kind"]).select("project_id", "old_id", "new_id")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,8 +182,35 @@ def verify_files(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def interface_carve_out(nodes: DataFrame) -> DataFrame:
-    """(project_id, name) of methods declared by interfaces."""
-    return nodes.where("kind = 'Method' and parent is not null").select("project_id", "name").distinct()
+    """(project_id, name) of methods declared by interfaces: those whose parent is the qualified name of an Interface."""
+    owners = nodes.where("kind = 'Interface'").select("project_id", F.col("qualified_name").alias("parent")).distinct()
+    return nodes.where("kind = 'Method'").join(owners, ["project_id", "parent"], "left_semi").select("project_id", "name").distinct()
+
+
+def without_tests(df: DataFrame, tests: bool = False, fixtures: bool = False) -> DataFrame:
+    """Rows (file_path and perhaps is_test) without tests and fixtures, unless they are asked for."""
+    out = df if fixtures else drop_fixtures(df)
+    if tests or "file_path" not in df.columns:
+        return out
+    flag = F.coalesce(F.col("is_test"), F.lit(False)) if "is_test" in df.columns else F.lit(False)
+    return out.where(~flag & ~F.coalesce(is_test_file(F.col("file_path")), F.lit(False)))
+
+
+def module_shares(nodes: DataFrame, prefix: str) -> DataFrame:
+    """(language, symbols, share) of the nodes below a path prefix."""
+    n = nodes.where(F.startswith(F.col("file_path"), F.lit(prefix))).groupBy("language").agg(F.count(F.lit(1)).alias("symbols"))
+    return n.select("language", "symbols", F.round(F.col("symbols") / n.agg(F.sum("symbols")).scalar(), 6).alias("share"))
+
+
+def confidence_by_kind(nodes: DataFrame) -> DataFrame:
+    """(kind, n, mean_confidence)."""
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("extraction_confidence"), 6).alias("mean_confidence"))
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that have an edge in either direction."""
+    ends = edges.select("project_id", F.explode(F.array("from_id", "to_id")).alias("id"))
+    return nodes.join(ends, KEY, "left_semi")
 
 
 def drop_fixtures(df: DataFrame) -> DataFrame:

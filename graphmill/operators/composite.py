@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_fixture
+from ..functions.columns import is_fixture, is_test_file
 from ..sources.languages import EXTENSIONS
-from . import search, traverse
+from . import audit, search, traverse
 
 #: Words that error texts are made of and that name no function of a project, in small letters.
 NOISE = frozenset(
@@ -56,11 +56,13 @@ def suspects(failures: DataFrame, nodes: DataFrame, edges: DataFrame, changed: D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def context_for_task(nodes: DataFrame, edges: DataFrame, task: str, seeds: int = 5, depth: int = 1) -> DataFrame:
-    """(id, role, depth): the nodes that a task's words find, their callers and callees, and their neighbours in the file."""
-    texts = nodes.where(F.col("kind").isin("Function", "Method", "Class")).select("project_id", "id", F.concat_ws(" ", "name", "qualified_name", "signature", "docstring").alias("text"))
-    got, _ = search.search_with_fallback(texts, task, "text", "id", min(max(seeds, 1), 10))
-    found = nodes.join(F.broadcast(got.select("id")), "id").select("project_id", "id", "file_path")  # at most ten rows
+def context_for_task(nodes: DataFrame, edges: DataFrame, index: search.Index, task: str, seeds: int = 5, depth: int = 1, kinds: tuple[str, ...] = ("Function", "Method", "Class")) -> DataFrame:
+    """(id, role, depth): the nodes of some kinds that a task's words find, their callers and callees, and their neighbours in the file.
+
+    index: search.node_index(nodes).  Seeds are 1 to 10.
+    """
+    got, _ = search.search_with_fallback(index, task, "code", min(max(seeds, 1), 10), F.col("kind").isin(*kinds))
+    found = nodes.join(F.broadcast(got.select("project_id", "id")), ["project_id", "id"]).select("project_id", "id", "file_path")  # at most ten rows
     start = found.select("project_id", F.col("id").alias("start"))
     part = lambda df, role: df.select("id", F.lit(role).alias("role"), "depth")
     near = nodes.join(found.select("project_id", "file_path").distinct(), ["project_id", "file_path"]).select("id", F.lit(0).alias("depth"))
@@ -78,8 +80,50 @@ def project_overview(projects: DataFrame, nodes: DataFrame, edges: DataFrame, mi
     return out.where(F.col("edges") >= min_edges).select("*", F.round(ratio, 6).alias("edge_ratio"), ((F.col("symbols") >= 1000) & (ratio < 0.001)).alias("ghost"))
 
 
-def extraction_faults(nodes: DataFrame) -> DataFrame:
-    """(project_id, file_path, reason): files whose rows can't be right: crossed ranges, or equal names and kinds."""
+def extraction_faults(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(project_id, file_path, reason) of files whose rows can't be right: crossed ranges, equal names and kinds, or no symbol.
+
+    nodes: the symbols in force, each once.  With files (project_id, file_path)
+    those without any node are reported.
+    """
     crossed = nodes.where("end_line < start_line or end_byte < start_byte").select("project_id", "file_path", F.lit("bad range").alias("reason"))
     twice = nodes.groupBy("project_id", "file_path", "qualified_name", "kind").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("project_id", "file_path", F.lit("name collision").alias("reason"))
-    return crossed.unionByName(twice).distinct()
+    out = crossed.unionByName(twice)
+    if files is not None:
+        out = out.unionByName(files.select("project_id", "file_path").join(nodes.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_anti").withColumn("reason", F.lit("no symbols")))
+    return out.distinct()
+
+
+def plan_change(nodes: DataFrame, edges: DataFrame, index: search.Index, target: str, depth: int = 4, decisions: DataFrame | None = None, most: int = 50) -> tuple[DataFrame, list[str]]:
+    """Callers that a change of a target touches, nearest first, with a flag for tests, and warnings.
+
+    The target is a node's id, a file's path, or words that find up to three
+    functions or methods.  decisions (key, text): decision records that mention a
+    word of a target's name come as rows of the role 'decision'.
+    """
+    if "::" in target:
+        found = nodes.where(F.col("id") == target)
+    elif "/" in target:
+        found = nodes.where(F.col("file_path") == target)
+    else:
+        got, _ = search.search_with_fallback(index, target, "code", 3, F.col("kind").isin("Function", "Method"))
+        found = nodes.join(F.broadcast(got.select("project_id", "id")), ["project_id", "id"])  # three rows
+    near = audit.blast_radius(nodes, edges, found.select("project_id", "id"), depth)
+    test = F.coalesce(F.col("is_test"), F.lit(False)) | F.coalesce(is_test_file(F.col("file_path")), F.lit(False))
+    rows = near.select(F.when(test, "test").when(F.col("depth") == 1, "direct").otherwise("indirect").alias("role"), "id", "depth", "cross_package")
+    warnings = []
+    if rows.limit(15).count() > 14:
+        warnings.append("more than 14 callers are touched; split the change")
+    if decisions is not None:
+        words = found.select(F.lower("name").alias("name")).where("length(name) >= 3").distinct()
+        named = decisions.join(F.broadcast(words), F.contains(F.lower("text"), F.col("name")), "left_semi")  # names of one target
+        rows = rows.unionByName(named.select(F.lit("decision").alias("role"), F.col("key").alias("id"), F.lit(0).alias("depth"), F.lit(False).alias("cross_package")))
+    return rows.orderBy("depth", "role", "id").limit(most), warnings
+
+
+def pages(df: DataFrame, order: list[str], limit: int = 50, offset: int = 0, most: int = 500) -> tuple[DataFrame, dict]:
+    """A page of rows in a total order, with the total, whether more follow, and warnings about values that were out of range."""
+    warnings = [f"{n} was {v} and is read as {w}" for n, v, w in (("limit", limit, min(max(limit, 1), most)), ("offset", offset, max(offset, 0))) if v != w]
+    limit, offset = min(max(limit, 1), most), max(offset, 0)
+    total = df.count()
+    return df.orderBy(*order).offset(offset).limit(limit), {"total": total, "has_more": offset + limit < total, "warnings": warnings}

@@ -23,7 +23,9 @@ def bare_name(c: Column) -> Column:
     """A name without the blanks, quotes and call brackets around it; null where nothing is left."""
     left = F.regexp_replace(c, r"^[\s\p{Z}\"'`“”‘’]+", "")
     both = F.regexp_replace(left, r"(?:[\s\p{Z}\"'`“”‘’]|\([^()]*\))+$", "")
-    return F.nullif(both, F.lit(""))
+    # most names have nothing around them, which two characters tell
+    bare = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(r"^\w\w$")
+    return F.when(bare, c).otherwise(F.nullif(both, F.lit("")))
 
 
 def references(edges: DataFrame, *keep: str) -> DataFrame:

@@ -138,8 +138,17 @@ def absolute_name(name: Column, file: Column) -> Column:
     return F.when(level == 0, name).when(keep >= 0, F.nullif(whole, F.lit("")))
 
 
+def _extension(file: Column) -> Column:
+    return F.coalesce(F.lower(F.substring_index(file, ".", -1)), F.lit(""))
+
+
 def _python(file: Column) -> Column:
-    return F.coalesce(file.rlike(r"(?i)\.pyw?i?$"), F.lit(False))
+    return _extension(file).isin("py", "pyw", "pyi")
+
+
+def _absolute(name: Column, file: Column) -> Column:
+    """absolute_name of the names in Python files that need it, other names as they are."""
+    return F.when(F.startswith(name, F.lit(".")) & _python(file), absolute_name(name, file)).otherwise(name)
 
 
 def _rooted(name: Column, python: Column) -> list[tuple[str, str, Column]]:
@@ -165,11 +174,11 @@ def resolve_calls(pending_edges: DataFrame, nodes: DataFrame, struct_fields: Dat
     refs = pending(pending_edges, "CALLS")
     typed = F.col("receiver_type").isNotNull() & F.contains(F.col("to_name"), F.lit("."))
     module = F.regexp_replace(F.replace("from_file", F.lit("/"), F.lit(".")), r"\.\w+$", "")
-    script = F.coalesce(F.col("from_file").rlike(r"(?i)\.(?:[mc]?[jt]s|[jt]sx)$"), F.lit(False))
+    script = _extension(F.col("from_file")).isin("js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx")
     python = _python(F.col("from_file"))
     # what a target depends on besides its name: nothing, but for typed receivers and Python
     context = F.concat_ws(_SEP, F.when(python, "py").otherwise(""), *(F.when(typed, c).otherwise("") for c in (F.ltrim(F.col("receiver_type"), F.lit("*")), module, F.coalesce(F.substring_index("from_qn", ".", 1), F.lit("")), F.when(script, "script").otherwise(""))))
-    name = F.when(python, absolute_name(F.col("to_name"), F.col("from_file"))).otherwise(F.col("to_name"))
+    name = _absolute(F.col("to_name"), F.col("from_file"))
     refs = written(refs.select("project_id", "from_file", "from_qn", "kind", "confidence", name.alias("name"), context.alias("context")).where("name is not null"))
     table = written(targets(nodes, "file", "any", "qn", "name", "method", "member"))
     on = ["project_id", "name", "context"]
@@ -204,7 +213,7 @@ def resolve_imports(pending_edges: DataFrame, nodes: DataFrame) -> tuple[DataFra
     and below each of ROOTS.
     """
     total, python = pending_edges.count(), _python(F.col("from_file"))
-    refs = pending(pending_edges, "IMPORTS").withColumn("python", python).withColumn("name", F.when(python, absolute_name(F.col("to_name"), F.col("from_file"))).otherwise(F.col("to_name"))).where("name is not null")
+    refs = pending(pending_edges, "IMPORTS").withColumn("python", python).withColumn("name", _absolute(F.col("to_name"), F.col("from_file"))).where("name is not null")
     refs, table = written(refs), written(targets(nodes, "file", "any", "name"))
     on = ["project_id", "name", "python"]
     keys = refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))

@@ -1,25 +1,46 @@
-"""Ranked full-text search with a small query language.
+"""Ranked full-text search with a small query language over a stored index.
 
-Texts become arrays of tokens; a query becomes one condition and one count per
-term on that array, so a search is a scan with a single aggregated row of corpus
-statistics between its two passes, and nothing is shuffled but the top results.
+An index is a table of postings, sorted by corpus and term, with the term's
+frequency and positions in a text and the text's length: a search reads the row
+groups of its own terms only.  Scores are BM25 with statistics of the whole
+corpus.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import corpus_of
+from ..session import shared_folder
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+#: Columns of a node that its text is made of.
+FIELDS = ("name", "qualified_name", "signature", "docstring")
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters with accents and the letters without them, then the accents that stand alone."""
+    letters = {}
+    for k in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(k))
+        if len(parts) > 1 and parts[0].isalnum() and all(unicodedata.combining(c) for c in parts[1:]):
+            letters[chr(k)] = parts[0]
+    marks = "".join(chr(k) for k in range(0x300, 0x370) if unicodedata.combining(chr(k)))
+    return "".join(letters) + marks, "".join(letters.values())
+
+
+_ACCENTS = _plain_letters()
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: runs of letters and digits in small letters, Latin accents removed; empty for null."""
+    """Tokens of a text: runs of letters and digits in small letters without accents; empty for null."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_ACCENTS)
     return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
@@ -31,14 +52,6 @@ class Term:
     words: tuple[str, ...]
     prefix: bool = False
 
-    def count(self, c: Column) -> Column:
-        if len(self.words) > 1:
-            joined = F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
-            needle = " " + "  ".join(self.words) + " "
-            return ((F.length(joined) - F.length(F.replace(joined, F.lit(needle)))) / len(needle)).cast("int")
-        w = self.words[0]
-        return F.size(F.filter(c, (lambda x: F.startswith(x, F.lit(w))) if self.prefix else (lambda x: x == w)))
-
 
 class SearchError(ValueError):
     """A text that can't be searched for, with advice."""
@@ -78,7 +91,7 @@ def sanitize(query: str) -> str:
 
 
 def _words(text: str) -> tuple[str, ...]:
-    plain = text.lower().translate(str.maketrans(*_ACCENTS))
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
     return tuple(w for w in re.split(r"[\W_]+", plain) if w)
 
 
@@ -168,52 +181,118 @@ def _holds(tree, count) -> Column | None:
     return out
 
 
-def search(docs: DataFrame, query: str, text: str = "text", key: str = "id", limit: int | None = 20, where: Column | None = None) -> DataFrame:
-    """(key, score) of the rows that match a query, best first, ties by key.
+@dataclass
+class Index:
+    """A stored index: where it lies, and its postings and corpora (corpus, docs, mean) as tables."""
+
+    path: str
+    postings: DataFrame
+    corpora: DataFrame
+
+
+def build_index(texts: DataFrame, fields: tuple[str, ...], corpus: Column | None = None, folder: str | None = None, keep: tuple[str, ...] = ()) -> Index:
+    """Writes the index of texts (project_id, id, the fields, the columns to keep) beside earlier ones and opens it.
+
+    Fields are told apart by a gap in positions, so no phrase spans two of
+    them.  Null texts have no tokens but count as documents.
+    """
+    spark = texts.sparkSession
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/index-{uuid.uuid4().hex}"
+    name = F.lit("docs") if corpus is None else corpus
+    lists = [tokens(F.col(f)) for f in fields]
+    gap = F.lit("")  # an empty token can't be asked for
+    whole = F.concat(*[x for t in lists for x in (t, F.array(gap))])
+    docs = texts.select("project_id", "id", *keep, name.alias("corpus"), whole.alias("__t"), reduce(lambda x, y: x + y, (F.size(t) for t in lists)).cast("int").alias("n"))
+    docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).write.parquet(f"{path}/corpora")
+    # one row per text and term; a text's own tokens are counted where it is read
+    rows = docs.select("corpus", "project_id", "id", *keep, "n", F.posexplode("__t").alias("at", "term")).where("term <> ''")
+    postings = rows.groupBy("corpus", "term", "project_id", "id", *keep, "n").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    postings.withColumn("tf", F.size("positions")).repartitionByRange(*(F.col(c) for c in ("corpus", "term", "project_id", "id"))).sortWithinPartitions("corpus", "term").write.option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
+    return open_index(spark, path)
+
+
+def open_index(spark, path: str) -> Index:
+    return Index(path, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpora"))
+
+
+def node_index(nodes: DataFrame, folder: str | None = None) -> Index:
+    """The index of nodes in their three corpora, over FIELDS; rebuilding is building a new one."""
+    return build_index(nodes, FIELDS, corpus_of(F.col("language"), F.col("kind")), folder, ("kind", "language", "name", "qualified_name", "extraction_confidence"))
+
+
+def text_index(docs: DataFrame, text: str = "text", key: str = "id", folder: str | None = None) -> Index:
+    return build_index(docs.select(F.lit("").alias("project_id"), F.col(key).alias("id"), F.col(text).alias("text")), ("text",), None, folder)
+
+
+def _matches(t: Term) -> Column:
+    """Does a posting belong to a term?"""
+    if t.prefix:
+        return F.startswith(F.col("term"), F.lit(t.words[0]))
+    return F.col("term").isin(*t.words)
+
+
+def _frequency(t: Term, k: int) -> Column:
+    """How often a term is in the text of a group of postings."""
+    if len(t.words) == 1:
+        return F.coalesce(F.sum(F.when(_matches(t), F.col("tf"))), F.lit(0)).alias(f"__{k}")
+    places = [F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions")))) for w in t.words]
+    later = lambda p: reduce(lambda x, y: x & y, [F.array_contains(places[j], p + j) for j in range(1, len(places))])
+    return F.size(F.filter(places[0], later)).cast("long").alias(f"__{k}")
+
+
+def search(index: Index, query: str, corpus: str = "docs", limit: int | None = 20, where: Column | None = None) -> DataFrame:
+    """(project_id, id, score) of the texts that match a query, best first, ties by id.
 
     Words are joined by AND; OR, NOT, "phrases" and prefix* work, with
-    parentheses.  Statistics cover all of docs; ``where`` filters afterwards.  A
-    query without words finds nothing.  Null texts match nothing.
+    parentheses.  Statistics cover the whole corpus; ``where`` filters afterwards
+    by the columns that the index keeps.  A query without words finds nothing.
+    Null texts match nothing.
     """
     tree = _Query(query).tree
     scored = set(_terms(tree))
     terms = list(dict.fromkeys(_all_terms(tree)))
-    counted = docs.select(key, *([c for c in docs.columns if c not in (key, text)] if where is not None else []), tokens(F.col(text)).alias("__t"))
+    mine = index.postings.where(F.col("corpus") == corpus)
     if not scored:
-        return counted.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    rows = counted.select(*(c for c in counted.columns if c != "__t"), F.size("__t").alias("__n"), *(t.count(F.col("__t")).alias(f"__{k}") for k, t in enumerate(terms)))
-    stats = rows.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
-    holds = _holds(tree, lambda t: F.col(f"__{terms.index(t)}"))
-    found = rows.where(holds).withColumn("__s", stats.select(F.struct("*")).scalar()).select("*", "__s.*")
-    score = F.lit(0.0)
-    for k, term in enumerate(terms):
-        if term not in scored:
-            continue
-        tf, df = F.col(f"__{k}"), F.col(f"__df{k}")
-        idf = F.greatest(F.ln((F.col("__docs") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__mean")))
+        return mine.where(F.lit(False)).select("project_id", "id", F.lit(0.0).alias("score"))
+    kept = [c for c in index.postings.columns if c not in ("corpus", "term", "positions", "tf")]
+    hit = mine.where(reduce(lambda x, y: x | y, (_matches(t) for t in terms)))
+    rows = hit.groupBy(*kept).agg(*(_frequency(t, k) for k, t in enumerate(terms)))
+    seen = rows.agg(*(F.count_if(F.col(f"__{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).select(F.struct("*")).scalar()
+    whole = index.corpora.where(F.col("corpus") == corpus).agg(F.max("docs").alias("docs"), F.max("mean").alias("mean")).select(F.struct("*")).scalar()
+    found = rows.where(_holds(tree, lambda t: F.col(f"__{terms.index(t)}"))).withColumn("__s", seen).withColumn("__c", whole)
     if where is not None:
         found = found.where(where)
-    out = found.select(key, F.round(score, 6).alias("score"))
-    return out.orderBy(F.desc("score"), key).limit(limit) if limit is not None else out
+    score = F.lit(0.0)
+    for k, term in enumerate(terms):
+        if term in scored:
+            tf, df = F.col(f"__{k}"), F.col(f"__s.df{k}")
+            idf = F.greatest(F.ln((F.col("__c.docs") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("__c.mean")))
+    out = found.select("project_id", "id", F.round(score, 6).alias("score"))
+    return out.orderBy(F.desc("score"), "project_id", "id").limit(limit) if limit is not None else out
 
 
-def search_with_fallback(docs: DataFrame, query: str, text: str = "text", key: str = "id", limit: int = 20) -> tuple[DataFrame, str | None]:
+def search_with_fallback(index: Index, query: str, corpus: str = "docs", limit: int = 20, where: Column | None = None) -> tuple[DataFrame, str | None]:
     """A search that is tried again if it finds nothing: several plain words with OR, one plain word as a prefix.
 
     Returns the results and the fallback that was used.
     """
-    got = search(docs, query, text, key, limit)
-    if not got.isEmpty():
-        return got, None
+    got = search(index, query, corpus, limit, where)
     plain = query.split()
-    if any(w in _OPERATORS or '"' in w or "*" in w for w in plain):
+    if any(w in _OPERATORS or '"' in w or "*" in w for w in plain) or not plain:
         return got, None
-    if len(plain) > 1:
-        return search(docs, " OR ".join(plain), text, key, limit), "or"
-    if len(plain) == 1 and plain[0].isidentifier():
-        return search(docs, plain[0] + "*", text, key, limit), "prefix"
-    return got, None
+    again = ("or", " OR ".join(plain)) if len(plain) > 1 else ("prefix", plain[0] + "*") if plain[0].isidentifier() else None
+    if again is None or not got.isEmpty():
+        return got, None
+    return search(index, again[1], corpus, limit, where), again[0]
+
+
+def exact_match_hint(nodes: DataFrame, query: str, kinds: tuple[str, ...], languages: tuple[str, ...] = ()) -> DataFrame:
+    """(project_id, id, kind, language) of nodes with exactly the name asked for that a filter by kind or language leaves out."""
+    inside = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+    if languages:
+        inside = inside & F.col("language").isin(*languages)
+    return nodes.where((F.col("name") == query.strip()) & ~inside).select("project_id", "id", "kind", "language")
 
 
 def default_min_confidence(query: str, corpus: str = "code") -> float:

@@ -35,6 +35,12 @@ def upsert_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
+def delete_children(children: DataFrame, owner: str, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows that belong to a node (its id in the column owner), such as struct fields and interface methods, without those of files' nodes."""
+    gone = nodes.join(files.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi").select("project_id", F.col("id").alias(owner))
+    return children.join(gone, ["project_id", owner], "left_anti").select(*children.columns)
+
+
 def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without those of files (project_id, file_path); an edge goes with either end, within its project."""
     gone = nodes.join(files.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi").select("project_id", "id")
@@ -53,12 +59,63 @@ def vanished_files(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def commit(df: DataFrame, folder: str) -> str:
-    """Writes a new version of a table beside the old ones and returns its path; readers switch when they are told."""
-    path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    """Writes a new version of a table beside the old ones, makes it the current one and returns its path.
+
+    The name of the version is written last, in a file of its own that sorts
+    behind all earlier ones, so readers see the old table or the new one.
+    """
+    spark = df.sparkSession
+    folder = folder.rstrip("/")
+    path = f"{folder}/v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    fs, root = _files(spark, folder)
+    number = max([-1, *_versions(fs, root)]) + 1
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current-{number:012d}"), False)
+    out.write(bytearray(path.encode()))
+    out.close()
     return path
 
 
+def _files(spark, folder: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _versions(fs, root) -> list[int]:
+    return [int(x.getPath().getName()[8:]) for x in fs.listStatus(root) if x.getPath().getName().startswith("current-")]
+
+
+def committed(spark, folder: str) -> DataFrame:
+    """The current version of a table that commit() wrote."""
+    folder = folder.rstrip("/")
+    fs, root = _files(spark, folder)
+    path = spark.read.text(f"{folder}/current-{max(_versions(fs, root)):012d}").first()[0]
+    return spark.read.parquet(path)
+
+
+def put_record(records: DataFrame, key: str, text: str | None) -> DataFrame:
+    """Decision records (key, text) with one set, or removed if its text is null."""
+    rest = records.where(F.col("key") != key)
+    return rest if text is None else rest.unionByName(records.sparkSession.createDataFrame([(key, text)], "key string, text string"))
+
+
+def lookup(nodes: DataFrame, wanted: DataFrame, by: str = "id") -> DataFrame:
+    """Nodes whose column `by` is among the wanted values (project_id, by); broadcast where Spark finds them few."""
+    return nodes.join(wanted.select("project_id", by).distinct(), ["project_id", by], "left_semi")
+
+
+def grouped_by_name(nodes: DataFrame) -> DataFrame:
+    """(project_id, qualified_name, ids): the ids of each qualified name, in order, for many lookups at once."""
+    return nodes.groupBy("project_id", "qualified_name").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def edges_of(edges: DataFrame, ends: DataFrame, inbound: bool = False, kinds: list[str] | None = None) -> DataFrame:
+    """Edges that start, or end if inbound, at one of the nodes (project_id, id)."""
+    side = "to_id" if inbound else "from_id"
+    e = edges if not kinds else edges.where(F.col("kind").isin(kinds))
+    return e.join(ends.select("project_id", F.col("id").alias(side)).distinct(), ["project_id", side], "left_semi").select(*edges.columns)
+
+
 def files_with_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("project_id", "file_path").agg(F.count(F.lit(1)).alias("symbols"), F.max("file_hash").alias("file_hash"))
 
@@ -74,11 +131,22 @@ def empty_projects(projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     return projects.join(nodes.select("project_id").distinct(), "project_id", "left_anti").join(edges.select("project_id").distinct(), "project_id", "left_anti")
 
 
+def same_place(projects: DataFrame) -> DataFrame:
+    """(project_id, winner) of projects whose root is the same path but for case of drive, slashes and dots; the winner was added first."""
+    root = F.regexp_replace(F.regexp_replace(F.replace("root_path", F.lit("\\"), F.lit("/")), r"/(?:\./)+|/{2,}", "/"), r"(?<=.)/$", "")
+    place = F.regexp_replace(root, r"^[A-Z]:", F.lower(F.substring(root, 1, 2)))
+    best = projects.groupBy(place.alias("place")).agg(F.min(F.struct("added_at", "project_id")).alias("w"), F.count(F.lit(1)).alias("k"))
+    return projects.select("project_id", place.alias("place")).join(best.where("k > 1"), "place").select("project_id", F.col("w.project_id").alias("winner"))
+
+
 def merge_projects(df: DataFrame, key: list[str], winner: str, losers: list[str]) -> DataFrame:
     """Rows of the losers moved to the winner unless it has their key; other projects stay."""
     rest = [c for c in key if c != "project_id"]
     mine = df.where(F.col("project_id") == winner)
-    moved = df.where(F.col("project_id").isin(losers)).dropDuplicates(rest).join(mine.select(*rest), rest, "left_anti").withColumn("project_id", F.lit(winner)).select(*df.columns)
+    theirs = df.where(F.col("project_id").isin(losers))
+    # of several losers with a key the first in name, then the least of the other columns
+    one = theirs.groupBy(*rest).agg(F.min(F.struct("project_id", *(c for c in df.columns if c not in key))).alias("v"))
+    moved = one.join(mine.select(*rest), rest, "left_anti").select(*(F.lit(winner).alias(c) if c == "project_id" else F.col(c) if c in rest else F.col(f"v.{c}").alias(c) for c in df.columns))
     return df.where(~F.col("project_id").isin(losers)).unionByName(moved)
 
 

@@ -79,6 +79,24 @@ def hook_rates(hooks: DataFrame) -> DataFrame:
     return hooks.agg(n.alias("rows"), r.alias("redirected"), t.alias("taken"), (r - t).alias("overridden"), pct(r, n).alias("redirect_pct"), pct(t, r).alias("taken_pct"))
 
 
+def hook_rates_by_tool(hooks: DataFrame) -> DataFrame:
+    """The same per tool (tool_name)."""
+    redirected = F.col("decision") == "redirect"
+    taken = redirected & (F.coalesce(F.col("took_recommendation"), F.lit(0)) == 1)
+    r, t = F.count_if(redirected), F.count_if(taken)
+    return hooks.groupBy("tool_name").agg(F.count(F.lit(1)).alias("rows"), r.alias("redirected"), t.alias("taken"), (r - t).alias("overridden"), F.round(F.coalesce(F.try_divide(t * 100.0, r), F.lit(0.0)), 4).alias("taken_pct"))
+
+
+def failures_by_reason(failures: DataFrame) -> DataFrame:
+    """(reason, n); null and empty reasons aren't failures."""
+    return failures.where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slow_calls(calls: DataFrame, threshold: int, k: int = 100) -> DataFrame:
+    """The k newest calls (call_id, tool, ms, ts) that took at least the threshold."""
+    return calls.where(F.col("ms") >= threshold).orderBy(F.desc("ts"), F.desc("call_id")).limit(k)
+
+
 def next_calls(hooks: DataFrame, calls: DataFrame, k: int = 3) -> DataFrame:
     """For each hook row the next k calls of its session: id, position, call_id, tool.
 

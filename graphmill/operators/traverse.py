@@ -109,6 +109,12 @@ def closure(edges: DataFrame, depth: int = 3, kinds: list[str] | None = None) ->
     return found.select("project_id", "from_id", "to_id", "depth", "via_kind")
 
 
+def trace_closed(closed: DataFrame, starts: DataFrame, direction: str = "outbound", depth: int = 3) -> DataFrame:
+    """The trace of each start read off a closure: (project_id, start, id, depth, via)."""
+    a, b = ("to_id", "from_id") if DIRECTIONS.get(direction.lower(), direction) == "inbound" else ("from_id", "to_id")
+    return closed.where(F.col("depth") <= depth).join(starts.select("project_id", F.col("start").alias(a)).distinct(), ["project_id", a], "left_semi").select("project_id", F.col(a).alias("start"), F.col(b).alias("id"), "depth", F.col("via_kind").alias("via"))
+
+
 def risk(depth):
     """Risk label of a hop by its depth."""
     return F.when(depth == 1, "CRITICAL").when(depth == 2, "HIGH").when(depth == 3, "MEDIUM").otherwise("LOW")
@@ -122,7 +128,7 @@ def hops(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def adaptive_depth(edges: DataFrame, starts: DataFrame, direction: str = "inbound", kinds: list[str] | None = None, wide: int = 5, deep: int = 3) -> DataFrame:
     """Trace to depth 1 where a start has `wide` or more neighbours, otherwise to `deep`."""
-    all_found = trace(edges, starts, direction, kinds, deep)
-    near = all_found.where("depth = 1").groupBy("project_id", "start").agg(F.count(F.lit(1)).alias("near"))
-    joined = all_found.join(near, ["project_id", "start"], "left")
-    return joined.where((F.col("depth") == 1) | (F.coalesce("near", F.lit(0)) < wide)).drop("near")
+    near = trace(edges, starts, direction, kinds, 1)
+    many = near.groupBy("project_id", "start").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= wide)
+    few = starts.select("project_id", "start").distinct().join(many, ["project_id", "start"], "left_anti")
+    return near.join(many, ["project_id", "start"], "left_semi").unionByName(trace(edges, few, direction, kinds, deep))

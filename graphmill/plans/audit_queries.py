@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..adapters import CALLS_CTE, GRAPH_CTE, entity_graph, tool_calls
 from ..functions import columns as C
-from ..operators import audit, composite, resolve, search, store, telemetry
+from ..operators import audit, composite, resolve, store, telemetry, traverse
 from ..session import table
 from .register import Register
+from .resolve_queries import IN_FORCE
 
 _R = Register()
 
@@ -23,10 +24,26 @@ def _c(sql: str) -> str:
 
 
 # ---------------------------------------------------------------- audits
-@_R(_g("SELECT id, kind FROM g_nodes n WHERE kind IN ('Customer', 'Supplier', 'Part') AND NOT is_exported AND NOT is_entry_point AND NOT is_test AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.to_id = n.id)"))
+@_R(_g("SELECT id, kind FROM g_nodes n WHERE kind IN ('Order', 'Customer', 'Part') AND NOT is_exported AND NOT is_entry_point AND NOT is_test AND extraction_confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.to_id = n.id)"))
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
     g = entity_graph(spark, d)
-    return audit.dead_code(g.nodes, g.edges, ("Customer", "Supplier", "Part")).select("id", "kind")
+    return audit.dead_code(g.nodes, g.edges, ("Order", "Customer", "Part"), 0.6).select("id", "kind")
+
+
+def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as methods, suppliers and every third order's priority as interfaces that declare some of them."""
+    g = entity_graph(spark, d)
+    urgent = F.col("language") == "1-URGENT"
+    parent = F.when(F.col("kind") == "Order", F.when(urgent, F.lit("supplier.Supplier#000000001")).otherwise(F.lit("customer.none")))
+    kind = F.when(F.col("kind") == "Order", "Method").when(F.col("kind") == "Supplier", "Interface").otherwise(F.col("kind"))
+    return g.nodes.withColumn("parent", parent).withColumn("kind", kind), g.edges
+
+
+@_R(_g("SELECT id FROM g_nodes n WHERE kind = 'Order' AND NOT is_exported AND NOT is_entry_point AND NOT is_test AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.to_id = n.id) AND NOT (language = '1-URGENT' AND EXISTS (SELECT 1 FROM g_nodes i WHERE i.kind = 'Supplier' AND i.qualified_name = 'supplier.Supplier#000000001'))"))
+def dead_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Methods that nothing refers to, without those that an interface declares."""
+    n, e = _typed(spark, d)
+    return audit.dead_code(n, e, ("Method",), interface_methods=audit.interface_carve_out(n)).select("id")
 
 
 @_R(
@@ -100,9 +117,9 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return audit.graph_stats(g.nodes, g.edges)
 
 
-@_R(_g("SELECT language, round(avg(extraction_confidence), 6) AS mean_confidence, count(*) AS n, CASE WHEN avg(extraction_confidence) >= 0.99 THEN 'AST' ELSE 'Regex' END AS parser FROM g_nodes WHERE kind <> 'Customer' GROUP BY language"))
+@_R(_g("SELECT language, round(avg(extraction_confidence), 6) AS mean_confidence, count(*) AS n, CASE WHEN avg(extraction_confidence) >= 0.99 THEN 'AST' ELSE 'Regex' END AS parser FROM g_nodes GROUP BY language"))
 def language_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return audit.language_coverage(entity_graph(spark, d).nodes.where("kind <> 'Customer'"))
+    return audit.language_coverage(entity_graph(spark, d).nodes)
 
 
 @_R(_g("SELECT kind, count(*) AS n, round(list_sort(list(extraction_confidence))[1 + 10 * (count(*) - 1) // 100], 6) AS p10, round(list_sort(list(extraction_confidence))[1 + 50 * (count(*) - 1) // 100], 6) AS p50 FROM g_nodes GROUP BY kind"))
@@ -115,7 +132,7 @@ def confidence_hist(spark: SparkSession, d: str) -> DataFrame:
     return audit.confidence_histogram(entity_graph(spark, d).nodes)
 
 
-_HUNKS = "SELECT 'shop' AS project_id, concat('customer/', c_mktsegment) AS file_path, CAST(c_custkey - 3 AS INT) AS first, CAST(c_custkey + c_custkey % 5 AS INT) AS last FROM {customer} WHERE c_custkey % 97 = 0"
+_HUNKS = "SELECT 'shop' AS project_id, concat('customer/', c_mktsegment) AS file_path, CAST(c_custkey - 3 AS INT) AS first, CAST(c_custkey + c_custkey % 5 AS INT) AS last FROM {customer}"
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -144,25 +161,87 @@ def verify_files(spark: SparkSession, d: str) -> DataFrame:
     return audit.verify_files(f, found).select(F.substring_index("file_path", "|", -1).alias("file_path"), "state")
 
 
-@_R()
-def context_for_task(spark: SparkSession, d: str) -> DataFrame:
-    g = entity_graph(spark, d)
-    return composite.context_for_task(g.nodes.withColumn("kind", F.lit("Function")), g.edges, "nation region 1")
+_OVERVIEW = IN_FORCE + """, n AS (SELECT project_id, count(*) AS symbols, count(DISTINCT file_path) AS files, count(*) FILTER (WHERE {fixture}) AS fixture_symbols FROM in_force GROUP BY 1), e AS (SELECT project_id, count(*) AS edges FROM (SELECT DISTINCT project_id, from_qn, to_name, kind FROM pending_edges WHERE from_qn <> '' AND to_name <> '') GROUP BY 1)""".format(fixture=f"regexp_matches(file_path, '{C.FIXTURE_PATH}')")
+
 
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """Named references as edges between names, each once."""
+    e = table(spark, d, "pending_edges").where("from_qn <> '' and to_name <> ''")
+    return e.select("project_id", F.col("from_qn").alias("from_id"), F.col("to_name").alias("to_id"), "kind").distinct()
 
-@_R("SELECT project_id, count(id) AS symbols, count(DISTINCT file_path) AS files FROM projects LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at IS NOT NULL DESC) AS k FROM symbols) WHERE k = 1 AND deleted_at IS NULL) USING (project_id) GROUP BY project_id")
+
+@_R(f"WITH {_OVERVIEW} SELECT project_id, coalesce(symbols, 0) AS symbols, coalesce(files, 0) AS files, coalesce(fixture_symbols, 0) AS fixture_symbols, coalesce(edges, 0) AS edges, round(CASE WHEN coalesce(symbols, 0) = 0 THEN 0.0 ELSE coalesce(edges, 0) / CAST(symbols AS DOUBLE) END, 6) AS edge_ratio, coalesce(symbols, 0) >= 1000 AND coalesce(edges, 0) < 0.001 * symbols AS ghost FROM projects LEFT JOIN n USING (project_id) LEFT JOIN e USING (project_id) WHERE coalesce(edges, 0) >= 5")
 def project_overview(spark: SparkSession, d: str) -> DataFrame:
     n = resolve.nodes_in_force(table(spark, d, "symbols"))
-    return composite.project_overview(table(spark, d, "projects"), n, n.select("project_id").limit(0)).select("project_id", "symbols", "files")
+    return composite.project_overview(table(spark, d, "projects"), n, _references(spark, d), min_edges=5)
+
+
+_FAULTS = """SELECT DISTINCT project_id, file_path, 'bad range' AS reason FROM in_force WHERE end_line < start_line OR end_byte < start_byte
+    UNION SELECT project_id, file_path, 'name collision' FROM in_force GROUP BY project_id, file_path, qualified_name, kind HAVING count(*) > 1
+    UNION SELECT project_id, file_path, 'no symbols' FROM source_files f WHERE NOT EXISTS (SELECT 1 FROM in_force s WHERE s.project_id = f.project_id AND s.file_path = f.file_path)"""
+
+
+@_R(f"WITH {IN_FORCE} {_FAULTS}")
+def extraction_faults(spark: SparkSession, d: str) -> DataFrame:
+    n = resolve.nodes_in_force(table(spark, d, "symbols"), "start_line", "end_line", "start_byte", "end_byte")
+    return composite.extraction_faults(n, table(spark, d, "source_files"))
+
+
+@_R(_g("SELECT kind, count(*) AS n, round(avg(extraction_confidence), 6) AS mean_confidence FROM g_nodes GROUP BY kind"))
+def confidence_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return audit.confidence_by_kind(entity_graph(spark, d).nodes)
+
+
+@_R(_g("SELECT language, count(*) AS symbols, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM g_nodes WHERE starts_with(file_path, 'part/') GROUP BY language"))
+def module_shares(spark: SparkSession, d: str) -> DataFrame:
+    return audit.module_shares(entity_graph(spark, d).nodes, "part/")
+
+
+@_R(_g("SELECT id FROM g_nodes n WHERE kind <> 'Order' AND EXISTS (SELECT 1 FROM g_edges e WHERE e.from_id = n.id OR e.to_id = n.id)"))
+def connected_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with an edge in either direction: a semi-join."""
+    g = entity_graph(spark, d)
+    return audit.connected(g.nodes.where("kind <> 'Order'"), g.edges).select("id")
+
+
+@_R(f"WITH {IN_FORCE} SELECT project_id, id FROM in_force WHERE NOT is_test AND NOT {C.TEST_SQL.format('file_path')} AND NOT regexp_matches(file_path, '{C.FIXTURE_PATH}')")
+def production_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols in force without those of tests and fixtures."""
+    n = resolve.nodes_in_force(table(spark, d, "symbols"), "is_test")
+    return audit.without_tests(n).select("project_id", "id")
+
+
+@_R(_g("SELECT to_id AS id, count(*) AS callers FROM g_edges WHERE kind = 'CALLS' GROUP BY to_id HAVING count(*) > 20"))
+def many_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Groups filtered by their count."""
+    e = entity_graph(spark, d).edges.where("kind = 'CALLS'")
+    return e.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("callers")).where("callers > 20")
 
 
 @_R(
-    """WITH now AS (SELECT DISTINCT project_id, id, file_path, qualified_name, kind, start_line, end_line, start_byte, end_byte FROM symbols)
-    SELECT DISTINCT project_id, file_path, 'bad range' AS reason FROM now WHERE end_line < start_line OR end_byte < start_byte
-    UNION SELECT project_id, file_path, 'name collision' FROM now GROUP BY project_id, file_path, qualified_name, kind HAVING count(*) > 1"""
+    f"""WITH RECURSIVE {GRAPH_CTE}, links AS (SELECT DISTINCT to_id AS a, from_id AS b FROM g_edges WHERE kind = 'CALLS'), near AS (SELECT a, count(DISTINCT b) AS k FROM links WHERE a <> b GROUP BY a),
+    walk(start, id, depth) AS (SELECT a, b, 1 FROM links WHERE a LIKE 'r:%' OR a LIKE 'n:%' OR a LIKE 'c:%' UNION SELECT start, l.b, depth + 1 FROM walk w JOIN links l ON l.a = w.id WHERE depth < 2)
+    SELECT start, id, min(depth) AS depth FROM walk JOIN near ON near.a = start WHERE id <> start AND (k < 6 OR depth = 1) GROUP BY start, id"""
 )
-def extraction_faults(spark: SparkSession, d: str) -> DataFrame:
-    return composite.extraction_faults(table(spark, d, "symbols").select("project_id", "id", "file_path", "qualified_name", "kind", "start_line", "end_line", "start_byte", "end_byte").distinct())
+def adaptive_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of regions, nations and customers, farther ones only of those with few."""
+    g = entity_graph(spark, d)
+    starts = g.nodes.where("kind in ('Region', 'Nation', 'Customer')").select("project_id", F.col("id").alias("start"))
+    return traverse.adaptive_depth(g.edges, starts, "callers", ["CALLS"], 6, 2).select("start", "id", "depth")
+
+
+@_R(_g("SELECT from_id, to_id, kind, confidence FROM g_edges WHERE to_id IN (SELECT id FROM g_nodes WHERE kind = 'Supplier' AND is_exported) AND kind IN ('IMPORTS', 'CALLS')"))
+def edges_to(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by their end."""
+    g = entity_graph(spark, d)
+    return store.edges_of(g.edges, g.nodes.where("kind = 'Supplier' and is_exported"), True, ["IMPORTS", "CALLS"]).select("from_id", "to_id", "kind", "confidence")
+
+
+@_R(_g("SELECT from_id, to_id, kind FROM g_edges WHERE from_id IN (SELECT id FROM g_nodes WHERE kind = 'Nation')"))
+def edges_from(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by their start, of any kind."""
+    g = entity_graph(spark, d)
+    return store.edges_of(g.edges, g.nodes.where("kind = 'Nation'")).select("from_id", "to_id", "kind")
 
 
 # ---------------------------------------------------------------- telemetry
@@ -205,7 +284,7 @@ def map_merge_sum(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.map_sums(table(spark, d, "events"), "props")
 
 
-_HOOKS = "SELECT event_id AS id, concat('u', user_id) AS session_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'redirect' ELSE 'allow' END AS decision, CASE WHEN value > 50 THEN 1 WHEN value > 20 THEN 0 END AS took_recommendation FROM {events}"
+_HOOKS = "SELECT event_id AS id, event_type AS tool_name, concat('u', user_id) AS session_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'redirect' ELSE 'allow' END AS decision, CASE WHEN value > 50 THEN 1 WHEN value > 20 THEN 0 END AS took_recommendation FROM {events}"
 
 
 @_R(f"WITH hooks AS ({_HOOKS.format(events='events')}) SELECT count(*) AS \"rows\", r AS redirected, t AS taken, r - t AS overridden, round(r * 100.0 / count(*), 4) AS redirect_pct, round(t * 100.0 / r, 4) AS taken_pct FROM hooks, (SELECT count(*) FILTER (WHERE decision = 'redirect') AS r, count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) AS t FROM hooks) GROUP BY r, t")
@@ -213,6 +292,23 @@ def hook_conversion(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.hook_rates(spark.sql(_HOOKS, events=table(spark, d, "events")))
 
 
+@_R(f"WITH hooks AS ({_HOOKS.format(events='events')}) SELECT tool_name, count(*) AS \"rows\", count(*) FILTER (WHERE decision = 'redirect') AS redirected, count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) AS taken, count(*) FILTER (WHERE decision = 'redirect') - count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) AS overridden, round(CASE WHEN count(*) FILTER (WHERE decision = 'redirect') = 0 THEN 0.0 ELSE count(*) FILTER (WHERE decision = 'redirect' AND took_recommendation = 1) * 100.0 / count(*) FILTER (WHERE decision = 'redirect') END, 4) AS taken_pct FROM hooks GROUP BY tool_name")
+def hook_conversion_by_tool(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.hook_rates_by_tool(spark.sql(_HOOKS, events=table(spark, d, "events")))
+
+
+@_R("SELECT error AS reason, count(*) AS n FROM python_responses WHERE error <> '' GROUP BY error")
+def failures_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.failures_by_reason(table(spark, d, "python_responses").withColumnRenamed("error", "reason"))
+
+
+@_R("SELECT stat_id AS call_id, tool, max_ms AS ms, flushed_at AS ts FROM tool_latency_stats WHERE max_ms >= 5000 ORDER BY flushed_at DESC, stat_id DESC LIMIT 100")
+def slow_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred newest calls above a threshold."""
+    t = table(spark, d, "tool_latency_stats").select(F.col("stat_id").alias("call_id"), "tool", F.col("max_ms").alias("ms"), F.col("flushed_at").alias("ts"))
+    return telemetry.slow_calls(t, 5000)
+
+
 @_R(
     _c(
         f""", hooks AS ({_HOOKS.format(events='events')} WHERE event_type = 'error')
@@ -256,44 +352,20 @@ def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.prometheus(c, "tool_latency", ["tool"], ["count", "sum", "max"])
 
 
-# ---------------------------------------------------------------- search
-_TOKENS = "list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-_BM25 = """WITH t AS (SELECT doc_id AS id, {tokens} AS t FROM documents), c AS (SELECT id, len(t) AS n, {counts} FROM t),
-s AS (SELECT count(*) AS docs, avg(n) AS mean, {dfs} FROM c)
-SELECT id, round({score}, 6) AS score FROM c, s WHERE {where} ORDER BY score DESC, id LIMIT 20"""
-
-
-def _bm25(terms: list[str], where: str, scored: int = 9) -> str:
-    counts = ", ".join(f"len(list_filter(t, lambda x: {t})) AS f{k}" for k, t in enumerate(terms))
-    dfs = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS d{k}" for k in range(len(terms)))
-    score = " + ".join(f"greatest(ln((docs - d{k} + 0.5) / (d{k} + 0.5)), 0.000001) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(min(scored, len(terms))))
-    return _BM25.format(tokens=_TOKENS, counts=counts, dfs=dfs, score=score, where=where)
-
-
-def _search(spark: SparkSession, d: str, q: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.search(docs, q)
-
-
-@_R(_bm25(["x = 'graph'", "x = 'commit'"], "f0 > 0 AND f1 > 0"))
-def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "graph commit")
-
-
-@_R(_bm25(["x = 'schema'", "starts_with(x, 'reconc')"], "f0 > 0 OR f1 > 0"))
-def bm25_or_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "schema OR reconc*")
-
-
-@_R(_bm25(["x = 'symbol'", "x = 'module'"], "f0 > 0 AND NOT f1 > 0", 1))
-def bm25_not(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "symbol NOT module")
-
-
 # ---------------------------------------------------------------- upkeep
-@_R("SELECT project_id, id, max(indexed_at) AS indexed_at FROM symbols GROUP BY ALL")
+@_R("SELECT project_id, id, indexed_at, deleted_at, file_hash, start_line, complexity FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY indexed_at DESC, deleted_at DESC NULLS LAST, file_hash DESC NULLS LAST, start_line DESC, complexity DESC) AS k FROM symbols) WHERE k = 1")
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    return store.last_wins(table(spark, d, "symbols"), ["project_id", "id"], ["indexed_at"]).select("project_id", "id", "indexed_at")
+    s = table(spark, d, "symbols").select("project_id", "id", "indexed_at", "deleted_at", "file_hash", "start_line", "complexity")
+    return store.last_wins(s, ["project_id", "id"], ["indexed_at"])
+
+
+@_R(f"WITH {GRAPH_CTE} SELECT from_id, to_id, kind, confidence FROM g_edges UNION ALL SELECT DISTINCT concat('o:', l_orderkey), concat('s:', l_suppkey), 'CALLS', CAST(0.1 AS DOUBLE) FROM lineitem")
+def upsert_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written again with another confidence keep the stored one; new ones come once."""
+    e = entity_graph(spark, d).edges
+    new = table(spark, d, "lineitem").select(F.lit("shop").alias("project_id"), F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("s:"), "l_suppkey").alias("to_id"), F.lit("CALLS").alias("kind"))
+    again = e.drop("confidence").unionByName(new).withColumn("confidence", F.lit(0.1))
+    return store.upsert_edges(e, again).select("from_id", "to_id", "kind", "confidence")
 
 
 @_R(_g("SELECT id FROM g_nodes WHERE NOT starts_with(file_path, 'customer/B')"))
@@ -314,15 +386,15 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     return store.changed_files(f.withColumn("file_hash", F.when(F.col("file_id") % 5 == 0, "old").otherwise(F.col("file_hash"))), f).select("file_id")
 
 
-@_R("SELECT project_id, file_path, count(*) AS symbols FROM symbols GROUP BY ALL")
+@_R(f"WITH {IN_FORCE} SELECT project_id, file_path, count(*) AS symbols, max(file_hash) AS file_hash FROM in_force GROUP BY ALL")
 def symbols_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return store.files_with_counts(table(spark, d, "symbols")).select("project_id", "file_path", "symbols")
+    return store.files_with_counts(resolve.nodes_in_force(table(spark, d, "symbols"), "file_hash"))
 
 
-@_R("SELECT p.project_id, count(DISTINCT s.id) AS symbol_count FROM projects p LEFT JOIN (SELECT DISTINCT project_id, id FROM symbols) s USING (project_id) GROUP BY 1")
+@_R(f"WITH {_OVERVIEW} SELECT project_id, coalesce(symbols, 0) AS symbol_count, coalesce(edges, 0) AS edge_count FROM projects LEFT JOIN n USING (project_id) LEFT JOIN e USING (project_id)")
 def recount_projects(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "symbols").select("project_id", "id").distinct()
-    return store.recount(table(spark, d, "projects"), n, n.limit(0)).select("project_id", "symbol_count")
+    n = resolve.nodes_in_force(table(spark, d, "symbols"))
+    return store.recount(table(spark, d, "projects"), n, _references(spark, d)).select("project_id", "symbol_count", "edge_count")
 
 
 @_R("SELECT project_id, reason, file_path, min(extracted_at) AS first_seen, max(extracted_at) AS last_seen, count(*) AS times FROM (SELECT *, error AS reason FROM python_responses) WHERE reason <> '' GROUP BY ALL")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..adapters import GRAPH_CTE, STEPS_CTE, entity_graph, step_edges
+from ..catalog import Graph
 from ..operators import traverse
 from . import pattern
 
@@ -61,8 +63,6 @@ def _pattern(text: str, rows: int | None):
 
 
 def _starts(df: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return df.select("project_id", F.col("from_id").alias("start")).distinct()
 
 
@@ -83,18 +83,30 @@ def closure_d3(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_from_parts(spark: SparkSession, d: str) -> DataFrame:
     """What imports and reads reach from parts, with the least kind of the last edge."""
-    from pyspark.sql import functions as F
-
     g = entity_graph(spark, d)
     starts = g.nodes.where("kind = 'Part' and complexity > 40").select("project_id", F.col("id").alias("start"))
     found = traverse.trace(g.edges, starts, "outbound", ["IMPORTS", "CALLS"], 3)
     return traverse.hops(found, g.nodes).groupBy("risk", "via", "kind").agg(F.count(F.lit(1)).alias("k"))
 
 
+def self_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a node to itself in a graph that has some."""
+    e = step_edges(spark, d)
+    n = e.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().select(F.lit("steps").alias("project_id"), "id", F.col("id").alias("name"), F.substring_index("id", "/", -1).alias("kind"))
+    return pattern.run(Graph(n, e, "steps"), "MATCH (a)-[:CALLS]->(a) RETURN a.id, a.kind", max_rows=None).df
+
+
+def trace_by_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The inbound trace of errors, read off the closure."""
+    e = step_edges(spark, d)
+    starts = e.where("to_id like '%/error'").select("project_id", F.col("to_id").alias("start"))
+    return traverse.trace_closed(traverse.closure(e, 3), starts, "callers", 2).select("start", "id", "depth", "via")
+
+
 def queries() -> dict:
     out = {k: _pattern(text, rows) for k, (text, _, rows) in PATTERNS.items()}
     out |= {k: _pattern(text, None) for k, (text, _, _) in _PATHS.items()}
-    return out | {f.__name__: f for f in (bfs_2_3_walks, trace_both, closure_d3, trace_from_parts)}
+    return out | {f.__name__: f for f in (bfs_2_3_walks, trace_both, closure_d3, trace_from_parts, self_loop, trace_by_closure)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,6 +117,8 @@ def oracle_sql() -> dict[str, str]:
     out["trace_both"] = f"""WITH RECURSIVE {STEPS_CTE}, turned AS (SELECT to_id AS from_id, from_id AS to_id FROM steps){_WALK.format(links='steps', high=2)}{back}
       SELECT start, id, min(depth) AS depth, 'CALLS' AS via FROM (SELECT * FROM walk UNION ALL SELECT * FROM back WHERE start IN (SELECT from_id FROM steps)) WHERE id <> start GROUP BY start, id"""
     out["closure_d3"] = f"WITH RECURSIVE {STEPS_CTE}{_WALK.format(links='steps', high=3)} SELECT start AS from_id, id AS to_id, min(depth) AS depth, 'CALLS' AS via_kind FROM walk WHERE id <> start GROUP BY start, id"
+    out["self_loop"] = f"WITH {STEPS_CTE} SELECT from_id AS \"a.id\", regexp_extract(from_id, '[^/]*$') AS \"a.kind\" FROM steps WHERE from_id = to_id"
+    out["trace_by_closure"] = f"WITH RECURSIVE {STEPS_CTE}, turned AS (SELECT to_id AS from_id, from_id AS to_id FROM steps){_WALK.format(links='turned', high=2)} SELECT start, id, min(depth) AS depth, 'CALLS' AS via FROM walk WHERE id <> start AND start LIKE '%/error' GROUP BY start, id"
     out["trace_from_parts"] = f"""WITH RECURSIVE {GRAPH_CTE}, links AS (SELECT DISTINCT from_id, to_id, kind FROM g_edges WHERE kind IN ('IMPORTS', 'CALLS')),
       walk(start, id, depth, via) AS (SELECT from_id, to_id, 1, l.kind FROM links l JOIN g_nodes n ON n.id = from_id AND n.kind = 'Part' AND n.complexity > 40
         UNION SELECT w.start, l.to_id, w.depth + 1, l.kind FROM walk w JOIN links l ON l.from_id = w.id WHERE w.depth < 3),
