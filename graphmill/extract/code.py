@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -114,9 +115,13 @@ _CONTROL = frozenset("if for while switch catch return function else do sizeof s
 _NOT_CALLS = frozenset("if for while switch catch return function func def fn fun sizeof typeof new await yield not and or in elif except with assert print_ match case lambda defer go select class super".split())
 
 
-def _blank(comment: str, text: str, strings: bool = True) -> str:
+#: A regular expression literal, which stands where an operand may begin.
+_REGEX = r"(?:(?<=[=(,:;!&|?{}\[+\n])|(?<=\breturn))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+
+
+def _blank(comment: str, text: str, strings: bool = True, regex: bool = False) -> str:
     """The text without comments and strings, with the same offsets; a comment inside a string stays a string."""
-    pattern = re.compile(rf"({_STRING})|({comment})")
+    pattern = re.compile(rf"({_STRING}{'|' + _REGEX if regex else ''})|({comment})")
 
     def one(m: re.Match) -> str:
         return re.sub(r"[^\n]", " ", m[0]) if m[2] is not None or strings else m[0]
@@ -124,20 +129,27 @@ def _blank(comment: str, text: str, strings: bool = True) -> str:
     return pattern.sub(one, text)
 
 
-def _block_end(kind: str, masked: str, at: int) -> int:
+def _braces(masked: str) -> dict[int, int]:
+    """Ends of brace blocks by their starts."""
+    out, stack = {}, []
+    for m in re.finditer(r"[{}]", masked):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
+def _block_end(kind: str, masked: str, at: int, braces: dict[int, int]) -> int:
     if kind == "brace":
         k = masked.find("{", at)
         stop = masked.find("\n", at)
-        if k < 0 or 0 <= stop < k and masked[at:k].strip().count("\n") > 2:
+        if k < 0 or 0 <= stop < k and masked[at : min(k, at + 2000)].strip().count("\n") > 2:
             return stop if stop >= 0 else len(masked)
-        depth = 0
-        for m in re.compile(r"[{}]").finditer(masked, k):
-            depth += 1 if m[0] == "{" else -1
-            if depth == 0:
-                return m.end()
-        return len(masked)
+        return braces.get(k, len(masked))
     begin = masked.rfind("\n", 0, at) + 1
-    row = masked[begin:].split("\n", 1)[0]
+    stop = masked.find("\n", begin)
+    row = masked[begin : stop if stop >= 0 else len(masked)]
     indent = len(row) - len(row.lstrip())
     pos = masked.find("\n", at)
     last = pos if pos >= 0 else len(masked)
@@ -155,18 +167,56 @@ def _block_end(kind: str, masked: str, at: int) -> int:
     return last
 
 
+_FIELD = re.compile(r"(?m)^[ \t]*((?:[A-Za-z_]\w*[ \t]*,[ \t]*)*[A-Za-z_]\w*)[ \t]+([\w.*\[\]{}<>() -]+?)[ \t]*(?:`[^`\n]*`)?[ \t]*$")
+_DECLARED = re.compile(r"(?m)^[ \t]*([A-Za-z_]\w*)\s*\(")
+_WRITTEN = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*(?:[-+*/%&|^]|<<|>>|&\^)?=(?!=)")
+_DOTTED = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?![\w(.]|\s*\()")
+
+
+def _go_members(kind: str, qn: str, body: str, line: int) -> Iterator[Record]:
+    """Fields of a struct and methods that an interface declares."""
+    if kind == "Interface":
+        for m in _DECLARED.finditer(body):
+            yield Record("interface_method", "Method", m[1], qn, line, line, confidence=0.85)
+    else:
+        for m in _FIELD.finditer(body):
+            for name in m[1].split(","):
+                yield Record("field", "Field", name.strip(), qn, line, line, m[2].strip(), confidence=0.85)
+
+
+def _go_uses(qn: str, body: str, values: frozenset[str], line: int) -> Iterator[Record]:
+    """What a function writes, and which package values and selected names it reads, each once."""
+    written = {m[1] for m in _WRITTEN.finditer(body)}
+    for name in sorted(written):
+        yield Record("edge", "WRITES", name, qn, line, line, confidence=0.85)
+    for name in sorted({m[1] for m in _DOTTED.finditer(body)} - written):
+        if "." in name or name in values:
+            yield Record("edge", "READS", name, qn, line, line, confidence=0.85)
+
+
 def by_patterns(language: str, path: str, text: str) -> Iterator[Record]:
-    """Symbols by a language's patterns, nested by their blocks, with imports and calls."""
+    """Symbols by a language's patterns, nested by their blocks, with imports and calls.
+
+    Linear in the text but for the depth of nesting: lines are found in a table
+    of their starts and blocks in a table of their ends.  Go also gives fields
+    of structs, methods of interfaces, reads and writes.
+    """
     p = TABLE[language]
     mod = module_name(path)
-    masked = _blank(p.comment, text)
+    masked = _blank(p.comment, text, regex=language in ("JavaScript", "TypeScript"))
+    begins = [0, *(m.end() for m in re.finditer("\n", text))]
+    line_of = lambda at: bisect_right(begins, at)
+    braces = _braces(masked) if p.block == "brace" else {}
     found = []
     for rank, (kind, pattern) in enumerate(p.symbols):
         for m in re.finditer(pattern, masked):
             name = m["name"] or (m["other"] if "other" in m.re.groupindex else None)
             if name and name not in _CONTROL:
-                found.append((m.start() + len(m[0]) - len(m[0].lstrip()), _block_end(p.block, masked, m.end() - 1), kind, name.strip('"`'), rank))
+                value = kind in ("Variable", "Constant")  # no block of its own
+                end = (masked.find("\n", m.end()) + 1 or len(masked)) if value else _block_end(p.block, masked, m.end() - 1, braces)
+                found.append((m.start() + len(m[0]) - len(m[0].lstrip()), end, kind, name.strip('"`'), rank))
     found.sort(key=lambda f: (f[0], f[4]))
+    values = frozenset(f[3] for f in found if f[2] in ("Variable", "Constant"))
     stack: list[tuple[int, str, str]] = []
     spans = []
     taken = set()
@@ -180,13 +230,18 @@ def by_patterns(language: str, path: str, text: str) -> Iterator[Record]:
         in_class = bool(owner and owner[2] in ("Class", "Interface"))
         if kind == "Function" and in_class:
             kind = "Method"
-        if kind == "Method" and language == "Go" and (r := re.match(r"func\s*\(\s*\w*\s*\*?\s*(\w+)", text[start:])):
-            qn = f"{mod}.{r[1]}.{name}"
+        stop = masked.find("\n", start)
+        row = text[start : stop if stop >= 0 else len(text)].rstrip(" {")
+        parent = owner[1] if in_class else None
+        if kind == "Method" and language == "Go" and (r := re.match(r"func\s*\(\s*\w*\s*\*?\s*(\w+)", row)):
+            parent = f"{mod}.{r[1]}"
+            qn = f"{parent}.{name}"
         else:
             qn = f"{owner[1] if owner else mod}.{name}"
-        line = text.count("\n", 0, start) + 1
-        row = text[start:].split("\n", 1)[0].rstrip(" {")
-        yield Record("symbol", kind, name, qn, line, text.count("\n", 0, max(start, end - 1)) + 1, row, None, owner[1] if in_class else None, complexity(text[start:end]) if kind in ("Function", "Method") else 0, bool(re.search(p.exported, name)) if p.exported else not name.startswith("_"), p.confidence)
+        line = line_of(start)
+        yield Record("symbol", kind, name, qn, line, line_of(max(start, end - 1)), row, None, parent, complexity(text[start:end]) if kind in ("Function", "Method") else 0, bool(re.search(p.exported, name)) if p.exported else not name.startswith("_"), p.confidence)
+        if language == "Go" and kind in ("Class", "Interface") and (k := masked.find("{", start, end)) >= 0:
+            yield from _go_members(kind, qn, text[k + 1 : end - 1], line)
         stack.append((end, qn, kind))
         if kind in ("Function", "Method"):
             spans.append((start, end, qn))
@@ -194,15 +249,17 @@ def by_patterns(language: str, path: str, text: str) -> Iterator[Record]:
     for m in re.finditer(p.imports, whole):
         name = m["name"] or (m["other"] if "other" in m.re.groupindex else None)
         if name:
-            line = text.count("\n", 0, m.start()) + 1
+            line = line_of(m.start())
             yield Record("edge", "IMPORTS", name, mod, line, line, confidence=p.confidence)
     for start, end, qn in spans:
         seen = set()
         body = masked.find("{", start, end) if p.block == "brace" else masked.find("\n", start, end)
+        if language == "Go" and body >= 0:
+            yield from _go_uses(qn, masked[body:end], values, line_of(start))
         for m in _CALL.finditer(masked, max(body, start), end):
             if m[1] not in seen and m[1] not in _NOT_CALLS:
                 seen.add(m[1])
-                line = text.count("\n", 0, m.start()) + 1
+                line = line_of(m.start())
                 yield Record("edge", "CALLS", m[1], qn, line, line, confidence=p.confidence)
 
 

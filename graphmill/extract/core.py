@@ -13,7 +13,7 @@ from ..sources.languages import detect
 
 
 class Record(NamedTuple):
-    """A symbol (what = 'symbol') or a reference (what = 'edge') of a file."""
+    """A symbol (what = 'symbol'), a reference ('edge'), a field of a struct or a method that an interface declares ('field', 'interface_method'; qualified_name is the owner's)."""
 
     what: str
     kind: str
@@ -61,7 +61,7 @@ def extract(language: str, path: str, text: str) -> list[Record]:
 
     mod = module_name(path)
     kind = "Document" if language in ("Markdown", "HTML") else "Module"
-    out = [Record("symbol", kind, mod.rsplit(".", 1)[-1], mod, 1, max(1, text.count("\n") + 1), is_exported=True)]
+    out = [Record("symbol", kind, mod.rsplit(".", 1)[-1], mod, 1, max(1, text.count("\n") + (not text.endswith("\n"))), is_exported=True)]
     fn = _EXTRACTORS.get(language)
     if fn and text:
         seen: dict[tuple[str, str], int] = {}
@@ -83,7 +83,7 @@ def complexity(text: str) -> int:
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """EXTRACTED rows of files (project_id, file_path, content); null contents give none, failures one 'failure' row."""
+    """EXTRACTED rows of files (project_id, file_path, content); null contents give none, failures the module and a 'failure' row with the whole error."""
 
     def fn(project: str, path: str | None, text: str | None) -> Iterator[tuple]:
         if text is None or path is None:
@@ -93,6 +93,8 @@ def extract_files(files: DataFrame) -> DataFrame:
             for r in extract(language, path, text):
                 yield (project, path, language, *r)
         except (ValueError, RecursionError, SyntaxError) as e:
-            yield (project, path, language, "failure", type(e).__name__, str(e)[:200], module_name(path), 1, 1, None, None, None, 0, False, 0.0)
+            for r in extract("Unknown", path, text):
+                yield (project, path, language, *r)
+            yield (project, path, language, "failure", type(e).__name__, str(e), module_name(path), 1, 1, None, None, None, 0, False, 0.0)
 
     return map_rows(files.select("project_id", "file_path", "content"), fn, EXTRACTED)

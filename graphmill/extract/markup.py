@@ -135,19 +135,13 @@ def _key_lines(text: str, pattern: str) -> dict[str, int]:
 
 @register("JSON")
 def json_settings(path: str, text: str) -> Iterator[Record]:
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        return
+    value = json.loads(text)  # a text that is no JSON is a failure of its file
     yield from _settings(module_name(path), value, (), _key_lines(text, r'"((?:[^"\\]|\\.)*)"\s*:'))
 
 
 @register("TOML")
 def toml(path: str, text: str) -> Iterator[Record]:
-    try:
-        value = tomllib.loads(text)
-    except tomllib.TOMLDecodeError:
-        return
+    value = tomllib.loads(text)  # a ValueError where it is no TOML
     yield from _settings(module_name(path), value, (), _key_lines(text, r"(?:^\s*|[\[.\"])([\w-]+)\"?\s*(?:=|\]|\.)"))
 
 

@@ -6,13 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Baseline confidence by kind of node.
-KIND_BASELINE = {"Function": 1.0, "Method": 1.0, "Class": 1.0, "Interface": 1.0, "Module": 0.95, "Variable": 0.9, "Constant": 0.9, "Setting": 0.95, "Section": 0.95, "Document": 0.9}
+KIND_BASELINE = {
+    **dict.fromkeys("Function Method Class Interface Type Enum".split(), 1.0),
+    **dict.fromkeys("Module Variable Setting Resource DataSource Output Provider Local".split(), 0.95),
+    **dict.fromkeys("Block".split(), 0.85),
+    **dict.fromkeys("Section Heading".split(), 0.8),
+    **dict.fromkeys("Document CodeSnippet".split(), 0.7),
+}
+#: What paths take off confidence, by file name or by directory; the first that holds counts.
+PATH_PENALTIES = ((".terraform.lock.hcl", -0.4, False), *((x, -0.3, True) for x in ("vendor", "node_modules", "third_party")), *((x, -0.2, True) for x in ("dist", "build", "out")), *((x, -0.2, False) for x in ("README.md", "CHANGELOG.md", "CONTRIBUTING.md")))
+#: The head of a file that is searched, and what marks it as generated.
+HEAD_BYTES, GENERATED_MARK = 1024, "Code generated"
 #: Paths that tests, fixtures and copies live under.
 TEST_PATH = r"(?i:(?:^|/)(?:tests?|__tests__|specs?|e2e|it)/)|(?i:_test\.(?:go|py|rs|rb)$|_spec\.rb$|\.(?:test|spec)\.[cm]?[jt]sx?$|(?:^|/)(?:test_[^/]*|conftest)\.py$)|(?:Tests?|Spec|IT)\.(?:java|kt|swift|cs|php|scala)$"
 #: The same in SQL, of a column's name.
 TEST_SQL = "regexp_matches({0}, '" + TEST_PATH + "')"
 FIXTURE_PATH = r"(?i)(?:^|/)(?:testdata|test-fixtures|test_fixtures|__fixtures__|fixtures)/"
-PENALTY_PATH = r"(?:^|/)(?:vendor|third_party|node_modules|dist|build|generated)/"
 COMPLEXITY_WORDS = ("if ", "for ", "while ", "case ", "catch ", "&&", "||", "elif ", "except ")
 
 
@@ -44,6 +53,31 @@ def confidence(base: Column, kind: Column, path_penalty: Column, ident_bonus: Co
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base + kind) / 2 + z(path_penalty) + z(ident_bonus) + z(generated)))
 
 
+def kind_baseline(kind: Column, otherwise: Column) -> Column:
+    """The baseline of a kind; of other kinds that of the extractor."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in KIND_BASELINE.items() for x in p])[kind], otherwise)
+
+
+def path_penalty(path: Column) -> Column:
+    """What a path takes off confidence; 0 for most."""
+    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")), F.lit(0)))
+    out = F.lit(0.0)
+    for name, penalty, folder in reversed(PATH_PENALTIES):
+        out = F.when(F.array_contains(folders, name) if folder else F.substring_index(path, "/", -1) == name, F.lit(penalty)).otherwise(out)
+    return out
+
+
+def identifier_bonus(name: Column) -> Column:
+    """A little more for a name that is an identifier, less for a blank one."""
+    return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), 0.05).when(F.trim(name) == "", -0.1).otherwise(0.0)
+
+
+def generated_penalty(content: Column) -> Column:
+    """What a mark of generated code in the head of a file takes off."""
+    head = F.substring(F.encode(content, "UTF-8"), 1, HEAD_BYTES)
+    return F.when(F.contains(head, F.encode(F.lit(GENERATED_MARK), "UTF-8")), -0.3).otherwise(0.0)
+
+
 def package_of(path: Column) -> Column:
     """The last directory of a path; empty for a file at the root."""
     parts = F.split(path, "/")

@@ -127,3 +127,10 @@ def pages(df: DataFrame, order: list[str], limit: int = 50, offset: int = 0, mos
     limit, offset = min(max(limit, 1), most), max(offset, 0)
     total = df.count()
     return df.orderBy(*order).offset(offset).limit(limit), {"total": total, "has_more": offset + limit < total, "warnings": warnings}
+
+
+def parity(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """(project_id, file_path, expected, stored) of files whose counts differ; a file on one side only counts 0 on the other."""
+    both = expected.join(stored, ["project_id", "file_path"], "full")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return both.select("project_id", "file_path", z("expected"), z("stored")).where("expected <> stored")

@@ -2,35 +2,78 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Directories that are never walked, and files that hold no source.
-SKIP_DIRS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "vendor", "dist", "build", "target", ".idea", ".vscode", ".tox", ".mypy_cache", ".pytest_cache", "coverage", ".terraform")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum", "uv.lock", "bun.lockb")
+from ..operators.mapping import map_rows
+
+#: Directories that are never walked, besides those that begin with a dot.
+SKIP_DIRS = "__pycache__ build coverage dist env node_modules target vendor venv".split()
+#: Files that hold no source, in small letters: locks, checksums and loaders that package managers write.
+LOCK_FILES = (
+    "bun.lock bun.lockb cargo.lock cartfile.resolved composer.lock flake.lock gemfile.lock go.sum mix.lock npm-shrinkwrap.json package-lock.json package.resolved pdm.lock pipfile.lock pnpm-lock.yaml podfile.lock poetry.lock pubspec.lock uv.lock yarn.lock"
+    " .pnp.cjs .pnp.js .pnp.data.json .pnp.loader.mjs"
+).split()
+#: Ends of names of minified files and source maps, in small letters.
+MINIFIED = r"\.min\.(?:[mc]?js|jsx|tsx?|css)$|\.map$"
 MOST_BYTES = 2 * 1024 * 1024
+IN_SKIP_DIR = r"(?:^|/)(?:" + "|".join(SKIP_DIRS) + r"|\.[^/]+)/"
 
 
 def skipped(path: Column, length: Column | None = None) -> Column:
-    """Is a file left out: in a skipped directory, a lock file, minified, a source map, or too long?"""
-    base = F.substring_index(path, "/", -1)
-    out = path.rlike(r"(?:^|/)(?:" + "|".join(d.replace(".", r"\.") for d in SKIP_DIRS) + ")/") | base.isin(*LOCK_FILES) | base.rlike(r"(?:\.min\.(?:js|css)|\.(?:js|css)?\.map|\.map|-bundle\.js|\.bundle\.js)$")
+    """Is a file left out: in a skipped directory, a lock file, minified, a source map, or too long?  Names in any letter case."""
+    base = F.lower(F.substring_index(path, "/", -1))
+    out = path.rlike(IN_SKIP_DIR) | base.isin(*LOCK_FILES) | base.rlike(MINIFIED)
     return out if length is None else out | (length > MOST_BYTES)
 
 
+def ignore_rules(text: str | None) -> list[tuple[int, bool, str]]:
+    """(order, keeps, regular expression) of the patterns of an ignore file, for paths below its directory."""
+    out = []
+    for k, row in enumerate((text or "").split("\n")):
+        p = row.rstrip("\r").rstrip()
+        if not p or p.startswith("#"):
+            continue
+        keeps, p = p.startswith("!"), p.lstrip("!")
+        folder, p = p.endswith("/"), p.rstrip("/")
+        anchored, p = "/" in p, p.lstrip("/")
+        rx = ""
+        for m in re.finditer(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]*\]|\\\\.|.", p):
+            t = m[0]
+            rx += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or (t.replace("[!", "[^") if t[0] == "[" and len(t) > 1 else re.escape(t[-1]))
+        out.append((k, keeps, f"^{'' if anchored else '(?:.*/)?'}{rx}{'/' if folder else '(?:/|$)'}"))
+    return out
+
+
+def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_path) of files that ignore files (dir, content) leave out: the last pattern that fits decides, nearer files later."""
+    made = map_rows(rules.select("dir", "content"), lambda d, t: [(d, *r) for r in ignore_rules(t)], "dir string, rank int, keeps boolean, pattern string")
+    # a path meets the patterns of the directories above it
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    asked = files.select("file_path", F.explode(above).alias("dir")).withColumn("rest", F.when(F.col("dir") == "", F.col("file_path")).otherwise(F.expr("substring(file_path, length(dir) + 2)")))
+    hit = asked.join(made, "dir").where(F.regexp(F.col("rest"), F.col("pattern")))
+    last = hit.groupBy("file_path").agg(F.max(F.struct(F.length("dir").alias("a"), "rank", "keeps")).alias("v"))
+    return last.where(~F.col("v.keeps")).select("file_path")
+
+
 def walk(spark: SparkSession, root: str, project_id: str) -> DataFrame:
     """project_id, file_path, content, n_bytes, file_hash, modified_at of the files below a root.
 
-    The names are filtered before the contents are read; contents that aren't
-    UTF-8 come with replacement characters.
+    Names are filtered, also by ignore files, before contents are decoded;
+    contents that aren't UTF-8 come with replacement characters.  Links are
+    followed where the file system follows them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     clean = root.rstrip("/").split("://")[-1].lstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^\w+:/+", "")
-    rel = F.substring(rel, len(clean) + 2, 100_000)
-    return raw.select(F.lit(project_id).alias("project_id"), rel.alias("file_path"), "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at")).where(~skipped(F.col("file_path"), F.col("n_bytes"))).select(
-        "project_id", "file_path", F.decode(F.col("content"), "UTF-8").alias("content"), "n_bytes", F.lower(F.hex(F.xxhash64("content"))).alias("file_hash"), "modified_at"
-    )
+    rel = F.substring(F.regexp_replace(F.col("path"), r"^\w+:/+", ""), len(clean) + 2, 100_000)
+    named = raw.select(rel.alias("file_path"), "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
+    files = named.where(~skipped(F.col("file_path"), F.col("n_bytes")))
+    rules = named.where(F.substring_index("file_path", "/", -1) == ".gitignore").select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("dir"), F.decode(F.col("content"), "UTF-8").alias("content"))
+    left = files.join(ignored(files.select("file_path"), rules), "file_path", "left_anti")
+    return left.select(F.lit(project_id).alias("project_id"), "file_path", F.decode(F.col("content"), "UTF-8").alias("content"), "n_bytes", F.lower(F.hex(F.xxhash64("content"))).alias("file_hash"), "modified_at").where(F.substring_index("file_path", "/", -1) != ".gitignore")
 
 
 def hunks(diff: DataFrame, column: str = "value") -> DataFrame:

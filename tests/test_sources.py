@@ -44,6 +44,42 @@ def test_extractors(language, path, text, want):
     assert symbols(language, path, text) == want
 
 
+def test_go_members_reads_and_writes():
+    text = "package p\nvar limit = 3\ntype S struct {\n\ta, b int\n\tw *Writer `json:\"w\"`\n}\ntype R interface {\n\tRead(p []byte) (int, error)\n}\nfunc (s *S) Go() {\n\ts.a = limit + cfg.Max\n\ts.w.Put(1)\n}\n"
+    recs = extract("Go", "p.go", text)
+    assert {(r.qualified_name, r.name, r.signature) for r in recs if r.what == "field"} == {("p.S", "a", "int"), ("p.S", "b", "int"), ("p.S", "w", "*Writer")}
+    assert {(r.qualified_name, r.name) for r in recs if r.what == "interface_method"} == {("p.R", "Read")}
+    assert {(r.kind, r.name) for r in recs if r.what == "edge" and r.qualified_name == "p.S.Go"} == {("WRITES", "s.a"), ("READS", "limit"), ("READS", "cfg.Max"), ("CALLS", "s.w.Put")}
+    assert [r.parent for r in recs if r.name == "Go"] == ["p.S"]
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    def took(n):
+        text = "".join(f"function f{k}(a) {{ return g(a) + '{{'; }}\n" for k in range(n))
+        t = time.perf_counter()
+        assert len(extract("JavaScript", "x.js", text)) == 2 * n + 1
+        return time.perf_counter() - t
+
+    took(100)
+    assert took(8000) < 12 * max(took(1000), 0.01)
+
+
+def test_faulty_files_are_failures(spark):
+    df = spark.createDataFrame([("p", "a.json", "{1"), ("p", "b.toml", "= 1"), ("p", "c.json", "{}")], "project_id string, file_path string, content string")
+    rows = extract_files(df).collect()
+    assert {r.file_path for r in rows if r.what == "failure"} == {"a.json", "b.toml"} and sum(r.kind == "Module" for r in rows) == 3
+
+
+@pytest.mark.parametrize(
+    "path,want",
+    [("a/server_test.go", True), ("server.go", False), ("x.test.tsx", True), ("x.spec.js", True), ("x.test.cjs", True), ("x.spec.unrelated", False), ("test_x.py", True), ("x_test.py", True), ("tests/x.py", True), ("x_spec.rb", True), ("spec/x.rb", True), ("XTest.kt", True), ("XSpec.scala", True), ("X.java", False), ("src/test/X.java", True), ("src/featuretest/x.go", False), ("testdata/x.go", False), ("contest_winner.go", False), ("e2e/x.ts", True)],
+)
+def test_test_files(spark, path, want):
+    assert spark.range(1).select(C.is_test_file(F.lit(path))).first()[0] is want
+
+
 def test_equal_names_are_told_apart():
     names = [r.qualified_name for r in extract("Python", "p.py", "def f(): pass\ndef f(): pass\n")]
     assert names == ["p", "p.f", "p.f~2"]
@@ -61,12 +97,13 @@ def test_detect(path, first, want):
 
 
 def test_walk(spark, tmp_path):
-    for name, text in (("a.py", "x = 1"), ("node_modules/b.js", "1"), ("sub/c.min.js", "1"), ("sub/d.go", "package d"), ("go.sum", "x")):
+    rows = (("a.py", "x = 1"), ("node_modules/b.js", "1"), ("sub/c.MIN.js", "1"), ("sub/d.go", "package d"), ("go.sum", "x"), (".gitignore", "*.log\n/out/\n"), ("x.log", "1"), ("sub/out/e.py", "e = 1"), ("out/f.py", "1"), (".hidden/g.py", "1"), ("sub/.gitignore", "!keep.log\nd*.txt\n"), ("sub/keep.log", "k"), ("sub/data.txt", "1"), ("Cargo.lock", "1"))
+    for name, text in rows:
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     got = files.walk(spark, str(tmp_path), "p")
-    assert {r.file_path: r.content for r in got.collect()} == {"a.py": "x = 1", "sub/d.go": "package d"}
+    assert {r.file_path: r.content for r in got.collect()} == {"a.py": "x = 1", "sub/d.go": "package d", "sub/out/e.py": "e = 1", "sub/keep.log": "k"}
 
 
 def test_hunks(spark):
@@ -82,22 +119,60 @@ def test_columns(spark):
     assert tuple(row) == ("ab-c-d", "2h", "b", "é", True, 2)
 
 
+def _records(folder, name, *rows):
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def _file(path, content, hash_, seen):
+    return {"project_id": "p", "file_path": path, "content": content, "file_hash": hash_, "seen_at": seen}
+
+
+def functions_of(spark, out):
+    return {r.name for r in current(spark, out).where("kind = 'Function'").collect()}
+
+
 def test_incremental_index(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     (tmp_path / "in").mkdir()
+    run = lambda: incremental_index(spark, src, out, cp).awaitTermination()
+    _records(tmp_path / "in", "1.json", _file("a.py", "def f(): pass", "1", 1))
+    run()
+    _records(tmp_path / "in", "2.json", _file("a.py", "def f(): pass", "1", 2))
+    _records(tmp_path / "in", "3.json", _file("b.py", "def g(): pass", "2", 2))
+    run()
+    _records(tmp_path / "in", "4.json", _file("b.py", "def h(): pass", "3", 3))
+    run()
+    assert functions_of(spark, out) == {"f", "h"}
+    _records(tmp_path / "in", "5.json", _file("b.py", "def late(): pass", "4", 1), _file("a.py", None, None, 9))
+    run()
+    assert functions_of(spark, out) == {"h"}
+    _records(tmp_path / "in", "6.json", _file("a.py", "def f(): pass", "1", 10))
+    run()
+    assert functions_of(spark, out) == {"f", "h"}
+    assert spark.createDataFrame([], FILES).count() == 0
 
-    def add(name, **r):
-        (tmp_path / "in" / name).write_text(json.dumps(r) + "\n")
 
-    add("1.json", project_id="p", file_path="a.py", content="def f(): pass", file_hash="1")
-    incremental_index(spark, src, out, cp).awaitTermination()
-    add("2.json", project_id="p", file_path="a.py", content="def f(): pass", file_hash="1")
-    add("3.json", project_id="p", file_path="b.py", content="def g(): pass", file_hash="2")
+def test_the_last_record_of_a_file_counts(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    _records(tmp_path / "in", "1.json", _file("a.py", "def old(): pass", "h9", 1), _file("a.py", "def new(): pass", "h0", 2))
     incremental_index(spark, src, out, cp).awaitTermination()
-    add("4.json", project_id="p", file_path="b.py", content="def h(): pass", file_hash="3")
+    assert functions_of(spark, out) == {"new"}
+
+
+def test_a_repeated_batch_writes_the_same(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    for k, name in enumerate("fgh"):
+        _records(tmp_path / "in", f"{k}.json", _file(f"{name}.py", f"def {name}(): pass", name, k))
+        incremental_index(spark, src, out, cp).awaitTermination()
+    before = sorted(map(str, current(spark, out).collect()))
+    last = max(int(x.name) for x in (tmp_path / "cp" / "commits").iterdir() if x.name.isdigit())
+    (tmp_path / "cp" / "commits" / str(last)).unlink()
+    for x in (tmp_path / "cp" / "commits").glob(".*crc"):
+        x.unlink()
     incremental_index(spark, src, out, cp).awaitTermination()
-    assert {r.name for r in current(spark, out).where("kind = 'Function'").collect()} == {"f", "h"}
-    assert spark.createDataFrame([], FILES).count() == 0
+    assert sorted(map(str, current(spark, out).collect())) == before and functions_of(spark, out) == {"f", "g", "h"}
 
 
 def test_tally_stream(spark, tmp_path):
