@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import map_rows
+from ..session import written
 
 #: Directories that are never walked, besides those that begin with a dot.
 SKIP_DIRS = "__pycache__ build coverage dist env node_modules target vendor venv".split()
@@ -59,21 +62,58 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return last.where(~F.col("v.keeps")).select("file_path")
 
 
+_LISTED = "dir string, file_path string, folder boolean, n_bytes long, modified_at timestamp"
+
+
+def _open(root: str):
+    """The file system of a root and the root's path in it; in any task that reaches it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _list(root: str, rel: str) -> Iterator[tuple]:
+    """What a directory below a root holds; links and skipped directories are left out."""
+    from pyarrow import fs
+
+    system, base = _open(root)
+    for x in system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base)):
+        folder = x.type == fs.FileType.Directory
+        if isinstance(system, fs.LocalFileSystem) and os.path.islink(x.path):
+            continue
+        if folder and (x.base_name in SKIP_DIRS or x.base_name.startswith(".")):
+            continue
+        yield rel, f"{rel}/{x.base_name}" if rel else x.base_name, folder, None if folder else x.size, None if folder else x.mtime.replace(tzinfo=None)
+
+
+def _read(root: str, rel: str) -> str:
+    system, base = _open(root)
+    with system.open_input_stream(f"{base}/{rel}") as f:
+        return f.read().decode("utf-8", "replace")
+
+
 def walk(spark: SparkSession, root: str, project_id: str) -> DataFrame:
-    """project_id, file_path, content, n_bytes, file_hash, modified_at of the files below a root.
+    """project_id, file_path, content, n_bytes, file_hash, modified_at of the files below a root that all tasks reach.
 
-    Names are filtered, also by ignore files, before contents are decoded;
-    contents that aren't UTF-8 come with replacement characters.  Links are
-    followed where the file system follows them.
+    Directories are listed level by level in the tasks, so skipped ones are never
+    entered; links aren't followed.  Names are filtered, also by ignore files,
+    before contents are read.  Contents that aren't UTF-8 come with replacement
+    characters.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    clean = root.rstrip("/").split("://")[-1].lstrip("/")
-    rel = F.substring(F.regexp_replace(F.col("path"), r"^\w+:/+", ""), len(clean) + 2, 100_000)
-    named = raw.select(rel.alias("file_path"), "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
-    files = named.where(~skipped(F.col("file_path"), F.col("n_bytes")))
-    rules = named.where(F.substring_index("file_path", "/", -1) == ".gitignore").select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("dir"), F.decode(F.col("content"), "UTF-8").alias("content"))
-    left = files.join(ignored(files.select("file_path"), rules), "file_path", "left_anti")
-    return left.select(F.lit(project_id).alias("project_id"), "file_path", F.decode(F.col("content"), "UTF-8").alias("content"), "n_bytes", F.lower(F.hex(F.xxhash64("content"))).alias("file_hash"), "modified_at").where(F.substring_index("file_path", "/", -1) != ".gitignore")
+    level = spark.createDataFrame([("",)], "file_path string")
+    listed = None
+    while True:
+        here = written(map_rows(level.select("file_path"), lambda rel: _list(root, rel), _LISTED))
+        listed = here if listed is None else listed.unionByName(here)
+        level = here.where("folder").select("file_path").repartition(F.col("file_path"))
+        if level.isEmpty():
+            break
+    named = listed.where("not folder")
+    rules = map_rows(named.where(F.substring_index("file_path", "/", -1) == ".gitignore").select("dir", "file_path"), lambda d, rel: [(d, _read(root, rel))], "dir string, content string")
+    files = named.where(~skipped(F.col("file_path"), F.col("n_bytes")) & (F.substring_index("file_path", "/", -1) != ".gitignore"))
+    left = files.join(ignored(files.select("file_path"), rules), "file_path", "left_anti").select("file_path", "n_bytes", "modified_at").repartition(F.col("file_path"))
+    got = map_rows(left, lambda rel, n, at: [(project_id, rel, _read(root, rel), n, at)], "project_id string, file_path string, content string, n_bytes long, modified_at timestamp", batch=32)
+    return got.select("project_id", "file_path", "content", "n_bytes", F.lower(F.hex(F.xxhash64("content"))).alias("file_hash"), "modified_at")
 
 
 def hunks(diff: DataFrame, column: str = "value") -> DataFrame:

@@ -97,13 +97,14 @@ def test_detect(path, first, want):
 
 
 def test_walk(spark, tmp_path):
-    rows = (("a.py", "x = 1"), ("node_modules/b.js", "1"), ("sub/c.MIN.js", "1"), ("sub/d.go", "package d"), ("go.sum", "x"), (".gitignore", "*.log\n/out/\n"), ("x.log", "1"), ("sub/out/e.py", "e = 1"), ("out/f.py", "1"), (".hidden/g.py", "1"), ("sub/.gitignore", "!keep.log\nd*.txt\n"), ("sub/keep.log", "k"), ("sub/data.txt", "1"), ("Cargo.lock", "1"))
+    rows = (("a.py", "x = 1"), ("node_modules/b.js", "1"), ("sub/c.MIN.js", "1"), ("sub/d.go", "package d"), ("go.sum", "x"), (".gitignore", "*.log\n/out/\n"), ("x.log", "1"), ("sub/out/e.py", "e = 1"), ("out/f.py", "1"), (".hidden/g.py", "1"), ("sub/.gitignore", "!keep.log\nd*.txt\n"), ("sub/keep.log", "k"), ("sub/data.txt", "1"), ("Cargo.lock", "1"), ("sub/__init__.py", ""))
     for name, text in rows:
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
     got = files.walk(spark, str(tmp_path), "p")
-    assert {r.file_path: r.content for r in got.collect()} == {"a.py": "x = 1", "sub/d.go": "package d", "sub/out/e.py": "e = 1", "sub/keep.log": "k"}
+    assert {r.file_path: r.content for r in got.collect()} == {"a.py": "x = 1", "sub/d.go": "package d", "sub/out/e.py": "e = 1", "sub/keep.log": "k", "sub/__init__.py": ""}
 
 
 def test_hunks(spark):
