@@ -244,7 +244,7 @@ def resolve_reads(pending_edges: DataFrame, nodes: DataFrame, struct_fields: Dat
     same = F.col("to_language") == F.col("from_language")
     # both ways of naming, each with the number of references
     by_qn = resolve(keys, on, [("1 qualified name", "any", F.col("to_name"))], table).where(same)
-    by_name = resolve(keys, on, [("2 same package", "value", _undotted(F.concat_ws(_SEP, "from_language", "folder", "to_name")))], table)
+    by_name = resolve(keys, on, [("2 same package", "value", F.when(_undotted(F.col("to_name")).isNotNull(), F.concat_ws(_SEP, "from_language", "folder", "to_name")))], table)
     # a name in dots can't be bare; the qualified name wins where its language is the reader's
     found = written(by_qn.unionByName(by_name).groupBy(*on).agg(F.max("n").alias("n"), F.min(F.struct("label", "to_id", "to_kind")).alias("b")).select(*on, "n", "b.*"))
     bound = keyed_join(refs, found, on, ("to_id", "to_kind", "label"), total=total)

@@ -204,15 +204,29 @@ def test_merge_projects_and_failures(spark):
 
 # ---- search
 def test_search(spark):
-    d = spark.createDataFrame([(1, "red fox jumps"), (2, "red red dog"), (3, None), (4, "Fóx; under_score"), (5, "")], "id int, text string")
-    assert [r.id for r in search.search(d, "fox").collect()] == [1, 4] or [r.id for r in search.search(d, "fox").collect()] == [4, 1]
-    assert [r.id for r in search.search(d, "red NOT fox").collect()] == [2]
-    assert [r.id for r in search.search(d, '"red fox"').collect()] == [1]
-    assert {r.id for r in search.search(d, "jum* OR dog").collect()} == {1, 2}
-    assert search.search(d, "  ").count() == 0 and search.search(d.limit(0), "fox").count() == 0
-    assert search.search_with_fallback(d, "fox cow")[1] == "or" and search.search_with_fallback(d, "jum")[1] == "prefix"
+    d = spark.createDataFrame([(1, "red fox jumps"), (2, "red red dog"), (3, None), (4, "Fóx; under_score"), (5, ""), (6, "fox red"), (7, "ŻÓŁW fœtus")], "id int, text string")
+    index = search.text_index(d)
+    ids = lambda q, **k: [r.id for r in search.search(index, q, **k).collect()]
+    assert set(ids("fox")) == {1, 4, 6} and ids("red NOT fox") == [2] and ids('"red fox"') == [1] and ids('"fox red"') == [6]
+    assert set(ids("jum* OR dog")) == {1, 2} and ids("zoł*") == [7] and ids("żołw") == [7] and ids("zolw") == [] and ids("ŻÓŁW") == [7]
+    assert ids("  ") == [] and ids("(fox OR dog) NOT (jumps OR score)") == [2, 6] or set(ids("(fox OR dog) NOT (jumps OR score)")) == {2, 6}
+    assert search.search_with_fallback(index, "fox cow")[1] == "or" and search.search_with_fallback(index, "jum")[1] == "prefix" and search.search_with_fallback(index, "fox")[1] is None
+    assert search.search(search.text_index(d.limit(0)), "fox").count() == 0
+    assert search.search(search.open_index(spark, index.path), "dog").count() == 1
     with pytest.raises(search.SearchError):
-        search.search(d, "fo.*")
+        search.search(index, "fo.*")
+
+
+def test_corpora_and_hints(spark):
+    n = spark.createDataFrame([("p", "1", "run", "m.run", None, None, "Function", "Go", 1.0), ("p", "2", "run", "c.run", None, None, "Setting", "YAML", 1.0), ("q", "3", "Run it", "d", None, "how to run", "Document", "Markdown", 1.0)], "project_id string, id string, name string, qualified_name string, signature string, docstring string, kind string, language string, extraction_confidence double")
+    index = search.node_index(n)
+    assert {c: [r.id for r in search.search(index, "run", c).collect()] for c in search.CORPORA} == {"code": ["1"], "config": ["2"], "docs": ["3"]}
+    assert search.search(index, '"run m"', "code").count() == 0, "no phrase spans two fields"
+    assert got(search.exact_match_hint(n, " run ", ("Function",)), "id") == [("2",)]
+    assert search.route_corpus("all")[0] == "code" and search.route_corpus("all")[1] and search.route_corpus(None) == ("code", None)
+    with pytest.raises(search.SearchError):
+        search.route_corpus("nothing")
+    assert search.default_min_confidence("getUser") == 0.0 and search.default_min_confidence("get user") == 0.71 and search.default_min_confidence("x y", "docs") == 0.0
 
 
 @pytest.mark.parametrize("raw,want", [("a b", "a b"), ("a-b", '"a-b"'), ("x AND y", "x AND y"), ("AND x", '"AND" x'), ("foo*", "foo*"), ("don't", "don t"), ("   ", ""), ("a.b/c", '"a.b/c"'), ('"p q"', '"p q"'), ("f()", '"f()"')])
@@ -221,20 +235,74 @@ def test_sanitize(raw, want):
 
 
 # ---- resolution
+NODES = "project_id string, id string, file_path string, name string, qualified_name string, kind string, language string, parent string"
+REFS = "project_id string, from_file string, kind string, from_qn string, to_name string, confidence double, receiver_type string, base_type string"
+
+
+def graph_nodes(spark, *rows):
+    return spark.createDataFrame([("p", i, path, qn.rsplit(".", 1)[-1], qn, kind, lang, None) for i, path, qn, kind, lang in rows], NODES)
+
+
+def refs(spark, *rows):
+    return spark.createDataFrame([("p", f, k, a, b, c, r, t) for f, k, a, b, c, r, t in rows], REFS)
+
+
 def test_resolution_order(spark):
-    cols = "project_id string, id string, file_path string, name string, qualified_name string, kind string, language string, parent string"
-    n = spark.createDataFrame(
-        [("p", "a", "f.go", "main", "m.main", "Function", "Go", None), ("p", "b", "g.go", "run", "m.run", "Function", "Go", None), ("p", "c", "testdata/g.go", "run", "t.run", "Function", "Go", None), ("p", "d", "h.go", "Only", "m.T.Only", "Method", "Go", "T"), ("p", "e", "v.go", "cfg", "m.cfg", "Variable", "Go", None)],
-        cols,
-    )
-    p = spark.createDataFrame(
-        [("p", "f.go", "CALLS", "m.main", "run", 0.5), ("p", "f.go", "CALLS", "m.main", "`run`", 0.9), ("p", "f.go", "CALLS", "m.main", "x.Only()", 0.7), ("p", "f.go", "CALLS", "m.main", "m.main", 1.0), ("p", "f.go", "READS", "m.main", "cfg", 0.6), ("p", "f.go", "READS", "m.main", "run", 0.6), ("p", "f.go", "IMPORTS", "m.main", "fmt", 1.0), ("p", "f.go", "CALLS", None, "run", 0.5)],
-        "project_id string, from_file string, kind string, from_qn string, to_name string, confidence double",
-    )
-    assert got(resolve.resolve_calls(p, n), "from_id", "to_id", "confidence", "way") == [("a", "b", 0.9, "2 bare name"), ("a", "d", 0.7, "3 only method")]
-    assert got(resolve.resolve_reads(p, n), "to_id", "kind", "confidence") == [("b", "CALLS", 0.4), ("e", "READS", 0.6)]
+    n = graph_nodes(spark, ("a", "f.go", "m.main", "Function", "Go"), ("b", "g.go", "m.run", "Function", "Go"), ("c", "testdata/g.go", "t.run", "Function", "Go"), ("d", "h.go", "m.T.Only", "Method", "Go"), ("e", "v.go", "m.cfg", "Variable", "Go"), ("s", "x.yml", "run", "Setting", "YAML"))
+    p = refs(
+        spark,
+        *(("f.go", "CALLS", a, b, c, None, None) for a, b, c in (("m.main", "run", 0.5), ("m.main", "`run`", 0.9), ("m.main", "x.Only()", 0.7), ("m.main", "m.main", 1.0), ("m.main", "strings.Only", 1.0), ("m.main", "Only", 1.0), (None, "run", 0.5))),
+        ("f.go", "READS", "m.main", "cfg", 0.6, None, None), ("f.go", "WRITES", "m.main", "cfg", 0.5, None, None), ("f.go", "READS", "m.main", "run", 0.6, None, None), ("other/f.go", "READS", "m.main", "cfg", 0.6, None, None), ("f.go", "IMPORTS", "m.main", "fmt", 1.0, None, None),
+    )
+    assert got(resolve.resolve_calls(p, n), "from_id", "to_id", "confidence", "way") == [("a", "b", 0.9, "2 bare name"), ("a", "d", 0.7, "5 only method")]
+    assert got(resolve.resolve_reads(p, n), "to_id", "kind", "confidence", "source") == [("b", "CALLS", 0.4, "binding_pass"), ("e", "READS", 0.6, "resolve_pass"), ("e", "WRITES", 0.5, "resolve_pass")]
     e, made = resolve.resolve_imports(p, n)
     assert got(e, "to_id") == [("@external/fmt::fmt#Module",)] and made.count() == 1
+    none = p.limit(0)
+    assert resolve.resolve_calls(none, n).count() == 0 and resolve.resolve_reads(p, n.limit(0)).count() == 0
+
+
+def test_calls_by_receiver_and_class(spark):
+    n = graph_nodes(
+        spark, ("go", "pkg/a.go", "pkg.Store.load", "Method", "Go"), ("go2", "pkg/b.go", "pkg.Log.load", "Method", "Go"), ("js", "w/c.js", "w.c.Cart", "Class", "JavaScript"), ("js1", "w/c.js", "w.c.Cart.add", "Method", "JavaScript"), ("js2", "w/d.js", "w.d.Bag.add", "Method", "JavaScript"),
+        ("caller", "pkg/z.go", "pkg.Store.go", "Method", "Go"), ("web", "w/e.js", "w.e.main", "Function", "JavaScript"), ("close", "pkg/a.go", "pkg.Store.Close", "Method", "Go"),
+    )
+    p = refs(spark, ("pkg/z.go", "CALLS", "pkg.Store.go", "s.load", 1.0, "*Store", None), ("pkg/z.go", "CALLS", "pkg.Store.go", "s.log.load", 1.0, "*Store", None), ("w/e.js", "CALLS", "w.e.main", "this.add", 1.0, "Cart", None), ("pkg/z.go", "CALLS", "pkg.Store.go", "x.Close", 1.0, None, None), ("pkg/z.go", "CALLS", "pkg.Store.go", "strings.load", 1.0, "*Store", None))
+    fields = spark.createDataFrame([("p", "pkg.Store", "log", "*Log")], "project_id string, struct_qn string, field_name string, field_type string")
+    assert got(resolve.resolve_calls(p, n, fields), "from_id", "to_id", "way") == [("caller", "go", "3 receiver type"), ("caller", "go2", "3 receiver type"), ("web", "js1", "4 class member")]
+    assert got(resolve.resolve_calls(p, n), "to_id") == [("go",), ("js1",)]
+
+
+def test_reads_of_fields_and_other_languages(spark):
+    n = graph_nodes(spark, ("r", "a/x.go", "a.reader", "Function", "Go"), ("f", "a/y.go", "a.Name", "Function", "Go"), ("v", "a/y.py", "a.total", "Variable", "Python"), ("s", "a/z.go", "a.String", "Method", "Go"))
+    p = refs(spark, ("a/x.go", "READS", "a.reader", "Name", 1.0, None, "Rec"), ("a/x.go", "READS", "a.reader", "total", 1.0, None, None), ("a/x.go", "READS", "a.reader", "String", 1.0, None, None))
+    fields = spark.createDataFrame([("p", "a.Rec", "Name", "string")], "project_id string, struct_qn string, field_name string, field_type string")
+    assert got(resolve.resolve_reads(p, n), "to_id", "kind") == [("f", "CALLS")]
+    assert resolve.resolve_reads(p, n, fields).count() == 0
+
+
+def test_python_names(spark):
+    n = graph_nodes(spark, ("m", "src/app/core/a.py", "src.app.core.a", "Module", "Python"), ("h", "src/app/util.py", "src.app.util.help", "Function", "Python"), ("x", "src/app/core/b.py", "src.app.core.b.go", "Function", "Python"))
+    p = refs(spark, *(("src/app/core/a.py", "IMPORTS", "src.app.core.a", name, 1.0, None, None) for name in ("..util.help", ".b.go", "app.util.help", ".....far", "json")))
+    e, made = resolve.resolve_imports(p, n)
+    assert got(e, "from_id", "to_id") == [("m", "@external/json::json#Module"), ("m", "h"), ("m", "x")] and got(made, "name") == [("json",)]
+
+
+def test_settings_and_modules_made_for_them(spark):
+    n = graph_nodes(spark, ("v", "group_vars/all.yml", "group_vars.all.port", "Setting", "YAML"), ("w", "conf/app.yml", "conf.app.host", "Setting", "YAML"), ("t", "tasks/main.yml", "tasks.main", "Module", "YAML"))
+    p = refs(spark, ("tasks/main.yml", "USES_VAR", "tasks.main", "port", 1.0, None, None), ("tasks/main.yml", "USES_VAR", "tasks.main", "host", 1.0, None, None), ("t/x.j2", "USES_VAR", None, "port", 1.0, None, None), ("conf/app.yml", "USES_VAR", "app", "port", 1.0, None, None))
+    e, made = resolve.resolve_settings(p, n)
+    assert got(e, "from_id", "to_id") == [("t", "v"), ("t/x.j2::x#Module", "v"), ("w", "v")] and got(made, "id") == [("t/x.j2::x#Module",)]
+
+
+def test_scopes_and_moves(spark):
+    n = graph_nodes(spark, ("a", "f.go", "m.a", "Function", "Go"), ("b", "g.go", "m.b", "Function", "Go"))
+    e = edges(spark, ("a", "b"), ("b", "a")).withColumn("source", F.lit("resolve_pass"))
+    files = spark.createDataFrame([("p", "f.go")], "project_id string, file_path string")
+    assert got(resolve.replace_scoped(e, e.limit(0), n, ["CALLS"], files), "from_id") == [("b",)]
+    assert resolve.replace_scoped(e, e.limit(0), n, ["CALLS"]).count() == 0
+    moves = spark.createDataFrame([("p", "a", "z")], "project_id string, old_id string, new_id string")
+    assert got(resolve.current_ids(n, moves), "old_id", "id") == [("a", "z"), ("b", "b")]
 
 
 def test_platform_siblings(spark):
@@ -252,9 +320,33 @@ def test_suspects(spark):
     assert rows == [(1, "pkg.load", 0.75), (1, "save", 0.6525)]
 
 
-def test_context(spark):
+def test_context_and_plan(spark):
     n = nodes(spark, ("loader", "f", 1, 2, False, 1.0), ("caller", "g", 1, 2, False, 1.0), ("mate", "f", 3, 4, False, 1.0), ("far", "h", 1, 2, False, 1.0)).withColumn("signature", F.lit(None).cast("string")).withColumn("docstring", F.lit(None).cast("string"))
-    assert got(composite.context_for_task(n, edges(spark, ("caller", "loader")), "loader"), "id", "role") == [("caller", "caller"), ("loader", "seed"), ("mate", "sibling")]
+    index, e = search.node_index(n), edges(spark, ("caller", "loader"), ("far", "caller"))
+    assert got(composite.context_for_task(n, e, index, "loader"), "id", "role") == [("caller", "caller"), ("loader", "seed"), ("mate", "sibling")]
+    decisions = spark.createDataFrame([("d1", "why the Loader is slow"), ("d2", "other")], "key string, text string")
+    rows, warnings = composite.plan_change(n, e, index, "loader", 4, decisions)
+    assert got(rows, "role", "id", "depth") == [("decision", "d1", 0), ("direct", "caller", 1), ("indirect", "far", 2)] and warnings == []
+    page, about = composite.pages(n, ["id"], 3, -1)
+    assert page.count() == 3 and about["total"] == 4 and about["has_more"] and len(about["warnings"]) == 1
+
+
+def test_committed_versions(spark, tmp_path):
+    a = spark.createDataFrame([(1,)], "k int")
+    for df in (a, a.union(a)):
+        store.commit(df, str(tmp_path / "t"))
+    assert store.committed(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_lookups_and_merges(spark):
+    n = nodes(spark, ("a", "f", 1, 2, False, 1.0), ("b", "g", 1, 2, False, 1.0))
+    want = spark.createDataFrame([("p", "a"), ("p", None), ("q", "b")], "project_id string, id string")
+    assert got(store.lookup(n, want), "id") == [("a",)]
+    assert got(store.edges_of(edges(spark, ("a", "b"), ("b", "a")), want), "from_id") == [("a",)]
+    r = spark.createDataFrame([("x", "1", 1), ("y", "2", 2)], "key string, text string, extra int").drop("extra")
+    assert got(store.put_record(store.put_record(r, "x", "9"), "y", None), "key", "text") == [("x", "9")]
+    m = spark.createDataFrame([("l2", "1", "z"), ("l1", "1", "b"), ("l1", "1", "a")], "project_id string, id string, name string")
+    assert got(store.merge_projects(m, ["project_id", "id"], "w", ["l1", "l2"]), "project_id", "id", "name") == [("w", "1", "a")]
 
 
 def test_running_sum_over_many_ranges(spark):
