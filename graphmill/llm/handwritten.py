@@ -16,7 +16,6 @@ Directory names alone decide nothing.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -64,7 +63,7 @@ class _Hashes(dict):
         if t[0] in "\"'":
             t = '"' + t.strip("\"'") + '"'
         b = t.encode("utf-8", "surrogatepass")
-        h = zlib.crc32(b) | zlib.crc32(b, 0x5BD1E995) << 32 & 0x7FFFFFFF00000000
+        h = int.from_bytes(blake2b(b, digest_size=8).digest(), "little") >> 1
         if len(t) < 40:
             if len(self) > 300_000:
                 self.clear()
