@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files are; a parameter of every function here.
@@ -104,6 +105,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _shipped(df: DataFrame, path: str) -> str:
+    """The path of a vocabulary, which is sent to the workers once per application."""
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, path) not in _SENT:
+        sc.addFile(path)
+        _SENT.add((sc.applicationId, path))
+    return path
+
+
+def _here(path: str) -> str:
+    """The vocabulary on this worker: where the driver has it, or the copy that was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def _chunks(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text at most, one row at least."""
     size, start = 0, 0
@@ -123,10 +141,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
     Empty and null texts both give the empty list; strings of special tokens
     are ordinary text; repeated rows give repeated results.  No shuffle.
     """
-    path = os.path.join(folder or VOCABULARIES, f"{vocabulary}.tiktoken")
+    path = _shipped(docs, os.path.join(folder or VOCABULARIES, f"{vocabulary}.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(_here(path))
         for whole in batches:
             for b in _chunks(whole, 1):
                 ids, offsets = e.encode_texts(b.column(1).to_pylist())
@@ -137,10 +155,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The kept columns and n_tokens of each row's text, 0 for empty and null texts."""
-    path = os.path.join(folder or VOCABULARIES, f"{vocabulary}.tiktoken")
+    path = _shipped(docs, os.path.join(folder or VOCABULARIES, f"{vocabulary}.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(_here(path))
         for whole in batches:
             for b in _chunks(whole, len(keep)):
                 _, offsets = e.encode_texts(b.column(len(keep)).to_pylist())
