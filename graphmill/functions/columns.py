@@ -114,3 +114,25 @@ def line_range_text(content: Column, start: Column, end: Column) -> Column:
 def corpus_of(language: Column, kind: Column) -> Column:
     """The text corpus of a node: docs, config or code."""
     return F.when((kind == "Document") | language.isin("Markdown", "HTML"), "docs").when(language.isin("YAML", "JSON", "HCL", "TOML", "XML"), "config").otherwise("code")
+
+
+def snippet(text: Column, word: str, width: int = 80) -> Column:
+    """The part of a text around a word, of at most 2 * width characters and the word, in one line; its beginning without the word."""
+    at = F.greatest(F.locate(word.lower(), F.lower(text)) - width, F.lit(1))
+    return F.regexp_replace(F.substring(text, at, F.lit(2 * width + len(word))), r"\s+", " ")
+
+
+def compact(text: Column, most: int = 120) -> Column:
+    """The first line of a text, cut with an ellipsis."""
+    line = F.substring_index(text, "\n", 1)
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 1), F.lit("…"))).otherwise(line)
+
+
+def dotted(parts: Column) -> Column:
+    """Parts of a path joined by dots, with dots inside a part told apart by a backslash; null parts are left out."""
+    return F.array_join(F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: F.replace(x, F.lit("."), F.lit("\\."))), ".")
+
+
+def undotted(path: Column) -> Column:
+    """The parts that dotted() joined."""
+    return F.transform(F.split(path, r"(?<!\\\\)\."), lambda x: F.replace(x, F.lit("\\."), F.lit(".")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_fixture, is_test_file
 from ..sources.languages import EXTENSIONS
 from . import audit, search, traverse
+from .mapping import map_rows
 
 #: Words that error texts are made of and that name no function of a project, in small letters.
 NOISE = frozenset(
@@ -134,3 +137,46 @@ def parity(expected: DataFrame, stored: DataFrame) -> DataFrame:
     both = expected.join(stored, ["project_id", "file_path"], "full")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return both.select("project_id", "file_path", z("expected"), z("stored")).where("expected <> stored")
+
+
+def fields(df: DataFrame, wanted: str | None) -> tuple[DataFrame, list[str]]:
+    """The columns named in a list "a, b", in its order, and a warning for each that isn't there; all if none is."""
+    names = [x.strip() for x in (wanted or "").split(",") if x.strip()]
+    there = [x for x in dict.fromkeys(names) if x in df.columns]
+    warnings = [f"unknown field {x!r}" for x in dict.fromkeys(names) if x not in df.columns]
+    return (df.select(*there) if there else df), warnings
+
+
+def nested_projects(projects: DataFrame) -> DataFrame:
+    """(project_id, outer_id) of projects whose root lies below the root of another; the paths above a root are its keys, so no pairs are tried."""
+    root = F.regexp_replace("root_path", "/+$", "")
+    roots = projects.select("project_id", root.alias("root"))
+    parts = F.split("root", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("outer_root")
+    inner = roots.where(F.contains("root", F.lit("/"))).select("project_id", "root", above).where("outer_root <> root and outer_root <> ''")
+    outer = roots.select(F.col("project_id").alias("outer_id"), F.col("root").alias("outer_root"))
+    return inner.join(outer, "outer_root").select("project_id", "outer_id")
+
+
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """(key, sign, line, text) of the lines that a second reading of a text lost (-) or gained (+); pairs: key, before, after.
+
+    Equal texts give no row; null counts as empty.
+    """
+
+    def fn(key: str, before: str | None, after: str | None) -> list[tuple]:
+        if before == after:
+            return []
+        a, b = (before or "").split("\n") if before else [], (after or "").split("\n") if after else []
+        out = []
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if tag != "equal":
+                out += [(key, "-", n + 1, a[n]) for n in range(i, j)] + [(key, "+", n + 1, b[n]) for n in range(k, m)]
+        return out
+
+    return map_rows(pairs.select("key", "before", "after"), fn, "key string, sign string, line int, text string")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Server-sent events, one text per row of (id, event, data): the data's columns as JSON."""
+    return events.select("id", F.concat(F.lit("id: "), F.col("id").cast("string"), F.lit("\nevent: "), "event", F.lit("\ndata: "), F.to_json("data"), F.lit("\n\n")).alias("text"))

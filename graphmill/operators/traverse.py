@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_fixture, is_test_file
 from ..session import checkpointed
 
 CALL_KINDS = ["CALLS", "HTTP_CALLS", "ASYNC_CALLS"]
@@ -120,10 +121,15 @@ def risk(depth):
     return F.when(depth == 1, "CRITICAL").when(depth == 2, "HIGH").when(depth == 3, "MEDIUM").otherwise("LOW")
 
 
-def hops(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Traced nodes with their names and risk."""
-    n = nodes.select("project_id", "id", "name", "kind", "file_path")
-    return found.join(n, ["project_id", "id"]).withColumn("risk", risk(F.col("depth")))
+def hops(found: DataFrame, nodes: DataFrame, tests: bool = False, fixtures: bool = False) -> DataFrame:
+    """Traced nodes with their names and risk; those of tests and fixtures are left out unless asked for."""
+    n = nodes.select("project_id", "id", "name", "kind", "file_path", *(["is_test"] if "is_test" in nodes.columns else []))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    if not tests:
+        n = n.where(~flag(is_test_file(F.col("file_path"))) & ~(flag(F.col("is_test")) if "is_test" in n.columns else F.lit(False)))
+    if not fixtures:
+        n = n.where(~flag(is_fixture(F.col("file_path"))))
+    return found.join(n.drop("is_test"), ["project_id", "id"]).withColumn("risk", risk(F.col("depth")))
 
 
 def adaptive_depth(edges: DataFrame, starts: DataFrame, direction: str = "inbound", kinds: list[str] | None = None, wide: int = 5, deep: int = 3) -> DataFrame:

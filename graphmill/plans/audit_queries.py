@@ -420,11 +420,6 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     return s.select("project_id", "symbol_id", F.round(C.confidence(*(F.col(c) for c in ("base_extractor", "kind_baseline", "path_penalty", "ident_bonus", "generated_pen"))), 6).alias("confidence"))
 
 
-@_R("SELECT s.project_id, s.id, substr(s.signature, 1, 4) AS head FROM symbols s WHERE signature IS NOT NULL")
-def signature_heads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "symbols").where("signature is not null").select("project_id", "id", F.substring("signature", 1, 4).alias("head"))
-
-
 @_R("SELECT file_path, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', -2) ELSE '' END AS package FROM source_files")
 def package_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("file_path", C.package_of(F.col("file_path")).alias("package"))

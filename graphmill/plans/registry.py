@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import orphans, skew
 from ..session import table
-from . import audit_queries, graph_queries, resolve_queries, search_queries, source_queries, upkeep_queries
+from . import audit_queries, form_queries, graph_queries, resolve_queries, search_queries, source_queries, upkeep_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,11 +61,11 @@ P5_COUNTS = _ORPHANS + """SELECT 'pending_edges' AS table_name, ref_field, strft
 
 
 def queries() -> dict[str, Query]:
-    return graph_queries.queries() | audit_queries.queries() | resolve_queries.queries() | search_queries.queries() | source_queries.queries() | upkeep_queries.queries() | {f.__name__: f for f in (p2_found, p2_edges_per_name, p2_callers_per_name, p5_found, p5_counts)}
+    return graph_queries.queries() | audit_queries.queries() | resolve_queries.queries() | search_queries.queries() | source_queries.queries() | upkeep_queries.queries() | form_queries.queries() | {f.__name__: f for f in (p2_found, p2_edges_per_name, p2_callers_per_name, p5_found, p5_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_queries.oracle_sql() | audit_queries.oracle_sql() | resolve_queries.oracle_sql() | search_queries.oracle_sql() | source_queries.oracle_sql() | upkeep_queries.oracle_sql() | {
+    return graph_queries.oracle_sql() | audit_queries.oracle_sql() | resolve_queries.oracle_sql() | search_queries.oracle_sql() | source_queries.oracle_sql() | upkeep_queries.oracle_sql() | form_queries.oracle_sql() | {
         "p2_found": P2_FOUND,
         "p5_found": P5_FOUND,
         "p5_counts": P5_COUNTS,

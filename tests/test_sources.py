@@ -182,3 +182,42 @@ def test_tally_stream(spark, tmp_path):
     q = tally_stream(calls).writeStream.format("memory").queryName("tally").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r)[1:] for r in spark.sql("select * from tally").collect()] == [("a", 2, 3.0)]
+
+
+def test_pages(spark):
+    import http.server
+    import threading
+
+    from graphmill.sources import pages
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path == "/a"
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write(b"<title> Guide </title><script>x()</script><p>Read   this</p>" if found else b"no")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    got = pages.pages(spark.createDataFrame([(f"{at}/a",), (f"{at}/a",), (f"{at}/b",), ("file:///etc/hosts",), (None,)], "url string")).cache()
+    assert {r.url: r.status for r in got.collect()} == {f"{at}/a": 200, f"{at}/b": 404, "file:///etc/hosts": None, None: None}
+    (doc,) = pages.documents(got, "p").collect()
+    assert doc.name == "Guide" and doc.docstring == "Guide Read this" and doc.kind == "Document"
+    server.shutdown()
+
+
+def test_ignore_rules():
+    import re
+
+    (rule,) = files.ignore_rules("# comment\n\n!src/**/*.p[yc]\n")
+    assert rule[1] and re.search(rule[2], "src/a/b.py") and re.search(rule[2], "src/b.pyc".replace("pyc", "pc")) and not re.search(rule[2], "lib/src/a.py")
+
+
+def test_dotted_paths_and_forms(spark):
+    row = spark.range(1).select(C.dotted(F.array(F.lit("a"), F.lit("b.c"), F.lit(None))).alias("d"), C.compact(F.lit("abcdef\ng"), 4).alias("c"), C.compact(F.lit(None).cast("string"), 4).alias("n"), C.snippet(F.lit("x\n  Word y"), "word", 3).alias("s"))
+    row = row.select("*", C.undotted(F.col("d")).alias("u")).first()
+    assert row.d == "a.b\\.c" and row.u == ["a", "b.c"] and row.c == "abc…" and row.n is None and row.s == " Word y"
