@@ -135,4 +135,4 @@ def dotted(parts: Column) -> Column:
 
 def undotted(path: Column) -> Column:
     """The parts that dotted() joined."""
-    return F.transform(F.split(path, r"(?<!\\\\)\."), lambda x: F.replace(x, F.lit("\\."), F.lit(".")))
+    return F.transform(F.split(path, r"(?<!\\)\."), lambda x: F.replace(x, F.lit("\\."), F.lit(".")))
