@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import corpus_of
-from ..session import shared_folder
+from ..session import own_folder
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Columns of a node that its text is made of.
@@ -191,13 +191,15 @@ class Index:
 
 
 def build_index(texts: DataFrame, fields: tuple[str, ...], corpus: Column | None = None, folder: str | None = None, keep: tuple[str, ...] = ()) -> Index:
-    """Writes the index of texts (project_id, id, the fields, the columns to keep) beside earlier ones and opens it.
+    """Writes the index of texts (project_id, id, the fields, the columns to keep) and opens it.
+
+    It lies in ``folder`` to be kept, or with the application's own tables.
 
     Fields are told apart by a gap in positions, so no phrase spans two of
     them.  Null texts have no tokens but count as documents.
     """
     spark = texts.sparkSession
-    path = f"{(folder or shared_folder(spark)).rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = f"{(folder or own_folder(spark)).rstrip('/')}/index-{uuid.uuid4().hex}"
     name = F.lit("docs") if corpus is None else corpus
     lists = [tokens(F.col(f)) for f in fields]
     gap = F.lit("")  # an empty token can't be asked for

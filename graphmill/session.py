@@ -60,12 +60,14 @@ def shared_folder(spark: SparkSession) -> str:
     without it is an error, as its executors share no local folder.
     """
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "graphmill-checkpoint")
-    return folder
+    mine = os.path.join(tempfile.gettempdir(), "graphmill-checkpoint")
+    set_ = sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (set_ if set_ and mine not in set_ else None)
+    if folder:
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return mine
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -82,16 +84,17 @@ def written(df: DataFrame) -> DataFrame:
     Unlike a checkpoint it keeps no partitions and no order.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{_own(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _own(spark: SparkSession) -> str:
-    return f"graphmill-{spark.sparkContext.applicationId}"
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes its tables in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/graphmill-{spark.sparkContext.applicationId}"
 
 
 def sweep(spark: SparkSession) -> None:
     """Deletes the tables that this application wrote to the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{_own(spark)}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

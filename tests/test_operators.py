@@ -359,3 +359,14 @@ def test_running_sum_over_many_ranges(spark):
         want[g] = want[g, k]
     assert len(rows) == 2000 and all(r.s == want[r.g, r.k] for r in rows)
     assert ranges.running_sum(df.limit(0), ["g"], ["k"], "v", "s").count() == 0
+
+
+def test_written_tables(spark):
+    import os
+
+    from graphmill import session
+
+    df = session.written(spark.range(5).withColumn("x y", F.lit(None).cast("string")))
+    folder = session.own_folder(spark)
+    assert df.count() == 5 and df.columns == ["id", "x y"] and os.path.isdir(folder) and session.own_folder(spark) == folder
+    assert session.written(df.limit(0)).count() == 0
